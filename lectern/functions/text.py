@@ -196,20 +196,47 @@ def key_suffix(key: str | Column, conference: str | Column, year: str | Column)
 
 # TXT15 ------------------------------------------------------------------------
 def human_bytes(c: str | Column) -> Column:
-    """Bytes in 1024 steps: B, KB, MB, GB, then PB (the unit list has no TB)."""
+    """Bytes in 1024 steps: B, KB, MB, GB, then PB (the unit list has no TB).
+
+    The value is rounded half-even (``bround``) before formatting so exact binary
+    ties such as 549.25 print as C/Python print them (Java's formatter rounds
+    half-up).
+    """
     b = _col(c).cast("double")
     a = F.abs(b)
     k = F.lit(1024.0)
-    return (F.when(a < k, F.format_string("%4.1f %s", b, F.lit("B")))
-            .when(a < k ** 2, F.format_string("%4.1f %s", b / k, F.lit("KB")))
-            .when(a < k ** 3, F.format_string("%4.1f %s", b / k ** 2, F.lit("MB")))
-            .when(a < k ** 4, F.format_string("%4.1f %s", b / k ** 3, F.lit("GB")))
-            .otherwise(F.format_string("%.1f %s", b / k ** 4, F.lit("PB"))))
+
+    def fmt(v: Column, unit: str, width: str = "%4.1f") -> Column:
+        return F.format_string(width + " %s", F.bround(v, 1), F.lit(unit))
+
+    return (F.when(a < k, fmt(b, "B"))
+            .when(a < k ** 2, fmt(b / k, "KB"))
+            .when(a < k ** 3, fmt(b / k ** 2, "MB"))
+            .when(a < k ** 4, fmt(b / k ** 3, "GB"))
+            .otherwise(fmt(b / k ** 4, "PB", "%.1f")))
 
 
 # TXT16 ------------------------------------------------------------------------
-def human_duration(c: str | Column) -> Column:
-    """Seconds rounded to 2 digits, shown as ``N.NNNs`` (<= 60), ``N.NNNm`` (<= 3600), else ``N.NNNh``."""
+def human_duration(c: str | Column, integral: bool = False) -> Column:
+    """Seconds rounded to 2 digits, shown as ``N.NNNs`` (<= 60), ``N.NNNm`` (<= 3600),
+    else ``N.NNNh``.
+
+    With ``integral=True`` (whole seconds) the minutes/hours digits are computed
+    with integer arithmetic: exact half-up rounding of the rational value.  (Python
+    formats the binary quotient, so on exact ties such as 4329 s = 1.2025 h its
+    last digit depends on the binary rounding of the division; this is a
+    deliberate deviation.)  The general path uses Java formatting, which rounds
+    half-up on the shortest decimal form.
+    """
+    if integral:
+        s = _col(c).cast("long")
+        mins = F.floor((s * 2000 + 60) / 120).cast("long")
+        hours = F.floor((s * 2000 + 3600) / 7200).cast("long")
+        return (F.when(s <= 60, F.format_string("%d.000s", s))
+                .when(s <= 3600, F.format_string("%d.%03dm", F.floor(mins / 1000).cast("long"),
+                                                 F.pmod(mins, F.lit(1000))))
+                .otherwise(F.format_string("%d.%03dh", F.floor(hours / 1000).cast("long"),
+                                           F.pmod(hours, F.lit(1000)))))
     s = F.round(_col(c).cast("double"), 2)
     return (F.when(s <= 60, F.format_string("%.3fs", s))
             .when(s <= 3600, F.format_string("%.3fm", s / 60))
