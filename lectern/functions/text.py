@@ -190,7 +190,7 @@ def search_name(model: str | Column, field: str | Column, query: str | Column) -
 # TXT14 ------------------------------------------------------------------------
 def key_suffix(key: str | Column, conference: str | Column, year: str | Column) -> Column:
     """``{key}_{first letter of conference}_{last two digits of year}``."""
-    return F.concat(_col(key).cast("string"), F.lit("_"), F.substr(_col(conference), 1, 1),
+    return F.concat(_col(key).cast("string"), F.lit("_"), F.substring(_col(conference), 1, 1),
                     F.lit("_"), F.right(_col(year).cast("string"), F.lit(2)))
 
 
