@@ -55,10 +55,10 @@ def last_wins(df: DataFrame, key: str | Sequence[str], order_col: str) -> DataFr
             .select(*keys, *[F.col("_w")[c].alias(c) for c in others]))
 
 
-def dense_position(df: DataFrame, group: str, order: str, out: str = "pos",
+def dense_position(df: DataFrame, group: str, order: str | Sequence[str | Column], out: str = "pos",
                    num_partitions: int | None = None) -> DataFrame:
     """WIN1 without a per-group window: 0-based position of each row within its
-    group by ``order`` (``order`` unique inside a group).
+    group by ``order`` (one or more columns, unique inside a group).
 
     ``row_number().over(partitionBy(group))`` puts a whole group in one task; a
     group holding a third of the data would then hold a third of the job.  Here
@@ -73,7 +73,8 @@ def dense_position(df: DataFrame, group: str, order: str, out: str = "pos",
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     low_bits = (1 << 33) - 1
-    tagged = (df.repartitionByRange(n, group, order).sortWithinPartitions(group, order)
+    keys = [order] if isinstance(order, (str, Column)) else list(order)
+    tagged = (df.repartitionByRange(n, group, *keys).sortWithinPartitions(group, *keys)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_pid", F.shiftright("_mid", 33))
               .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(low_bits))))

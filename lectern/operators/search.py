@@ -109,9 +109,9 @@ def rank_and_limit(scored: DataFrame, model: str, limit: int, threshold: float)
 Scorer = Callable[..., DataFrame]
 
 
-def _fuzzy(papers: DataFrame, query: str, field: str, **kw) -> DataFrame:
+def _fuzzy(papers: DataFrame, query: str, field: str, threshold: float = 0.0, **kw) -> DataFrame:
     from lectern.functions.fuzzy import score_fuzzy
-    return score_fuzzy(papers, query, field_text(papers, field))
+    return score_fuzzy(papers, query, field_text(papers, field), keep_zero=threshold < 0)
 
 
 def _cosine(papers: DataFrame, query: str, field: str, threshold: float = 0.0, **kw) -> DataFrame:
