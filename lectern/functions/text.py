@@ -55,17 +55,33 @@ def normalize_text(c: str | Column) -> Column:
 
 
 # TXT2 -------------------------------------------------------------------------
+def split_words(c: str | Column) -> Column:
+    """Runs of letters/numbers, each lower-cased (may hold empty pieces at the ends).
+
+    Equal to normalise -> lower -> split on spaces: lower-casing never turns a
+    letter or number into a separator, so splitting first is exact and saves a
+    rewrite of the whole text.
+    """
+    return F.transform(F.split(_col(c), NON_WORD_RUN), lambda t: F.lower(t))
+
+
 def tokenize(c: str | Column) -> Column:
     """Lower-case and split on spaces, dropping empty pieces (input already normalised)."""
     return F.filter(F.split(F.lower(_col(c)), " "), lambda t: t != "")
 
 
 def word_tokens(c: str | Column) -> Column:
-    """TXT1 + TXT2."""
-    return tokenize(normalize_text(c))
+    """TXT1 + TXT2: lower-cased letter/number runs."""
+    return F.filter(split_words(c), lambda t: t != "")
 
 
 # TXT3 -------------------------------------------------------------------------
+def is_numeric_token(t: Column) -> Column:
+    """All characters numeric.  Tokens starting with an ASCII lower-case letter
+    skip the regex (And/Or short-circuit in Spark)."""
+    return ~((t >= "a") & (t < "{")) & t.rlike(NUMERIC_TOKEN)
+
+
 def drop_stopwords_and_numbers(tokens: Column, stopwords: Iterable[str]) -> Column:
     """Remove stop words and all-numeric tokens, keeping order and duplicates.
 
@@ -74,14 +90,20 @@ def drop_stopwords_and_numbers(tokens: Column, stopwords: Iterable[str]) -> Colu
     """
     sw = list(stopwords)
     if sw:
-        return F.filter(tokens, lambda t: ~t.isin(sw) & ~t.rlike(NUMERIC_TOKEN))
-    return F.filter(tokens, lambda t: ~t.rlike(NUMERIC_TOKEN))
+        return F.filter(tokens, lambda t: ~t.isin(sw) & ~is_numeric_token(t))
+    return F.filter(tokens, lambda t: ~is_numeric_token(t))
 
 
 def clean_tokens(c: str | Column, stopwords: Iterable[str] | None = None) -> Column:
     """TXT1-TXT3 over a string column; NULL input gives an empty array."""
-    sw = default_stopwords() if stopwords is None else stopwords
-    return drop_stopwords_and_numbers(word_tokens(F.coalesce(_col(c), F.lit(""))), sw)
+    sw = list(default_stopwords() if stopwords is None else stopwords)
+    words = split_words(F.coalesce(_col(c), F.lit("")))
+
+    def keep(t: Column) -> Column:
+        k = t != ""
+        return (k & ~t.isin(sw) & ~is_numeric_token(t)) if sw else (k & ~is_numeric_token(t))
+
+    return F.filter(words, keep)
 
 
 # TXT4 -------------------------------------------------------------------------
@@ -96,11 +118,11 @@ def vector_tokens(c: str | Column, stopwords: Iterable[str] | None = None,
     """Tokens fed to the term-frequency vectoriser: TXT1-TXT3 plus length >= 2,
     minus an optional second stop list.  One filter pass over the split text."""
     sw = list(default_stopwords() if stopwords is None else stopwords) + list(extra_stopwords)
-    words = F.split(F.lower(normalize_text(F.coalesce(_col(c), F.lit("")))), " ")
+    words = split_words(F.coalesce(_col(c), F.lit("")))
 
     def keep(t: Column) -> Column:
-        k = (F.length(t) >= 2) & ~t.rlike(NUMERIC_TOKEN)
-        return (k & ~t.isin(sw)) if sw else k
+        k = F.length(t) >= 2
+        return (k & ~t.isin(sw) & ~is_numeric_token(t)) if sw else (k & ~is_numeric_token(t))
 
     return F.filter(words, keep)
 
