@@ -1 +1,233 @@
-"""Queries (filled in below)."""
+"""Ingest and sink queries (SRC1, SRC4-SRC7, SNK1, SNK3, JSN1-JSN3, TXT6, MAP1, AGG10, AGG12)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.functions import jsonfn as js
+from lectern.functions import text as tx
+from lectern.operators.ranking import dense_position
+from lectern.plans.registry import query
+from lectern.sources import feeds, sinks
+from lectern.sources.papers import papers, read_table
+
+_YEAR = r"\b(19[0-9]{2}|20[0-9]{2}|2100)\b"
+# Feed-index registry for the orders-as-index-items query (fixed values).
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+API_HOST = "https://api.example.org/conv/"
+CHUNK = 1000  # children per nested payload; bounds every re-nested group
+
+
+@query("json_object_explode", sql="""
+SELECT event_id, CAST(i - 1 AS INTEGER) AS pos, json_keys(props)[i] AS key, props ->> json_keys(props)[i] AS value
+FROM events, generate_series(1, len(json_keys(props))) g(i)
+""")
+def json_object_explode(spark, sf_dir):
+    """SRC1 core: a JSON object text -> (position, key, value) rows in file order."""
+    e = read_table(spark, sf_dir, "events")
+    return e.select("event_id", F.posexplode(F.from_json("props", "map<string,string>")).alias("pos", "key", "value"))
+
+
+def _payloads(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations")
+    res = F.struct(
+        F.col("turn").cast("string").alias("id"),
+        F.substring_index("text", "\n", 1).alias("name"),
+        F.array(F.struct(F.col("role").alias("fullname"), F.concat(F.lit("inst-"), "role").alias("institution")))
+        .alias("authors"),
+        F.col("text").alias("abstract"),
+        F.array("role").alias("keywords"),
+        F.col("role").alias("topic"),
+        F.concat(F.lit("/virtual/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+        .alias("virtualsite_url"))
+    grouped = (c.groupBy("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk"))
+               .agg(F.array_sort(F.collect_list(F.struct("turn", res.alias("r")))).alias("_rs")))
+    return grouped.select(
+        "conv_id", "chunk", F.concat(F.lit(API_HOST), F.col("conv_id").cast("string")).alias("url"),
+        F.to_json(F.struct(F.size("_rs").cast("long").alias("count"),
+                           F.transform("_rs", lambda x: x["r"]).alias("results"))).alias("payload"))
+
+
+@query("payload_to_papers", sql=f"""
+SELECT conv_id, pos || '_' || name AS paper_key, name, '0_' || role AS author_key, role AS topic,
+       'https://api.example.org' || '/virtual/' || conv_id || '/' || turn AS virtualsite_url, md5(text) AS abstract_md5
+FROM (SELECT *, split_part(text, chr(10), 1) AS name,
+             row_number() OVER (PARTITION BY conv_id, turn // {CHUNK} ORDER BY turn) - 1 AS pos FROM conversations)
+""")
+def payload_to_papers(spark, sf_dir):
+    """SRC4/JSN3: conversations re-nested as JSON API payloads (one per conversation
+    chunk), then parsed back into papers."""
+    p = feeds.api_papers(_payloads(spark, sf_dir), keep=["conv_id"])
+    return p.select("conv_id", "paper_key", "name", F.element_at(F.map_keys("author"), 1).alias("author_key"),
+                    "topic", "virtualsite_url", F.md5("abstract").alias("abstract_md5"))
+
+
+@query("feed_item_to_paper", sql=r"""
+SELECT host, pos || '_' || trim(regexp_replace(title, '[^\p{L}\p{N}\s]', '', 'g')) AS paper_key, title, url,
+       CAST(page_id AS VARCHAR) AS id,
+       regexp_replace(url, '\.[^.]*$', '') || '/' || split_part(regexp_extract(url, '[^/]*$'), '.', 1) || '.pdf' AS pdf
+FROM (SELECT *, split_part(url, '/', 3) AS host, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+             row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) - 1 AS pos FROM pages)
+""")
+def feed_item_to_paper(spark, sf_dir):
+    """SRC5: pages as feed items of their host's feed -> papers keyed by feed position."""
+    pg = read_table(spark, sf_dir, "pages")
+    items = pg.select(tx.url_host("url").alias("host"), "page_id",
+                      F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"),
+                      F.regexp_extract("html", r"<p[^>]*>(.*?)</p>", 1).alias("description"),
+                      F.col("url").alias("link"), F.col("page_id").cast("string").alias("guid"))
+    items = dense_position(items, "host", "page_id")
+    return feeds.items_to_papers(items, keep=["host"]).select("host", "paper_key", "title", "url", "id", "pdf")
+
+
+_DESC_SQL = "o_orderpriority || ' ' || CAST(o_orderdate AS VARCHAR) || ' ' || o_orderstatus"
+
+
+@query("feed_index", sql=f"""
+WITH i AS (SELECT o_orderkey AS pos, 'orders/' || o_orderkey AS link, {_DESC_SQL} AS d FROM orders),
+c AS (SELECT unnest([{", ".join("'" + p + "'" for p in PRIORITIES)}]) AS conference),
+h AS (SELECT i.pos, i.link, TRY_CAST(nullif(regexp_extract(i.d, '{_YEAR}', 1), '') AS INTEGER) AS year, c.conference
+      FROM i JOIN c ON contains(i.d, c.conference))
+SELECT year, conference, arg_max(link, pos) AS link FROM h WHERE year >= 1997 GROUP BY year, conference
+""")
+def feed_index(spark, sf_dir):
+    """SRC6/JN9/FLT7: orders as index items; known names in the description, first
+    year >= 1997, last link per (year, name)."""
+    o = read_table(spark, sf_dir, "orders")
+    items = o.select(F.col("o_orderkey").alias("pos"),
+                     F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("link"),
+                     F.concat_ws(" ", "o_orderpriority", F.col("o_orderdate").cast("string"), "o_orderstatus")
+                     .alias("description"))
+    return feeds.feed_index(items, PRIORITIES, year_limit=1997)
+
+
+_LI = r'<li[^>]*>\s*<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>\s*</li>'
+
+
+@query("page_list_items", sql=f"""
+SELECT page_id, CAST(i - 1 AS INTEGER) AS ord, regexp_extract_all(html, '{_LI}', 1)[i] AS href,
+       regexp_extract_all(html, '{_LI}', 2)[i] AS caption
+FROM pages, generate_series(1, len(regexp_extract_all(html, '{_LI}', 1))) g(i)
+""")
+def page_list_items(spark, sf_dir):
+    """SRC7 regex form: list items with their link and caption."""
+    return feeds.page_list_items(read_table(spark, sf_dir, "pages"))
+
+
+@query("page_links", sql=f"""
+WITH li AS (SELECT page_id, i AS ord, regexp_extract_all(html, '{_LI}', 1)[i] AS href,
+                   regexp_extract_all(html, '{_LI}', 2)[i] AS caption
+            FROM pages, generate_series(1, len(regexp_extract_all(html, '{_LI}', 1))) g(i))
+SELECT p.page_id,
+  coalesce((SELECT arg_max(href, ord) FROM li WHERE li.page_id = p.page_id AND caption = 'Software'), '') AS github_url,
+  coalesce((SELECT arg_max(href, ord) FROM li WHERE li.page_id = p.page_id AND caption = 'Download PDF'), '') AS pmlr_pdf,
+  coalesce((SELECT arg_max(href, ord) FROM li WHERE li.page_id = p.page_id AND caption = 'Supplementary PDF'), '') AS supplemental
+FROM pages p
+""")
+def page_links(spark, sf_dir):
+    """FLT8/AGG10: known link captions pivoted into paper fields for every page."""
+    return feeds.page_links(read_table(spark, sf_dir, "pages"))
+
+
+@query("page_title", sql=r"""
+SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+       regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS h1,
+       md5(regexp_extract(html, '<p[^>]*>(.*?)</p>', 1)) AS first_p_md5,
+       CAST(CASE WHEN regexp_extract(html, '<span class="authors">([^<]*)</span>', 1) = '' THEN 0
+            ELSE len(string_split(regexp_extract(html, '<span class="authors">([^<]*)</span>', 1), ',')) END AS INTEGER) AS n_authors,
+       trim(regexp_extract(html, '<div id="info">([^<]*)</div>', 1)) AS conf_info
+FROM pages
+""")
+def page_title(spark, sf_dir):
+    """SRC7 regex form: title, heading, first paragraph, authors, conference info."""
+    parts = feeds.page_parts(read_table(spark, sf_dir, "pages"))
+    return parts.select("page_id", "title", "h1", F.md5("first_p").alias("first_p_md5"),
+                        F.size("authors").alias("n_authors"), "conf_info")
+
+
+@query("parse_pages")
+def parse_pages(spark, sf_dir):
+    """SRC7 parser form: standard-library HTML parser over batches of pages."""
+    return feeds.parse_pages(read_table(spark, sf_dir, "pages"))
+
+
+@query("authors_map", sql=f"""
+SELECT conv_id, CAST(turn // {CHUNK} AS BIGINT) AS chunk,
+       to_json(map_from_entries(list(struct_pack(k := turn || '_' || role, v := role) ORDER BY turn)))::VARCHAR AS authors
+FROM conversations GROUP BY conv_id, turn // {CHUNK}
+""")
+def authors_map(spark, sf_dir):
+    """AGG12: children re-nested into an ordered ``{"i_name": name}`` object per parent
+    (and per chunk of at most 1000 children, so no group is unbounded)."""
+    c = read_table(spark, sf_dir, "conversations")
+    g = (c.groupBy("conv_id", F.floor(F.col("turn") / CHUNK).cast("long").alias("chunk"))
+         .agg(F.array_sort(F.collect_list(F.struct(
+             "turn", F.concat(F.col("turn").cast("string"), F.lit("_"), "role").alias("k"), F.col("role").alias("v")))
+         ).alias("_e")))
+    return g.select("conv_id", "chunk", F.to_json(F.map_from_entries(
+        F.transform("_e", lambda e: F.struct(e["k"], e["v"])))).alias("authors"))
+
+
+@query("row_to_json", sql="""
+SELECT event_id, json_object('event_id', event_id, 'ts', strftime(ts, '%m-%d-%Y-%H-%M-%S'), 'user_id', user_id,
+       'event_type', event_type, 'value', value, 'props', props)::VARCHAR AS doc FROM events
+""")
+def row_to_json(spark, sf_dir):
+    """SNK3: rows as JSON objects, timestamps in the saved format, NULLs kept."""
+    e = sinks.format_timestamps(read_table(spark, sf_dir, "events"))
+    return e.select("event_id", sinks.to_json_row(["event_id", "ts", "user_id", "event_type", "value", "props"])
+                    .alias("doc"))
+
+
+@query("papers_to_json")
+def papers_to_json(spark, sf_dir):
+    """SNK1 round trip: papers written as JSON lines partitioned by dataset, read back."""
+    p = papers(spark, sf_dir).select("dataset", "paper_key", "title", "n_chars")
+    path = sinks.scratch_path(spark, "papers")
+    sinks.write_papers(p, path)
+    return spark.read.schema("paper_key long, title string, n_chars long, dataset string").json(path)
+
+
+@query("json_or_text", sql="""
+SELECT event_id, CASE WHEN json_valid(props) THEN json(props)::VARCHAR ELSE props END AS doc FROM events
+""")
+def json_or_text(spark, sf_dir):
+    """JSN2: compact JSON when the value parses, raw text otherwise."""
+    return read_table(spark, sf_dir, "events").select("event_id", js.json_or_text("props").alias("doc"))
+
+
+@query("flatten_json", sql="""
+SELECT event_id, '$.' || k AS path, props ->> k AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)
+""")
+def flatten_json(spark, sf_dir):
+    """JSN1: a JSON document flattened to (path, value) rows."""
+    e = read_table(spark, sf_dir, "events")
+    return e.select("event_id", F.explode(js.flatten_object("props")).alias("f")).select("event_id", "f.path", "f.value")
+
+
+@query("retype_json", sql="""
+SELECT event_id, k AS key,
+  CASE WHEN json_type(v::JSON) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' WHEN json_type(v::JSON) = 'VARCHAR' THEN 'string'
+       ELSE lower(json_type(v::JSON)) END AS kind, TRY_CAST(v AS BIGINT) AS num
+FROM (SELECT event_id, k, props ->> k AS v FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events))
+""")
+def retype_json(spark, sf_dir):
+    """TXT6: string values that parse as JSON take the parsed type."""
+    e = read_table(spark, sf_dir, "events")
+    kv = e.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "v"))
+    r = js.retype("v")
+    return kv.select("event_id", "key", js.json_kind(r).alias("kind"),
+                     F.try_variant_get(r, "$", "bigint").alias("num"))
+
+
+@query("map_update", sql="""
+SELECT event_id, user_id AS k, user_id AS uid, CAST(len(list_distinct(list_concat(json_keys(props), ['k', 'uid']))) AS INTEGER) AS size
+FROM events
+""")
+def map_update(spark, sf_dir):
+    """MAP1: ``paper.update(**extras)`` on maps; the right value wins."""
+    e = read_table(spark, sf_dir, "events")
+    m = js.map_update(F.from_json("props", "map<string,bigint>"),
+                      F.create_map(F.lit("k"), F.col("user_id")), F.create_map(F.lit("uid"), F.col("user_id")))
+    return e.select("event_id", m.alias("m")).select(
+        "event_id", F.col("m")["k"].alias("k"), F.col("m")["uid"].alias("uid"), F.size("m").alias("size"))
