@@ -1 +1,29 @@
-"""Queries (filled in below)."""
+"""Streaming queries (STR1): the documents file is the landing folder."""
+
+from __future__ import annotations
+
+from lectern.plans import q_search
+from lectern.plans.registry import ORACLE, query
+from lectern.sources.sinks import scratch_path
+from lectern.streaming import ingest as st
+
+
+@query("stream_ingest", sql="""
+SELECT DISTINCT source AS dataset, doc_id AS paper_key, split_part(text, chr(10), 1) AS title, lang AS topic, n_chars
+FROM documents
+""")
+def stream_ingest(spark, sf_dir):
+    """Streamed papers (de-duplicated) appended to a table, read back."""
+    out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    st.ingest(spark, sf_dir, out, ckpt, glob="documents.parquet")
+    return spark.read.parquet(out).select("dataset", "paper_key", "title", "topic", "n_chars")
+
+
+@query("stream_search", sql=ORACLE["search_papers"])
+def stream_search(spark, sf_dir):
+    """Streamed search: per-batch top-k appended, merged on read; equals the batch flagship."""
+    out, ckpt = scratch_path(spark, "stream-search"), scratch_path(spark, "stream-search-ckpt")
+    st.search_stream(spark, sf_dir, out, ckpt, q_search.QUERY, "Cosine", "abstract",
+                     q_search.LIMIT, q_search.THRESHOLD, glob="documents.parquet")
+    res = st.read_search_results(spark, out, q_search.LIMIT)
+    return res.select("dataset", "paper_key", "title", "metric_match", "metric_thres", "conference")
