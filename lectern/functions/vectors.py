@@ -44,7 +44,8 @@ def weighted_term_dot(tokens: str | Column, weights: Mapping[str, int]) -> Colum
     """Sum over the tokens of a fixed term -> weight map (0 for other terms).
 
     With ``weights`` = query term counts this is the raw TF dot product of the
-    document with the query.  For a short query each term's count is
+    document with the query.  Equal weights: one filter pass counting query
+    terms.  Otherwise, for a short query each term's count is
     ``size(a) - size(array_remove(a, term))`` (native, no lambda); long queries
     use one lambda pass with a CASE per term.
     """
@@ -52,6 +53,11 @@ def weighted_term_dot(tokens: str | Column, weights: Mapping[str, int]) -> Colum
         return F.lit(0).cast("long")
     items = sorted(weights.items())
     arr = _col(tokens)
+    ws = {w for _, w in items}
+    if len(ws) == 1:  # every term once (or equally often): one filter pass
+        w = ws.pop()
+        hits = F.size(F.filter(arr, lambda x: x.isin([t for t, _ in items])))
+        return F.lit(int(w)).cast("long") * hits.cast("long")
     if len(items) <= 16:
         total = None
         for term, w in items:

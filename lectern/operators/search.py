@@ -57,13 +57,18 @@ def materialize(df: DataFrame, **exprs: Column) -> DataFrame:
 
 def score_tf_cosine(papers: DataFrame, query: str, field: str = "abstract",
                     stopwords: Sequence[str] | None = None, extra_stopwords: Iterable[str] = (),
-                    zero_as: float | None = None) -> DataFrame:
+                    zero_as: float | None = None, prune_below: float | None = None) -> DataFrame:
     """Adds ``score``: cosine of L1-normalised term-frequency vectors (no IDF).
 
     ``zero_as=None`` gives NULL for a zero vector (scipy form, never passes a
     threshold); ``zero_as=0.0`` gives 0 (sklearn form).  The document is
     tokenised once; the dot product is one pass over its tokens and the norm
     (a sort) is only computed for documents sharing a term with the query.
+
+    ``prune_below``: documents that provably score below this value get NULL
+    without computing the norm.  Since every term count is >= 1, |d|^2 >= n (the
+    token count), so cos <= dot / (sqrt(n) |q|); the bound is relaxed by 1e-6 so
+    a later float32 comparison can never lose a row.
     """
     spark = papers.sparkSession
     q_counts = Counter(query_terms(spark, query, stopwords, extra_stopwords))
@@ -75,7 +80,14 @@ def score_tf_cosine(papers: DataFrame, query: str, field: str = "abstract",
     zero = F.when((F.size(tok) > 0) & F.lit(q_ss > 0), F.lit(0.0))
     if zero_as is not None:
         zero = F.lit(float(zero_as))
-    score = F.when(dot > 0, vx.tf_cosine(dot, vx.sum_squared_counts(tok), q_ss)).otherwise(zero)
+    full = vx.tf_cosine(dot, vx.sum_squared_counts(tok), q_ss)
+    if prune_below is not None and prune_below > 0 and q_ss > 0:
+        bound = F.try_divide(dot.cast("double"), F.sqrt(F.size(tok).cast("double") * F.lit(float(q_ss))))
+        score = (F.when(dot <= 0, zero)
+                 .when(bound < F.lit(float(prune_below) * (1 - 1e-6)), F.lit(None).cast("double"))
+                 .otherwise(full))
+    else:
+        score = F.when(dot > 0, full).otherwise(zero)
     return materialize(df, score=score).drop("_tok")
 
 
@@ -116,7 +128,8 @@ def _fuzzy(papers: DataFrame, query: str, field: str, threshold: float = 0.0, **
 
 def _cosine(papers: DataFrame, query: str, field: str, threshold: float = 0.0, **kw) -> DataFrame:
     return score_tf_cosine(papers, query, field, stopwords=kw.get("stopwords"),
-                           extra_stopwords=kw.get("extra_stopwords", ()))
+                           extra_stopwords=kw.get("extra_stopwords", ()),
+                           prune_below=threshold if threshold > 0 else None)
 
 
 def _encoder_search(papers: DataFrame, query: str, field: str, **kw) -> DataFrame:
@@ -155,6 +168,38 @@ def search(papers: DataFrame, query: str, model: str = "Cosine", field: str = "a
     return rank_and_limit(scored, model, limit, threshold)
 
 
+def search_many(papers: DataFrame, queries: Sequence[str], field: str = "abstract", limit: int = 10,
+                threshold: float = 0.4, stopwords: Sequence[str] | None = None,
+                extra_stopwords: Iterable[str] = ()) -> DataFrame:
+    """Several TF-cosine searches in one pass: the field is tokenised once, each
+    query's score is computed in-row, and one Generate emits ``(run, score)``
+    pairs (run = 1-based query index) that go through one threshold and one
+    per-(run, dataset) top-k.  Equal to the union of the single searches."""
+    spark = papers.sparkSession
+    df = papers.withColumn("_tok", tx.vector_tokens(field_text(papers, field), stopwords, extra_stopwords))
+    tok = F.col("_tok")
+    pairs = []
+    for run, q in enumerate(queries, start=1):
+        q_counts = Counter(query_terms(spark, q, stopwords, extra_stopwords))
+        q_ss = sum(c * c for c in q_counts.values())
+        dot = vx.weighted_term_dot(tok, q_counts)
+        full = vx.tf_cosine(dot, vx.sum_squared_counts(tok), q_ss)
+        if q_ss > 0 and threshold > 0:
+            bound = F.try_divide(dot.cast("double"), F.sqrt(F.size(tok).cast("double") * F.lit(float(q_ss))))
+            score = (F.when(dot <= 0, F.lit(None).cast("double"))
+                     .when(bound < F.lit(float(threshold) * (1 - 1e-6)), F.lit(None).cast("double"))
+                     .otherwise(full))
+        else:
+            score = F.when(dot > 0, full).otherwise(
+                F.when((F.size(tok) > 0) & F.lit(q_ss > 0), F.lit(0.0)))
+        pairs.append(F.struct(F.lit(run).alias("run"), score.alias("score")))
+    scored = df.select(*[c for c in papers.columns], F.inline(F.array(*pairs)))
+    kept = threshold_filter(scored, "score", threshold)
+    annotated = annotate(kept, threshold, 4).drop("score")
+    return top_k_per_group(annotated, ["run", "dataset"],
+                           [F.col("metric_match").desc(), F.col("paper_key").asc()], limit)
+
+
 def search_summary(results: DataFrame) -> DataFrame:
     """AGG11: number of hits and of datasets that produced them."""
     return results.agg(F.count_distinct(*KEY).alias("hits"),

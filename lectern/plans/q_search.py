@@ -66,11 +66,10 @@ def search_all(spark, sf_dir):
 
 
 def _two_searches(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    a = srch.search(p, QUERY, "Cosine", "abstract", LIMIT, THRESHOLD).withColumn("run", F.lit(1))
-    b = srch.search(p, QUERY_B, "Cosine", "abstract", LIMIT, THRESHOLD).withColumn("run", F.lit(2))
-    cols = ["dataset", "paper_key", "metric_match", "metric_thres", "run"]
-    return a.select(*cols).unionByName(b.select(*cols))
+    """Two searches over the same papers in one pass (``run`` 1 and 2)."""
+    p = papers(spark, sf_dir).select("dataset", "paper_key", "abstract")
+    res = srch.search_many(p, [QUERY, QUERY_B], "abstract", LIMIT, THRESHOLD)
+    return res.select("dataset", "paper_key", "metric_match", "metric_thres", "run")
 
 
 def _two_searches_sql() -> str:
