@@ -86,3 +86,14 @@ def dense_position(df: DataFrame, group: str, order: str | Sequence[str | Column
     return (tagged.join(offsets, [group, "_pid"])
             .withColumn(out, (F.col("_off") + F.col("_loc") - F.col("_first")).cast("long"))
             .drop("_mid", "_pid", "_loc", "_first", "_off"))
+
+
+def first_wins(df: DataFrame, key: str | Sequence[str], order_col: str) -> DataFrame:
+    """WIN4: one row per key, the one with the smallest ``order_col`` (e.g. the
+    first occurrence in file order).  Aggregate form, combined map-side."""
+    keys = [key] if isinstance(key, str) else list(key)
+    others = [c for c in df.columns if c not in keys]
+    packed = F.struct(*[F.col(c) for c in others])
+    return (df.groupBy(*keys)
+            .agg(F.min_by(packed, F.col(order_col)).alias("_w"))
+            .select(*keys, *[F.col("_w")[c].alias(c) for c in others]))

@@ -200,6 +200,16 @@ def search_many(papers: DataFrame, queries: Sequence[str], field: str = "abstrac
                            [F.col("metric_match").desc(), F.col("paper_key").asc()], limit)
 
 
+def join_scores(scores: DataFrame, papers: DataFrame, order_col: str | None = None) -> DataFrame:
+    """JN1 + WIN4: scores computed apart joined back to their papers on
+    (dataset, paper_key); when a key occurs twice in ``papers`` the first one
+    (smallest ``order_col``) wins."""
+    if order_col is not None:
+        from lectern.operators.ranking import first_wins
+        papers = first_wins(papers, list(KEY), order_col)
+    return scores.join(papers, list(KEY), "inner")
+
+
 def search_summary(results: DataFrame) -> DataFrame:
     """AGG11: number of hits and of datasets that produced them."""
     return results.agg(F.count_distinct(*KEY).alias("hits"),

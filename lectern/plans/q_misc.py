@@ -277,3 +277,11 @@ def date_scope(spark, sf_dir):
     counts = o.agg(*[F.count(F.when(c, 1)).alias(k) for k, c in scopes.items()])
     return counts.select(F.explode(F.map_from_arrays(
         F.array(*[F.lit(k) for k in scopes]), F.array(*[F.col(f"`{k}`") for k in scopes]))).alias("scope", "n"))
+
+
+@query("file_catalog")
+def file_catalog(spark, sf_dir):
+    """SRC8/SRC9/AGG6: the table files of the data folder with sizes and classes
+    (file bodies are not read)."""
+    from lectern.sources.catalog import catalog_folders
+    return catalog_folders(spark, [sf_dir], "*.parquet")

@@ -154,8 +154,8 @@ JOIN {PAPERS} p ON p.dataset = h.dataset AND p.paper_key = h.paper_key
 def scores_join_papers(spark, sf_dir):
     """JN1: scores computed apart (long form) joined back to the papers on the composite key."""
     hits = _query_term_hits(spark, sf_dir)
-    return hits.join(papers(spark, sf_dir).select("dataset", "paper_key", "title"),
-                     ["dataset", "paper_key"]).select("dataset", "paper_key", "title", "hits")
+    p = papers(spark, sf_dir).select("dataset", "paper_key", "title")
+    return srch.join_scores(hits, p).select("dataset", "paper_key", "title", "hits")
 
 
 @query("papers_with_hits", sql=f"""

@@ -55,3 +55,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (``spark.checkpoint.dir``)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/lectern-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def save_search(results: DataFrame, folder: str, model: str, field: str, query: str) -> str:
+    """SNK2: write a search result under ``{folder}/{model}_{field}_{words-joined-by-dash}``
+    (JSON lines by dataset) and return that path."""
+    spark = results.sparkSession
+    name = spark.range(1).select(tx.search_name(F.lit(model), F.lit(field), F.lit(query))).first()[0]
+    path = f"{folder.rstrip('/')}/{name}"
+    write_papers(results, path)
+    return path

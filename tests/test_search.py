@@ -115,3 +115,31 @@ def test_merge_is_idempotent(spark):
     twice = last_wins(once.unionByName(once), ["dataset", "paper_key"], "run")
     assert sorted(once.collect()) == sorted(twice.collect())
     assert {(r.dataset, r.metric_match) for r in once.collect()} == {("a", 0.7), ("b", 0.1)}
+
+
+def test_encoder_plugin(spark, papers):
+    import numpy as np
+    from lectern.operators.semantic import score_with_encoder
+
+    def factory():
+        vocab = ["causal", "learning", "graph", "continual"]
+
+        def enc(texts):
+            return np.array([[t.lower().count(w) for w in vocab] for t in texts], dtype=float)
+        return enc
+
+    s = score_with_encoder(papers, "causal learning", F.col("title"), factory, stopwords=SW)
+    got = {(r.dataset, r.paper_key): r.score for r in s.collect()}
+    assert got[("confA", 0)] == pytest.approx(2 / (2 ** 0.5 * 3 ** 0.5))
+    assert got[("confA", 2)] == pytest.approx(0.5)
+    assert got[("confB", 0)] is None  # zero vector
+
+
+def test_search_many_equals_single_searches(spark, papers):
+    qs = ["continual causal learning", "graph learning"]
+    many = srch.search_many(papers, qs, "abstract", 2, 0.1, stopwords=SW)
+    for run, q in enumerate(qs, start=1):
+        one = srch.search(papers, q, "Cosine", "abstract", 2, 0.1, stopwords=SW)
+        a = sorted((r.dataset, r.paper_key, r.metric_match) for r in many.filter(F.col("run") == run).collect())
+        b = sorted((r.dataset, r.paper_key, r.metric_match) for r in one.collect())
+        assert a == b

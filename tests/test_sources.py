@@ -125,3 +125,27 @@ def test_json_lines_sink(spark, tmp_path):
     sinks.write_papers(df, out)
     back = spark.read.schema("paper_key long, title string, abstract string, dataset string").json(out)
     assert back.collect()[0].asDict() == {"paper_key": 1, "title": "t", "abstract": None, "dataset": "d1"}
+
+
+def test_catalog_and_stopwords(spark, tmp_path):
+    from lectern.sources.catalog import catalog_folders, folder_sizes, read_stopwords
+    a, b = tmp_path / "conferences", tmp_path / "searches"
+    a.mkdir(), b.mkdir()
+    _write(a / "2023_ICML.json", "x" * 2048)
+    _write(a / "2022_aaai.json", "{}")
+    _write(a / ".hidden.json", "{}")
+    _write(b / "cosine_title_x.json", "{}")
+    rows = catalog_folders(spark, [str(a), str(b)]).orderBy("idx").collect()
+    assert [(r.idx, r.stem, r.size, r["class"]) for r in rows] == [
+        (0, "2022_aaai", " 2.0 B", "other"), (1, "2023_ICML", " 2.0 KB", "main"), (2, "cosine_title_x", " 2.0 B", "other")]
+    sizes = {r.folder: r.bytes for r in folder_sizes(spark, [str(a)]).collect()}
+    assert sizes == {str(a): 2048 + 2}  # hidden files are not listed by Spark
+    _write(tmp_path / "sw.txt", "the\nof\nthe\n\nand\n")
+    assert sorted(r.word for r in read_stopwords(spark, str(tmp_path / "sw.txt")).collect()) == ["and", "of", "the"]
+
+
+def test_save_search(spark, tmp_path):
+    df = spark.createDataFrame([("d", 1, 0.5)], "dataset string, paper_key long, metric_match double")
+    path = sinks.save_search(df, str(tmp_path), "Cosine", "abstract", "Causal  effect")
+    assert path.endswith("/cosine_abstract_causal-effect")
+    assert spark.read.json(path).count() == 1
