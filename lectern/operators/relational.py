@@ -55,7 +55,7 @@ def route_folder(name: str | Column) -> Column:
 def dataset_class(name: str | Column) -> Column:
     """SRC9: ``{YEAR}_{CONF}`` -> main / sub / other by the conference part."""
     n = F.col(name) if isinstance(name, str) else name
-    conf = F.element_at(F.split(F.regexp_replace(n, r"\.[^.]*$", ""), "_"), 2)
+    conf = F.try_element_at(F.split(F.regexp_replace(n, r"\.[^.]*$", ""), "_"), F.lit(2))
     return (F.when(conf.isin(list(MAIN_CONFERENCES)), F.lit("main"))
             .when(conf.isin(list(SUB_CONFERENCES)), F.lit("sub"))
             .otherwise(F.lit("other")))

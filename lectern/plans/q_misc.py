@@ -64,7 +64,7 @@ SELECT p_partkey, p_name, levenshtein(p_name, 'red bolt') AS dist FROM part WHER
 def levenshtein_search(spark, sf_dir):
     """OPT1: edit distance to a query, within a bound."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    d = F.levenshtein("p_name", F.lit("red bolt"))
+    d = F.levenshtein("p_name", F.lit("red bolt")).cast("long")
     return part.select("p_partkey", "p_name", d.alias("dist")).filter(F.col("dist") <= 5)
 
 

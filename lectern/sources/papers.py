@@ -95,4 +95,4 @@ def split_dataset_name(dataset: str | Column) -> tuple[Column, Column]:
     """``{YEAR}_{CONF}`` -> (year INT, conference STRING) (TXT12)."""
     d = F.col(dataset) if isinstance(dataset, str) else dataset
     return (F.element_at(F.split(d, "_"), 1).try_cast("int"),
-            F.element_at(F.split(d, "_"), 2))
+            F.try_element_at(F.split(d, "_"), F.lit(2)))
