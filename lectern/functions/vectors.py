@@ -40,6 +40,26 @@ def sum_squared_counts(tokens: str | Column) -> Column:
     return F.aggregate(F.sort_array(_col(tokens)), init, step, lambda acc: acc["s"])
 
 
+def term_count_pairs(sorted_tokens: str | Column) -> Column:
+    """In-row term counts of a **sorted** token array as ``ARRAY<STRUCT<term, n>>``.
+
+    Run starts are the positions whose token differs from the previous one; the
+    count of each term is the distance to the next run start.  Everything stays
+    inside the row: no explode-and-aggregate, hence no shuffle for long-form term
+    tables.  Pass a column reference (not an expression) so the sorted array is
+    computed once per row.
+    """
+    s = _col(sorted_tokens)
+    n = F.size(s)
+    starts = F.when(n > 0, F.filter(F.sequence(F.lit(1), n),
+                                    lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, i - 1)))) \
+        .otherwise(F.array().cast("array<int>"))
+    # the next start after each start (n + 1 after the last), same length as starts
+    nexts = F.slice(F.concat(starts, F.array(n + 1)), 2, F.size(starts))
+    return F.zip_with(starts, nexts, lambda a, b: F.struct(F.element_at(s, a).alias("term"),
+                                                           (b - a).cast("long").alias("n")))
+
+
 def weighted_term_dot(tokens: str | Column, weights: Mapping[str, int]) -> Column:
     """Sum over the tokens of a fixed term -> weight map (0 for other terms).
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.functions import vectors as vx
 from lectern.operators.ranking import dense_position
 from lectern.plans.registry import query
 from lectern.plans.sqlfrag import PAPERS, STOPWORDS, clean, norm, vec, words
@@ -67,10 +68,12 @@ SELECT dataset, paper_key, term, count(*) AS n FROM (
   SELECT dataset, paper_key, unnest({vec('abstract')}) AS term FROM {_P}) GROUP BY ALL
 """)
 def term_counts(spark, sf_dir):
-    """AGG7: term counts per paper (long, sparse form)."""
-    return (papers(spark, sf_dir)
-            .select("dataset", "paper_key", F.explode(tx.vector_tokens("abstract")).alias("term"))
-            .groupBy("dataset", "paper_key", "term").agg(F.count(F.lit(1)).alias("n")))
+    """AGG7: term counts per paper (long, sparse form), counted inside each row
+    (sorted tokens, run lengths): a map-only job, no shuffle."""
+    toks = papers(spark, sf_dir).select("dataset", "paper_key",
+                                        F.sort_array(tx.vector_tokens("abstract")).alias("_s"))
+    return (toks.select("dataset", "paper_key", F.inline(vx.term_count_pairs("_s")))
+            .select("dataset", "paper_key", "term", "n"))
 
 
 @query("tf_l1", sql=f"""
@@ -79,13 +82,13 @@ c AS (SELECT dataset, paper_key, term, count(*) AS n FROM t GROUP BY ALL)
 SELECT dataset, paper_key, term, n::DOUBLE / sum(n) OVER (PARTITION BY dataset, paper_key) AS tf FROM c
 """)
 def tf_l1(spark, sf_dir):
-    """SIM1/AGG8: L1-normalised term frequencies.  The per-paper total is the token
-    array's size, taken in-row before the explode, so no window is needed."""
-    toks = papers(spark, sf_dir).select("dataset", "paper_key", tx.vector_tokens("abstract").alias("t"))
-    counts = (toks.select("dataset", "paper_key", F.size("t").alias("total"), F.explode("t").alias("term"))
-              .groupBy("dataset", "paper_key", "term", "total").agg(F.count(F.lit(1)).alias("n")))
-    return counts.select("dataset", "paper_key", "term",
-                         (F.col("n").cast("double") / F.col("total").cast("double")).alias("tf"))
+    """SIM1/AGG8: L1-normalised term frequencies: in-row counts divided by the
+    paper's token count (map-only, no shuffle, no window)."""
+    toks = papers(spark, sf_dir).select("dataset", "paper_key",
+                                        F.sort_array(tx.vector_tokens("abstract")).alias("_s"))
+    pairs = toks.select("dataset", "paper_key", F.size("_s").alias("total"), F.inline(vx.term_count_pairs("_s")))
+    return pairs.select("dataset", "paper_key", "term",
+                        (F.col("n").cast("double") / F.col("total").cast("double")).alias("tf"))
 
 
 @query("vocabulary", sql=f"""
