@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from typing import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lectern.functions.text import unescape_text
 
 
 def _col(c: str | Column) -> Column:
@@ -50,3 +55,63 @@ def map_update(base: Column, *updates: Column) -> Column:
     """MAP1: ``dict.update`` on maps; later maps win (needs
     ``spark.sql.mapKeyDedupPolicy=LAST_WIN``, set by the session helpers)."""
     return F.map_concat(base, *updates)
+
+
+def flatten_json_tree(df: DataFrame, json_col: str, keep: Sequence[str] = (), max_depth: int = 8) -> DataFrame:
+    """JSN1: a JSON document -> ``(path, value)`` leaf rows, dict keys as ``.key``
+    and list items as ``[i]`` (``$.a.b[1].c``), in document order.
+
+    Each level is one projection: a node's children (object entries or list
+    items) or the node itself when it is a leaf go through one ``inline``, so
+    the plan grows linearly with ``max_depth`` and nothing is recomputed.
+    Scalars come out as text; empty containers stay as ``{}`` / ``[]`` leaves;
+    nodes deeper than ``max_depth`` stay as JSON text.
+    """
+    keep = list(keep)
+    cur = df.select(*keep, F.lit("$").alias("path"), F.col(json_col).alias("value"), F.lit(False).alias("leaf"))
+    for _ in range(max_depth):
+        v = F.ltrim(F.col("value"))
+        m = F.from_json(F.col("value"), "map<string,string>")
+        a = F.from_json(F.col("value"), "array<string>")
+        kids_obj = F.transform(F.map_entries(m), lambda e: F.struct(
+            F.concat(F.col("path"), F.lit("."), e["key"]).alias("path"), e["value"].alias("value"),
+            F.lit(False).alias("leaf")))
+        kids_arr = F.transform(a, lambda x, i: F.struct(
+            F.concat(F.col("path"), F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("value"),
+            F.lit(False).alias("leaf")))
+        itself = F.array(F.struct(F.col("path").alias("path"), F.col("value").alias("value"),
+                                  F.lit(True).alias("leaf")))
+        children = (F.when(F.col("leaf"), itself)
+                    .when(v.startswith("{") & (F.coalesce(F.size(kids_obj), F.lit(-1)) > 0), kids_obj)
+                    .when(v.startswith("[") & (F.coalesce(F.size(kids_arr), F.lit(-1)) > 0), kids_arr)
+                    .otherwise(itself))
+        cur = cur.select(*keep, F.inline(children))
+    return cur.select(*keep, "path", "value")
+
+
+def clean_string_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """TXT6 applied through a paper: literal ``\\r\\n`` removed and ``\\"`` unescaped in
+    every string column, map value and list item (nested one level)."""
+    cols = set(columns) if columns is not None else None
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        dt = f.dataType
+        if cols is not None and f.name not in cols:
+            out.append(c)
+        elif isinstance(dt, T.StringType):
+            out.append(unescape_text(c).alias(f.name))
+        elif isinstance(dt, T.MapType) and isinstance(dt.valueType, T.StringType):
+            out.append(F.transform_values(c, lambda k, v: unescape_text(v)).alias(f.name))
+        elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StringType):
+            out.append(F.transform(c, lambda x: unescape_text(x)).alias(f.name))
+        else:
+            out.append(c)
+    return df.select(*out)
+
+
+def retype_strings(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """TXT6 re-typing: ``{col}_value`` VARIANT columns holding the parsed JSON value of
+    each listed string column (NULL when the text is not JSON)."""
+    return df.withColumns({f"{c}_value": retype(F.replace(F.col(c), F.lit("\\r\\n"), F.lit("")))
+                           for c in columns})

@@ -202,7 +202,7 @@ SELECT event_id, '$.' || k AS path, props ->> k AS value FROM (SELECT event_id,
 def flatten_json(spark, sf_dir):
     """JSN1: a JSON document flattened to (path, value) rows."""
     e = read_table(spark, sf_dir, "events")
-    return e.select("event_id", F.explode(js.flatten_object("props")).alias("f")).select("event_id", "f.path", "f.value")
+    return js.flatten_json_tree(e, "props", keep=["event_id"])
 
 
 @query("retype_json", sql="""

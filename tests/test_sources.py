@@ -149,3 +149,22 @@ def test_save_search(spark, tmp_path):
     path = sinks.save_search(df, str(tmp_path), "Cosine", "abstract", "Causal  effect")
     assert path.endswith("/cosine_abstract_causal-effect")
     assert spark.read.json(path).count() == 1
+
+
+def test_flatten_json_tree(spark):
+    from lectern.functions.jsonfn import flatten_json_tree
+    doc = '{"a": {"b": [1, {"c": "x"}]}, "d": null, "e": "2023", "f": {}, "g": [], "h": true}'
+    df = spark.createDataFrame([(1, doc), (2, "not json")], "id long, j string")
+    got = {(r.id, r.path): r.value for r in flatten_json_tree(df, "j", keep=["id"]).collect()}
+    assert got == {(1, "$.a.b[0]"): "1", (1, "$.a.b[1].c"): "x", (1, "$.d"): None, (1, "$.e"): "2023",
+                   (1, "$.f"): "{}", (1, "$.g"): "[]", (1, "$.h"): "true", (2, "$"): "not json"}
+
+
+def test_clean_string_values_and_retype(spark):
+    from lectern.functions.jsonfn import clean_string_values, json_kind, retype_strings
+    df = spark.createDataFrame([("a\\r\\nb", {"k": 'say \\"hi\\"'}, ["x\\r\\ny"], "2023")],
+                               "t string, m map<string,string>, l array<string>, y string")
+    r = clean_string_values(df).first()
+    assert (r.t, r.m["k"], r.l[0], r.y) == ("ab", 'say "hi"', "xy", "2023")
+    kinds = retype_strings(df, ["y", "t"]).select(json_kind(F.col("y_value")), json_kind(F.col("t_value"))).first()
+    assert tuple(kinds) == ("number", None)
