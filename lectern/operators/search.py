@@ -137,8 +137,18 @@ def _encoder_search(papers: DataFrame, query: str, field: str, **kw) -> DataFram
     encoder = kw.get("encoder")
     if encoder is None:
         raise ValueError("this model needs an encoder (see lectern.operators.semantic)")
-    return score_with_encoder(papers, query, field_text(papers, field), encoder,
-                              clean_corpus=True, stopwords=kw.get("stopwords"))
+    scored = score_with_encoder(papers, query, field_text(papers, field), encoder,
+                                clean_corpus=True, stopwords=kw.get("stopwords"))
+    if kw.get("neighbours"):
+        # Paper-similarity form: only the best ``neighbours`` per dataset are
+        # candidates; ``drop_best`` also discards the first of them (compat).
+        ranked = top_k_per_group(scored.filter(F.col("score").isNotNull()), "dataset",
+                                 [F.col("score").desc(), F.col("paper_key").asc()],
+                                 int(kw["neighbours"]), rank_col="_nb")
+        if kw.get("drop_best"):
+            ranked = ranked.filter(F.col("_nb") > 1)
+        scored = ranked.drop("_nb")
+    return scored
 
 
 SCORERS: dict[str, Scorer] = {
@@ -156,6 +166,11 @@ def search(papers: DataFrame, query: str, model: str = "Cosine", field: str = "a
 
     Returns the paper columns plus metric_match, metric_thres, conference; at most
     ``limit`` rows per dataset, best first, ties by paper key.
+
+    Keyword options: ``stopwords``, ``extra_stopwords`` (text models);
+    ``encoder`` (a zero-argument factory returning ``texts -> vectors``) for
+    Word2Vec/Marco/Specter; ``neighbours=10, drop_best=True`` reproduces the
+    paper-similarity model's candidate set (ten neighbours, best one dropped).
     """
     if model not in SCORERS:  # SIM12
         raise ValueError(f"{model} search currently not available; choose one of {SEARCH_MODELS}")

@@ -143,3 +143,22 @@ def test_search_many_equals_single_searches(spark, papers):
         a = sorted((r.dataset, r.paper_key, r.metric_match) for r in many.filter(F.col("run") == run).collect())
         b = sorted((r.dataset, r.paper_key, r.metric_match) for r in one.collect())
         assert a == b
+
+
+def test_encoder_models_through_search(spark, papers):
+    def _toy_encoder():
+        import numpy as np
+        vocab = ["causal", "learning", "graph", "continual", "estimation"]
+
+        def enc(texts):
+            return np.array([[t.lower().count(w) for w in vocab] for t in texts], dtype=float)
+        return enc
+
+    res = srch.search(papers, "causal learning", "Marco", "title", 10, 0.1, encoder=_toy_encoder, stopwords=SW)
+    assert {(r.dataset, r.paper_key) for r in res.collect()} >= {("confA", 0), ("confB", 1)}
+    spec = srch.search(papers, "causal learning", "Specter", "title", 10, 0.0, encoder=_toy_encoder,
+                       stopwords=SW, neighbours=2, drop_best=True).collect()
+    per = Counter(r.dataset for r in spec)
+    assert all(v <= 1 for v in per.values())
+    with pytest.raises(ValueError):
+        srch.search(papers, "x", "Marco", "title")
