@@ -64,20 +64,22 @@ def dense_position(df: DataFrame, group: str, order: str | Sequence[str | Column
     group holding a third of the data would then hold a third of the job.  Here
     rows are range-partitioned on (group, order) so a hot group spreads over many
     tasks.  After a sort inside each partition, ``monotonically_increasing_id``
-    numbers rows locally (partition id in the high bits).  A small table of
-    per-(group, partition) counts and first local ids gives the offset of the
-    earlier partitions; it has at most (#partitions + #groups) rows, so AQE
-    broadcasts it when its measured size is under the broadcast threshold and
-    falls back to a shuffle join otherwise.
+    numbers rows locally (partition id in the high bits).  Those ids are only
+    stable for one materialisation, so the tagged rows are written once with a
+    reliable ``checkpoint`` (into ``spark.checkpoint.dir``, surviving executor
+    loss) and both the per-(group, partition) count table and the rows read that
+    copy.  The count table has at most (#partitions + #groups) rows; AQE
+    broadcasts it when its measured size allows and shuffles otherwise.
     """
+    from lectern.session import cut_lineage
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     low_bits = (1 << 33) - 1
     keys = [order] if isinstance(order, (str, Column)) else list(order)
     tagged = (df.repartitionByRange(n, group, *keys).sortWithinPartitions(group, *keys)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright("_mid", 33))
-              .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(low_bits))))
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = cut_lineage(tagged).withColumns({
+        "_pid": F.shiftright("_mid", 33), "_loc": F.col("_mid").bitwiseAND(F.lit(low_bits))})
     counts = tagged.groupBy(group, "_pid").agg(F.count(F.lit(1)).alias("_n"),
                                                F.min("_loc").alias("_first"))
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
