@@ -109,13 +109,17 @@ def annotate(df: DataFrame, threshold: float, digits: int) -> DataFrame:
     })
 
 
+def tie_order(df: DataFrame) -> list[Column]:
+    """Ties keep file order: ``pos`` when the papers carry it, then the key."""
+    return ([F.col("pos").asc()] if "pos" in df.columns else []) + [F.col("paper_key").asc()]
+
+
 def rank_and_limit(scored: DataFrame, model: str, limit: int, threshold: float) -> DataFrame:
-    """Threshold -> annotate -> top-k per dataset by metric_match, ties by key."""
+    """Threshold -> annotate -> top-k per dataset by metric_match, ties in file order."""
     fuzzy = model == "Fuzzy"
     kept = threshold_filter(scored, "score", threshold, strict=fuzzy, as_float=not fuzzy)
     annotated = annotate(kept, threshold, 3 if fuzzy else 4).drop("score")
-    return top_k_per_group(annotated, "dataset",
-                           [F.col("metric_match").desc(), F.col("paper_key").asc()], limit)
+    return top_k_per_group(annotated, "dataset", [F.col("metric_match").desc(), *tie_order(annotated)], limit)
 
 
 Scorer = Callable[..., DataFrame]
@@ -143,7 +147,7 @@ def _encoder_search(papers: DataFrame, query: str, field: str, **kw) -> DataFram
         # Paper-similarity form: only the best ``neighbours`` per dataset are
         # candidates; ``drop_best`` also discards the first of them (compat).
         ranked = top_k_per_group(scored.filter(F.col("score").isNotNull()), "dataset",
-                                 [F.col("score").desc(), F.col("paper_key").asc()],
+                                 [F.col("score").desc(), *tie_order(scored)],
                                  int(kw["neighbours"]), rank_col="_nb")
         if kw.get("drop_best"):
             ranked = ranked.filter(F.col("_nb") > 1)
@@ -212,7 +216,7 @@ def search_many(papers: DataFrame, queries: Sequence[str], field: str = "abstrac
     kept = threshold_filter(scored, "score", threshold)
     annotated = annotate(kept, threshold, 4).drop("score")
     return top_k_per_group(annotated, ["run", "dataset"],
-                           [F.col("metric_match").desc(), F.col("paper_key").asc()], limit)
+                           [F.col("metric_match").desc(), *tie_order(annotated)], limit)
 
 
 def join_scores(scores: DataFrame, papers: DataFrame, order_col: str | None = None) -> DataFrame:

@@ -168,3 +168,18 @@ def test_clean_string_values_and_retype(spark):
     assert (r.t, r.m["k"], r.l[0], r.y) == ("ab", 'say "hi"', "xy", "2023")
     kinds = retype_strings(df, ["y", "t"]).select(json_kind(F.col("y_value")), json_kind(F.col("t_value"))).first()
     assert tuple(kinds) == ("number", None)
+
+
+def test_search_over_dataset_files(spark, tmp_path):
+    from lectern.operators.search import search
+    papers_a = {"0_Zeta": {"title": "Graph causal", "abstract": "x"},
+                "1_Alpha": {"title": "Graph causal", "abstract": "y"},
+                "2_Other": {"title": "Unrelated words", "abstract": "z"}}
+    a = _write(tmp_path / "2023_COLT.json", papers_a)
+    b = _write(tmp_path / "2024_ICML.json", API_PAPERS)
+    p = read_datasets(spark, [a, b])
+    res = search(p, "graph causal", "Cosine", "title", 1, 0.5).collect()
+    # equal scores: the first paper in file order wins, not the smaller key
+    assert [(r.dataset, r.paper_key) for r in res] == [("2023_COLT", "0_Zeta")]
+    res2 = search(p, "deep nets", "Cosine", "title", 5, 0.5).collect()
+    assert [(r.dataset, r.paper_key, r.metric_match) for r in res2] == [("2024_ICML", "0_Deep Nets", 1.0)]
