@@ -285,3 +285,12 @@ def file_catalog(spark, sf_dir):
     (file bodies are not read)."""
     from lectern.sources.catalog import catalog_folders
     return catalog_folders(spark, [sf_dir], "*.parquet")
+
+
+@query("jaccard_lsh")
+def jaccard_lsh(spark, sf_dir):
+    """OPT3 at scale: MinHash-LSH approximate Jaccard neighbours of the query's word set."""
+    from lectern.operators.semantic import minhash_jaccard_nearest
+    p = papers(spark, sf_dir).select("dataset", "paper_key", tx.clean_tokens("title").alias("toks"))
+    q = srch.query_terms(spark, "ones reed anhe heat")
+    return minhash_jaccard_nearest(p, "toks", q, k=10).select("dataset", "paper_key", "distance")
