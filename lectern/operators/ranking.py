@@ -26,15 +26,25 @@ def threshold_filter(df: DataFrame, score: str, threshold: float, strict: bool =
 
 
 def top_k_per_group(df: DataFrame, group: str | Sequence[str], order: Sequence[Column],
-                    k: int, rank_col: str | None = None) -> DataFrame:
+                    k: int, rank_col: str | None = None, fan_in: int | None = None) -> DataFrame:
     """WIN2: at most ``k`` rows per group by ``order``.
 
     ``row_number() <= k`` is planned with a partial WindowGroupLimit before the
-    shuffle, so a hot group sends at most k rows per map task, not its rows.
+    shuffle, so each map task sends at most k rows per group.  With ``fan_in``
+    the limit becomes a two-level tree: first per (group, bucket of map tasks),
+    then per group, so the last task of a group holding a third of a very large
+    input reads at most ``k * fan_in`` rows instead of k rows from every map
+    task.  The top-k of a union equals the top-k of the parts' top-k's, so the
+    result is exact whatever the bucket assignment.
     """
     if k < 0:
         raise ValueError("limit must be >= 0")
     groups = [group] if isinstance(group, str) else list(group)
+    if fan_in:
+        bucket = F.pmod(F.spark_partition_id(), F.lit(int(fan_in)))
+        w1 = Window.partitionBy(*groups, "_bucket").orderBy(*order)
+        df = (df.withColumn("_bucket", bucket).withColumn("_r1", F.row_number().over(w1))
+              .filter(F.col("_r1") <= k).drop("_r1", "_bucket"))
     w = Window.partitionBy(*groups).orderBy(*order)
     rn = rank_col or "_rn"
     out = df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= k)

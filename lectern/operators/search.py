@@ -24,6 +24,8 @@ from lectern.operators.ranking import threshold_filter, top_k_per_group
 from lectern.schemas import SEARCH_MODELS
 
 KEY = ("dataset", "paper_key")
+# Map-task buckets of the two-level per-dataset top-k (bounds the final task's input).
+TOPK_FAN_IN = 256
 
 
 def field_text(df: DataFrame, field: str) -> Column:
@@ -119,7 +121,8 @@ def rank_and_limit(scored: DataFrame, model: str, limit: int, threshold: float)
     fuzzy = model == "Fuzzy"
     kept = threshold_filter(scored, "score", threshold, strict=fuzzy, as_float=not fuzzy)
     annotated = annotate(kept, threshold, 3 if fuzzy else 4).drop("score")
-    return top_k_per_group(annotated, "dataset", [F.col("metric_match").desc(), *tie_order(annotated)], limit)
+    return top_k_per_group(annotated, "dataset", [F.col("metric_match").desc(), *tie_order(annotated)], limit,
+                           fan_in=TOPK_FAN_IN)
 
 
 Scorer = Callable[..., DataFrame]
@@ -216,7 +219,7 @@ def search_many(papers: DataFrame, queries: Sequence[str], field: str = "abstrac
     kept = threshold_filter(scored, "score", threshold)
     annotated = annotate(kept, threshold, 4).drop("score")
     return top_k_per_group(annotated, ["run", "dataset"],
-                           [F.col("metric_match").desc(), *tie_order(annotated)], limit)
+                           [F.col("metric_match").desc(), *tie_order(annotated)], limit, fan_in=TOPK_FAN_IN)
 
 
 def join_scores(scores: DataFrame, papers: DataFrame, order_col: str | None = None) -> DataFrame:

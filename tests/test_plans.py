@@ -12,10 +12,11 @@ def plan(spark, name, sf):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_search_has_one_shuffle_with_partial_limit(spark, sf_small):
+def test_search_shuffles_only_limited_rows(spark, sf_small):
     p = plan(spark, "search_papers", sf_small)
-    assert p.count("Exchange hashpartitioning(dataset") == 1
-    assert "WindowGroupLimit" in p and "Partial" in p
+    # two-level top-k: (dataset, task bucket) then dataset, each with a partial limit
+    assert p.count("Exchange hashpartitioning(dataset") == 2
+    assert p.count("WindowGroupLimit") >= 2 and "Partial" in p
     # the tokenizer runs once per row (not re-inlined into a pushed-down filter)
     assert p.count("split(coalesce(text") == 1
 

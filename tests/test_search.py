@@ -162,3 +162,15 @@ def test_encoder_models_through_search(spark, papers):
     assert all(v <= 1 for v in per.values())
     with pytest.raises(ValueError):
         srch.search(papers, "x", "Marco", "title")
+
+
+def test_two_level_topk_is_exact(spark):
+    import random
+    from lectern.operators.ranking import top_k_per_group
+    rnd = random.Random(9)
+    rows = [("hot" if i % 3 else f"d{i % 7}", i, rnd.randint(0, 50)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "dataset string, paper_key long, s long").repartition(16)
+    order = [F.col("s").desc(), F.col("paper_key")]
+    a = top_k_per_group(df, "dataset", order, 7, rank_col="r", fan_in=4).collect()
+    b = top_k_per_group(df, "dataset", order, 7, rank_col="r").collect()
+    assert sorted(a) == sorted(b)
