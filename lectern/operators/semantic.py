@@ -36,10 +36,12 @@ def nearest(df: DataFrame, vec_col: str, query: Column | Sequence[float], key_co
             drop_first: bool = False) -> DataFrame:
     """SIM7/WIN5/SRT5: the k most similar rows, best first, ties by key, with a
     1-based ``rank``.  ``drop_first`` reproduces the semantic-search slice that
-    discards the best hit (normally the query itself)."""
+    discards the best hit (normally the query itself).  The global top-k is a
+    two-level tree (per bucket of map tasks, then overall), so the last task
+    reads at most k x 256 rows however large the corpus."""
     scored = score_against(df, vec_col, query).filter(F.col("score").isNotNull())
     top = top_k_per_group(scored.withColumn("_all", F.lit(0)), "_all",
-                          [F.col("score").desc(), F.col(key_col)], k, rank_col="rank").drop("_all")
+                          [F.col("score").desc(), F.col(key_col)], k, rank_col="rank", fan_in=256).drop("_all")
     top = top.withColumn("rank", F.col("rank").cast("long"))
     return top.filter(F.col("rank") > 1) if drop_first else top
 
@@ -118,7 +120,9 @@ def word2vec_scores(papers: DataFrame, query: str, field: str, vector_size: int
 
     Word vectors are trained on the corpus itself with Spark ML ``Word2Vec``; its
     transform is the mean of the tokens' vectors (zero for an empty text).  The
-    query is not cleaned, only tokenised (as in the reference)."""
+    query is not cleaned, only tokenised (as in the reference).  Spark ML keeps
+    the vocabulary (words seen at least ``min_count`` times) and the vectors on
+    the driver and broadcasts them; raise ``min_count`` for very large corpora."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
     spark = papers.sparkSession
