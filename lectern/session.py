@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,21 +52,46 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for checkpoints and scratch tables.
 
-    On a cluster this setting names a shared folder and is respected as is.
-    Only when it is unset (local tests) a scratch folder is created.
+    A folder already set on the context wins, then ``spark.checkpoint.dir``.
+    Only a local session (tests, bench), where driver and executors are one
+    process, may go without: it gets a temporary folder.  On a cluster an unset
+    folder is an error, since executors would each write to their own disk.
     """
+    current = spark.sparkContext.getCheckpointDir()
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None and current is not None:
+        path = current.rsplit("/", 1)[0]
     if not path:
-        path = tempfile.mkdtemp(prefix="lectern-ckpt-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="lectern-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if current is None:
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    return shared_dir(spark)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back.
+
+    Cuts the lineage: what is read later no longer depends on the executors
+    that computed it, and non-deterministic columns (row ids) are fixed.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
