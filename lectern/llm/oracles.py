@@ -1,5 +1,9 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+from __future__ import annotations
+
+from lectern.llm import secret_scan
+
 SQL: dict[str, str] = {}
 
 SQL["op1_exact_dedup"] = r"""
@@ -14,3 +18,43 @@ SELECT doc_id,
        text_sha256
 FROM d
 """
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _secrets() -> str:
+    """The rules of the scan, matched by DuckDB's own engine.  Matches and the gaps between
+    them give the positions.  Letters of either case are written out (ASCII only)."""
+    keyword = _either_case("password|passwd|secret|token|api_?key")
+    parts = []
+    for r, rule in enumerate(secret_scan.RULES):
+        words = "(?i:password|passwd|secret|token|api_?key)"
+        pattern = rule.pattern.replace(words, keyword).replace("'", "''")
+        pattern = "[0-9a-f]{32,}" if rule.kind == "hex" else pattern
+        parts.append(f"""
+  SELECT r, {r} AS rule, '{rule.kind}' AS kind, {rule.base} AS base, {rule.least} AS least,
+         unnest(regexp_extract_all(text, '{pattern}')) AS w,
+         unnest(regexp_extract_all(text, '{pattern}', {rule.group})) AS g,
+         unnest(list_slice(string_split_regex(text, '{pattern}'), 1, len(regexp_extract_all(text, '{pattern}')))) AS gap,
+         unnest(range(len(regexp_extract_all(text, '{pattern}')))) AS nth
+  FROM d""")
+    said = "kind || ':' || (e - length(w))::VARCHAR || ':' || e::VARCHAR"
+    counts = "".join(f", count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.RULES if r.base)
+    shown = "".join(f", coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secret_scan.RULES if r.base)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+s AS (SELECT *, sum(length(gap) + length(w)) OVER (PARTITION BY r, rule ORDER BY nth)::BIGINT AS e FROM m),
+a AS (
+  SELECT r{counts},
+         string_agg({said}, ',' ORDER BY e - length(w), rule) FILTER (base) AS base_said,
+         string_agg({said}, ',' ORDER BY e - length(w), rule) AS spans
+  FROM s WHERE length(g) >= least GROUP BY r)
+SELECT doc_id{shown}, sha256(coalesce(base_said, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (r)
+"""
+
+
+SQL["op3_secret_scan"] = _secrets()
