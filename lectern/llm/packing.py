@@ -18,13 +18,14 @@ id; an empty table gives no sequences; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,34 +35,77 @@ SEQUENCE = 4096
 CELL = 64
 END_ID = 2
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Pieces that are ranked together in one group.
-RANKED = 1 << 17
+RANKED = 1 << 14
 
 
 # --- tokens -----------------------------------------------------------------------------
+def byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: printable bytes stand for
+    themselves, the others for the code points from 256 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return [chr(rest.get(b, b)) for b in range(256)]
+
+
 class WordTokens:
-    """Ids of texts by a tokenizer that drops white space, so that the text's words can be
-    encoded one by one and remembered."""
+    """Ids of texts by a tokenizer that drops white space, so that a text's words can be
+    encoded one by one and remembered.
+
+    A new word that is plain (Latin-1, no special token in it) is split by the tokenizer's
+    own expression and its parts, which many words share, go to the vocabulary model one by
+    one; lower-casing and normal form are the same there for single characters.  Any other
+    word, and any word of a tokenizer built otherwise, is encoded by the tokenizer itself.
+    """
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.known: dict[str, bytes] = {}
-        self.words = re.compile(r"[^\x20\x09-\x0D]+").findall
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
+        split = [x for x in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.special = regex.compile("|".join(regex.escape(x["content"]) for x in made["added_tokens"]) or "(?!)").search
+        self.parts = None
+        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in split] == ["Split", "ByteLevel"]:
+            self.parts = regex.compile(split[0]["pattern"]["Regex"]).findall
+        self.letters = byte_letters()
+        self.known: dict[bytes, bytes] = {}
+        self.of_part: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        ids = self.of_part.get(part)
+        if ids is None:
+            if len(self.of_part) >= REMEMBERED:
+                self.of_part.clear()
+            shown = part if part.isalpha() and part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
+            self.of_part[part] = ids
+        return ids
+
+    def word(self, word: bytes) -> bytes:
+        said = word.decode("utf-8", "replace")
+        plain = self.parts is not None and not self.special(said)
+        if plain and (said.isascii() or max(said) <= "\xff"):
+            return b"".join([self.part(p) for p in self.parts(said.lower())])
+        return np.array(self.tokenizer.encode(said, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = self.words(text)
-        new = list({w for w in words if w not in self.known})
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = list(set(words))
-            for w, e in zip(new, self.encode(new, add_special_tokens=False)):
-                self.known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        words = text.encode("utf-8", "replace").split()  # splits at ASCII white space only
+        known = self.known
+        new = set(words).difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = set(words)
+        for w in new:
+            known[w] = self.word(w)
+        return b"".join([known[w] for w in words])
 
 
 def cuts(n: int, sequence: int = SEQUENCE, cell: int = CELL) -> list[tuple[int, int]]:
