@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exact_dedup, language_id, mixing, oracles, packing, secret_scan, substring_dedup
+from lectern.llm import exact_dedup, language_id, mixing, near_dedup, oracles, packing, secret_scan, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = dict(oracles.SQL)
@@ -40,6 +40,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digest(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@_query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=80, shingle=2)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id",
+                        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 @_query
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
