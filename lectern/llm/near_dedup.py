@@ -185,28 +185,25 @@ def common(a: pd.Series, b: pd.Series) -> pd.Series:
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable over ``links`` (a, b), for nodes with links.
 
-    Alternating large and small stars: every step keeps the components and brings nodes
-    nearer to the smallest one, until each edge leads to it.  Written down after each round.
+    Contraction: every node hooks to the smallest of itself and its neighbours, and the edges
+    are renamed accordingly, until none is left.  Every round is written down; the sides of
+    its joins are broadcast only if Spark knows them for small.
     """
-    edges = scratch_table(links.select("a", "b").where("a != b").distinct(), "near-edges")
-    before = None
-    while True:
-        # Large star: larger neighbours go to the smallest of the neighbourhood.
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        # Small star: smaller neighbours, and the node itself, go to the smallest neighbour.
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (down.join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-                 .union(lowest.select("u", "m")).where("a != b").distinct())
-        edges = scratch_table(small, "near-edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    found = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
-    return found.union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    edges = scratch_table(links.select("a", "b").where("a != b"), "near-edges")
+    labels = None
+    while edges.head(1):
+        both = edges.union(edges.select("b", "a"))
+        up = scratch_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("up")), "near-up")
+        if labels is None:
+            labels = up.withColumnRenamed("up", "comp")
+        else:
+            moved = labels.join(up.withColumnRenamed("node", "comp"), "comp", "left")
+            labels = scratch_table(moved.select("node", F.coalesce("up", "comp").alias("comp")), "near-comp")
+        for end in ("a", "b"):
+            edges = edges.join(up.select(F.col("node").alias(end), F.col("up").alias(f"up_{end}")), end)
+        edges = scratch_table(edges.select(F.col("up_a").alias("a"), F.col("up_b").alias("b")).where("a != b").distinct(),
+                              "near-edges")
+    return labels
 
 
 # --- links ----------------------------------------------------------------------------------
@@ -221,7 +218,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -
         return nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
 
     margin = 6 * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
-    likely = (pairs.join(side("a"), "a").join(side("b"), "b").where(_fits("n_a", "n_b", percent))
+    likely = (scratch_table(pairs, "near-pairs").join(side("a"), "a").join(side("b"), "b").where(_fits("n_a", "n_b", percent))
               .withColumn("j", estimate("s_a", "s_b", "n_a", "n_b")).where(F.col("j") >= percent / 100 - margin)
               .select("a", "b", "n_a", "n_b"))
     likely = scratch_table(likely, "near-likely")
@@ -256,13 +253,13 @@ def link(docs_nodes: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     nodes = docs_nodes.select("node", "n", "sketch")
     bands = nodes.select("node", "n", F.explode(band_keys("sketch")).alias("key"), F.col("node").alias("comp"))
     opened = _open(bands, None)
-    asked = opened.select("node").distinct().join(docs_nodes.select("node", "id", "digest"), "node")
+    asked = scratch_table(docs_nodes.join(opened.select("node").distinct(), "node", "left_semi"), "near-asked")
     # The sets of all nodes that can ever be compared, from one more pass over the texts.
     keyed = asked.select("node", F.xxhash64("id").alias("key"), F.col("digest").alias("digest_"))
     some = texts.select(F.xxhash64("id").alias("key"), "text").join(keyed, "key")
     sets = some.select("node", "digest_", full_sets(F.col("text"), shingle).alias("s")).where("s.digest = digest_")
     sets = scratch_table(sets.select("node", "s.members").dropDuplicates(["node"]), "near-sets")
-    links, tried, labels, last = None, None, None, False
+    labels, last = None, False
     for turn in range(HUB_ROUNDS + 1):
         if last or not opened.head(1):
             break
@@ -271,19 +268,20 @@ def link(docs_nodes: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
             order = F.xxhash64("node", F.lit(turn))
             hubs = opened.groupBy("key").agg(F.min_by(F.struct("node", "comp"), order).alias("h"))
             pairs = (opened.join(hubs, "key").where("comp != h.comp")
-                     .select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")))
+                     .select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct())
         else:
-            x, y = opened.alias("x"), opened.alias("y")
-            pairs = (x.join(y, F.col("x.key") == F.col("y.key"))
-                     .where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _fits("x.n", "y.n", percent))
+            # A pair is made in the first of the buckets that it shares, and so once.
+            own = opened.join(opened.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
+            x, y = own.alias("x"), own.alias("y")
+            pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
+                            & (F.col("x.comp") != F.col("y.comp")) & _fits("x.n", "y.n", percent)
+                            & (F.col("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys"))))
                      .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-        pairs = pairs.distinct()
-        pairs = scratch_table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        new = _verify(pairs, nodes, sets, percent)
+        new = _verify(pairs, asked, sets, percent)
         if new.head(1):
-            links = new if links is None else links.union(new)
-            labels = scratch_table(components(links), "near-labels")
+            if labels is not None:
+                new = new.union(labels.select("node", "comp"))
+            labels = components(new)
             if not last:
                 opened = _open(opened, labels)
     return labels
