@@ -168,10 +168,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The mix itself, in the columns of ``docs``: a document once for each whole round, and
     the part of its text that its shard's last, partial round takes."""
     sizes = scratch_table(_sized(docs, id_col, text_col, source_col), "mix-sizes")
-    rows = _sized(docs.select("*"), id_col, text_col, source_col).columns
     full = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                        n_words(F.col(text_col)).alias("size"))
-    assert rows == ["id", "source", "size"]
     placed = _placed(full, sizes, seed, block_words, shard_words, max_repeats)
     (x1, y1), (x2, y2) = _overlap(F.col("a1"), F.col("b1")), _overlap(F.lit(0), F.col("b2"))
     rounds = F.when(F.col("rounds") > 0, F.array_repeat(F.struct(F.lit(0).cast("long").alias("x"), F.col("size").alias("y")),

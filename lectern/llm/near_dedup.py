@@ -263,7 +263,7 @@ def link(docs_nodes: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     for turn in range(HUB_ROUNDS + 1):
         if last or not opened.head(1):
             break
-        last = turn == HUB_ROUNDS or turn > 0 and _open_pairs(opened) <= BANDS * opened.count()
+        last = turn == HUB_ROUNDS or turn > 0 and _open_pairs(opened) <= opened.count()
         if not last:
             order = F.xxhash64("node", F.lit(turn))
             hubs = opened.groupBy("key").agg(F.min_by(F.struct("node", "comp"), order).alias("h"))

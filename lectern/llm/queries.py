@@ -7,7 +7,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exact_dedup, language_id, mixing, near_dedup, oracles, packing, secret_scan, substring_dedup
+from lectern.llm import (exact_dedup, exact_topk, html_text, language_id, mixing, near_dedup, oracles, packing, quality,
+                         secret_scan, substring_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = dict(oracles.SQL)
@@ -35,11 +36,27 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@_query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 @_query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digest(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@_query
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @_query
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=80, shingle=2)
