@@ -8,12 +8,13 @@ into one Spark column expression, which scores all rows.
 
 Defined cases: a null or empty text has statistics of 0 and is scored like any other; a null id
 counts as held out; null labels teach nothing; a label given twice teaches twice; without any
-label, or with labels of one kind only, the score is a constant (0.5, or 0 or 1); an empty table
+label, with labels of one kind only, or if nothing tells them apart, the score is a constant; an empty table
 gives an empty result; extra columns, also those named like a statistic, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -112,8 +113,8 @@ def fit(rows: DataFrame, names: list[str]) -> Model:
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird")
     grown = forest.fit(rows.select(array_to_vector("x").alias("features"), "label"))
     rules = tree_rules(grown.toDebugString)
-    if not rules:
-        raise ValueError("the forest has no split: the statistics of all labelled rows are equal")
+    if not rules:  # all labelled rows have equal statistics
+        return Model(names, math.log(seen[1.0] / seen[0.0]), {})
     held = rows.select(array_to_vector(F.array(*[r.column(names) for r in rules])).alias("features"), "label")
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=PENALTY, maxIter=80)
     weighed = lasso.fit(scratch_table(held, "quality-rules"))

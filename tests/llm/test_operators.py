@@ -1,0 +1,287 @@
+"""Small fixtures, with the cases that each operator defines, against brute force."""
+
+import hashlib
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lectern.llm import (exact_dedup, exact_topk, html_text, language_id, mixing, near_dedup, packing, quality, secret_scan,
+                         substring_dedup)
+from lectern.llm.queries import tokenizer_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, kept string, size string, row string"
+
+
+def words(seed: int, n: int) -> list[str]:
+    r = np.random.default_rng(seed)
+    return [f"w{x}" for x in r.integers(0, 500, n)]
+
+
+LONG = words(1, 120)
+TEXTS = [
+    " ".join(LONG), " ".join(LONG[:60] + ["x"] + LONG[61:]), "  ".join(LONG), " ".join(words(2, 30) + LONG[20:90] + words(3, 30)),
+    None, "", " \n", "one", "One", "two words", " ".join(words(4, 20_000)), "a b" * 40, " ".join(words(2, 30) + LONG[20:90] + words(3, 30)),
+    "Größe ÀÉ", "12 34 !?",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", "de"][i % 2], ["a", "b", None][i % 3], "k", "s", "r") for i, t in enumerate(TEXTS)]
+    rows += [rows[3], rows[0], (None, "null id " + " ".join(LONG[:70]), None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_exact_dedup(docs, empty):
+    got = exact_dedup.decide(docs, frequent=4).collect()
+    assert len(got) == docs.count()
+    groups: dict = {}
+    for r in docs.collect():
+        groups.setdefault((r.text or "").translate({c: None for c in (9, 10, 11, 12, 13, 32)}), []).append(r)
+    for bare, rows in groups.items():
+        digest = hashlib.sha256(bare.encode()).digest()
+        own = [g for g in got if bytes(g.digest) == digest]
+        best = min(rows, key=lambda r: (-len(r.text or ""), r.doc_id is None, r.doc_id or 0))
+        assert {(g.keep_id, g.group_size) for g in own} == {(best.doc_id, len(rows))}
+        assert sum(g.kept for g in own) == 1
+    kept = exact_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+    assert exact_dedup.decide(empty).count() == 0 and exact_dedup.exact_dedup(empty).count() == 0
+
+
+def test_html():
+    page = ("<html><head><title>t</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>"
+            "<div class='ad'>Buy now, it is very cheap and good for you and everybody else here.</div><article><h1>Head&amp;er</h1>"
+            "<p><b>First  para.<br>next<p>Second&nbsp;one</p><ul><li><a href=/>x</a></li><li><a href=/>y</a></li></ul>"
+            "<div id='comments'>I liked it</div><p>z</p></article><footer>(c)</footer></body></html>")
+    assert html_text.main_text(page) == "Head&er\nFirst para. next\nSecond one\nz"
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p></b>") == ""
+    plain = f"<body><div id=menu>{'m ' * 90}</div><div><p>{'long text ' * 30}</p><p>short</p></div><div class=sidebar>s</div><a"
+    assert html_text.main_text(plain) == ("long text " * 30).strip() + "\nshort"
+
+
+def test_html_table(spark):
+    rows = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<article>a</article>", "y")], "page_id long, url string, html string, text string")
+    assert {(r.id, r.text, r.n_chars) for r in html_text.extract(rows).collect()} == {(1, "", 0), (None, "a", 1)}
+    assert html_text.extract(rows.limit(0)).count() == 0
+
+
+def test_trigram_queries():
+    assert secret_scan.trigram_query(r"[0-9a-f]+") is True
+    assert secret_scan.trigram_query("AKIA[A-Z]+") == ("and", frozenset({"aki", "kia"}))
+    assert secret_scan.trigram_query("(abc|defg)x") == ("or", frozenset({
+        ("and", frozenset({"abc", "bcx"})), ("and", frozenset({"def", "efg", "fgx"}))}))
+
+
+def test_secrets(spark):
+    import re
+    texts = ["ß token=abcdefgh1 Password: 'x' AKIA" + "A" * 12 + " " + "0f" * 16, None, "", "token=secret: abcdefghijk", "apikey = k" * 3000,
+             "AKIAABC 0f0f", "pass\U0001F600word=" + "a" * 40, "gh" + "p_" + "a" * 36]
+    rows = spark.createDataFrame([(i % 7, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, spans int")
+    got = Counter((r.id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secret_scan.scan_digest(rows).collect())
+    want: Counter = Counter()
+    for i, t in enumerate(texts):
+        spans, counts = [], []
+        for n, rule in enumerate(secret_scan.RULES):
+            found = [m for m in re.finditer(rule.pattern, t or "", re.A) if len(m[rule.group]) >= rule.least]
+            counts.append(len(found))
+            spans += [(m.start(), n, f"{rule.kind}:{m.start()}:{m.end()}") for m in found]
+        base = ",".join(s for _, n, s in sorted(spans) if n < 3)
+        want[(i % 7, *counts[:3], hashlib.sha256(base.encode()).hexdigest(), ",".join(s for *_, s in sorted(spans)))] += 1
+    assert got == want
+    assert secret_scan.scan_digest(rows.limit(0)).count() == 0
+
+
+def test_topk(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in r.normal(size=4).round(1)]) for i in range(300)]
+    rows += [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(300, 340)]
+    rows += [(400, None), (500, [1.0, None, 0.0, 0.0]), (600, [float("nan"), 0.0, 0.0, 0.0]), (700, [1.0]), (None, [1.0] * 4), rows[5]]
+    table = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<float>, rank int")
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in exact_topk.top_k(table, F.col("vec_id") % 100 == 0).collect()}
+    ints = {i: np.floor(np.array(v, dtype=np.float32).astype(float) * 1024).astype(int) for i, v in rows[:340]}
+    want = {}
+    for q in (0, 100, 200, 300):
+        best = sorted((-int(v @ ints[q]), i) for i, v in ints.items() if i != q)[:10]
+        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
+    assert got == want
+    assert exact_topk.top_k(table.limit(0), F.lit(True)).count() == 0
+
+
+def test_quality(spark, docs, empty):
+    rows = [(i, " ".join(words(i, 60)) + "." if i % 2 else "### " * 40, i % 2) for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, words int")
+    labels = table.select("doc_id", F.col("words").alias("quality"))
+    got = quality.classify(table, labels).collect()
+    assert len(got) == 200 and all(r.predicted == r.id % 2 and 0 <= r.score <= 1 for r in got)
+    assert quality.classify(docs, labels.limit(0)).count() == docs.count()
+    assert quality.classify(empty, labels).count() == 0
+
+
+def test_rules_of_a_tree():
+    text = "Model\n  Tree 0 (weight 1.0):\n    If (feature 3 <= 0.5)\n     If (feature 1 > 2.0E-4)\n      Predict: 0.0\n    Else (feature 3 > 0.5)\n     Predict: 1.0\n"
+    assert quality.tree_rules(text) == [
+        quality.Rule(frozenset({(3, True, 0.5)})), quality.Rule(frozenset({(3, True, 0.5), (1, False, 2e-4)})),
+        quality.Rule(frozenset({(3, False, 0.5)}))]
+
+
+def shingles(text, n):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+
+def test_near_dedup(spark, docs, empty):
+    r = np.random.default_rng(3)
+    base = words(9, 80)
+    rows = [(100 + i, " ".join(x if r.random() > 0.04 * (i % 4) else f"n{r.integers(99)}" for x in base)) for i in range(60)]
+    table = docs.select("doc_id", "text").where("doc_id is not null").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    data = [(x.doc_id, shingles(x.text, 2)) for x in table.collect()]
+    comp = {i: i for i, _ in data}
+    for _ in data:
+        for i, a in data:
+            for j, b in data:
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    got = near_dedup.near_duplicates(table, shingle=2).collect()
+    assert sorted((g.id, g.n_shingles, g.component_id) for g in got) == sorted((i, len(a), comp[i]) for i, a in data)
+    assert near_dedup.near_duplicates(docs).count() == docs.count() and near_dedup.near_duplicates(empty).count() == 0
+    assert near_dedup.near_dedup(docs).columns == docs.columns
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(9, 8), (8, 7), (7, 3), (5, 6), (20, 19), (19, 5), (4, 4)], "a long, b long")
+    got = {r.node: r.comp for r in near_dedup.components(links).collect()}
+    assert got == {9: 3, 8: 3, 7: 3, 3: 3, 5: 5, 6: 5, 19: 5, 20: 5}
+
+
+def test_sketch_estimates():
+    r = np.random.default_rng(0)
+    a = r.integers(0, 1 << 63, 400).astype(np.uint64)
+    b = np.concatenate([a[:320], r.integers(0, 1 << 63, 80).astype(np.uint64)])
+    x, y = near_dedup.sketches([a, b], 4096).astype(int)
+    j = near_dedup.likeliest(*(np.array([v]) for v in ((x > y).sum(), (x < y).sum(), (x == y).sum(), 400.0, 400.0)))
+    assert abs(j[0] - 320 / 480) < 0.05
+    both = near_dedup.sketches([np.union1d(a, b)], 4096)[0]
+    assert (np.maximum(x, y) == both).all()
+
+
+def test_substring_dedup(docs, empty):
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    first: dict = {}
+    for r in rows:
+        w = (r.text or "").encode().split()
+        for s in range(len(w) - 49):
+            first.setdefault(tuple(w[s:s + 50]), r.doc_id)
+    want: Counter = Counter()
+    for r in rows:
+        w = (r.text or "").encode().split()
+        gone = [False] * len(w)
+        for s in range(len(w) - 49):
+            if first[tuple(w[s:s + 50])] != r.doc_id:
+                gone[s:s + 50] = [True] * 50
+        kept = [x for x, g in zip(w, gone) if not g]
+        want[(r.doc_id, len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())] += 1
+    assert Counter(tuple(r) for r in substring_dedup.substring_dedup(docs).collect()) == want
+    assert substring_dedup.substring_dedup(empty).count() == 0
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+    encode = Tokenizer.from_file(tokenizer_path()).encode
+    got = packing.pack(docs, tokenizer_path(), keep_ids=True).collect()
+    by_sequence: dict = {}
+    for r in got:
+        assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    want: Counter = Counter()
+    for d in docs.collect():
+        ids = np.array([*encode(d.text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        for start, length in packing.cuts(len(ids)):
+            want[(d.doc_id, start, ids[start:start + length].tobytes(), len(ids))] += 1
+    assert Counter((r.id, r.start, bytes(r.ids), r.doc_tokens) for r in got) == want
+    assert packing.pack(empty, tokenizer_path()).count() == 0
+
+
+def test_tokens_by_words():
+    tokens = packing.WordTokens(tokenizer_path())
+    for t in ("Foo's <|endoftext|>bar İstanbul ΑΣ Å é \x85x\xa0y ²½ don''s a\x1cb", "'s'T''re ñandú'LL", "", "汉字 😀!"):
+        assert tokens.ids(t) == np.array(tokens.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_packing_pads_little():
+    r = np.random.default_rng(1)
+    counts = Counter(n for x in r.lognormal(6, 1, 5000) for _, n in packing.cuts(int(x) + 1))
+    plan = packing.packing_plan(counts)
+    assert (plan.sequence.max() + 1) * 4096 < sum(k * n for k, n in counts.items()) * 1.2  # few sequences beyond the least
+
+
+def test_language(spark, docs, empty):
+    rows = [(i, " ".join(["the house is green and big", "das haus ist grün und groß"][i % 2].split()[i % 3:]), ["en", "de"][i % 2], 1.0)
+            for i in range(200)]
+    table = spark.createDataFrame(rows + [(900, None, "en", 0.0), (901, "12 !", None, 0.0), (None, "the house", "de", 0.0)],
+                                  "doc_id long, text string, lang string, score double")
+    got = {r.id: r for r in language_id.identify(table).collect()}
+    assert all(got[i].lang_pred == ["en", "de"][i % 2] and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(200))
+    assert got[900].lang_pred == got[901].lang_pred == "und" and got[None].lang_pred == "en" and got[None].held_out
+    assert language_id.identify(empty).count() == 0 and language_id.accepted(table).columns == table.columns
+    assert language_id.accepted(table).count() == 201
+
+
+def test_mixing(spark, docs, empty):
+    rows = [(i, " ".join(["w"] * (5 + i % 40)), f"s{i % 5}" if i % 3 else "big", "x") for i in range(600)]
+    rows += [(9000, "only few words here", "tiny", "x"), (9001, None, None, "x"), (9002, "a b", None, "x"), rows[0]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, taken string")
+    got = mixing.mix_takes(table, shard_words=500).collect()
+    again = mixing.mix_takes(table.repartition(5), shard_words=500).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again)) and len(got) == len(rows)
+    assert all(r.taken <= 3 * r.size for r in got)
+    size = Counter()
+    for _, t, s, _ in rows:
+        size[s] += len((t or "").split())
+    weight = {s: i % 3 + 1 for i, s in enumerate(sorted((x for x in size if x is not None)) + [None])}
+    target, open_ = {}, set(size)
+    while True:  # as the contract says it
+        left = sum(size.values()) - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * size[s]}
+        if not over:
+            target |= share
+            break
+        target |= {s: 3 * size[s] for s in over}
+        open_ -= over
+    took: Counter = Counter()
+    source = {i: s for i, _, s, _ in rows}
+    for r in got:
+        assert abs(r.target - target[source[r.id]]) < 1e-6 and r.source_size == size[source[r.id]]
+        took[source[r.id]] += r.taken
+    assert all(abs(took[s] - target[s]) <= 8 + 0.02 * target[s] for s in size)
+    mixed = mixing.mix_documents(table, shard_words=500)
+    assert mixed.columns == table.columns
+    assert sum(len(r.text.split()) for r in mixed.collect()) == sum(r.taken for r in got)
+    assert mixing.mix_takes(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+
+
+def test_pipeline(spark, sf_small):
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_small)
+        assert out.schema == docs.schema or [f.name for f in out.schema] == docs.columns, name
+        out.write.mode("overwrite").format("noop").save()
+    assert corpus_pipeline.run(spark, sf_small).count() > 0
