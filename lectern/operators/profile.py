@@ -59,9 +59,9 @@ def alias_merge(counts: DataFrame, aliases: DataFrame, name: str = "value", coun
 def merge_counters(left: DataFrame, right: DataFrame, key: str = "value", count: str = "n") -> DataFrame:
     """JN10: dict.update semantics: every key of both; the right value overrides."""
     l = left.select(F.col(key).alias("_k"), F.col(count).alias("_l"))
-    r = right.select(F.col(key).alias("_k"), F.col(count).alias("_r"))
-    return (l.join(r, "_k", "full_outer")
-            .select(F.col("_k").alias(key), F.coalesce(F.col("_r"), F.col("_l")).alias(count)))
+    r = right.select(F.col(key).alias("_k2"), F.col(count).alias("_r"))
+    return (l.join(r, F.col("_k").eqNullSafe(F.col("_k2")), "full_outer")
+            .select(F.coalesce("_k", "_k2").alias(key), F.coalesce(F.col("_r"), F.col("_l")).alias(count)))
 
 
 def top_n(counts: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:

@@ -61,7 +61,7 @@ def last_wins(df: DataFrame, key: str | Sequence[str], order_col: str) -> DataFr
     others = [c for c in df.columns if c not in keys]
     packed = F.struct(*[F.col(c) for c in others])
     return (df.groupBy(*keys)
-            .agg(F.max_by(packed, F.col(order_col)).alias("_w"))
+            .agg(F.max_by(packed, F.struct(F.col(order_col).isNotNull(), F.col(order_col))).alias("_w"))
             .select(*keys, *[F.col("_w")[c].alias(c) for c in others]))
 
 
@@ -95,9 +95,10 @@ def dense_position(df: DataFrame, group: str, order: str | Sequence[str | Column
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(group, "_pid", "_first",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (tagged.join(offsets, [group, "_pid"])
+    offsets = offsets.withColumnsRenamed({group: "_group", "_pid": "_part"})
+    return (tagged.join(offsets, tagged[group].eqNullSafe(offsets["_group"]) & (tagged["_pid"] == offsets["_part"]))
             .withColumn(out, (F.col("_off") + F.col("_loc") - F.col("_first")).cast("long"))
-            .drop("_mid", "_pid", "_loc", "_first", "_off"))
+            .drop("_mid", "_pid", "_loc", "_first", "_off", "_group", "_part"))
 
 
 def first_wins(df: DataFrame, key: str | Sequence[str], order_col: str) -> DataFrame:

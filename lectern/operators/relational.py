@@ -25,8 +25,8 @@ def enrich(left: DataFrame, extras: DataFrame, on: str | Sequence[str]) -> DataF
 
 def add_if_absent(loaded: DataFrame, new: DataFrame, name: str = "dataset") -> DataFrame:
     """JN6: append the datasets of ``new`` whose name is not loaded yet."""
-    names = loaded.select(name).distinct()
-    return loaded.unionByName(new.join(names, name, "left_anti"))
+    names = loaded.select(F.col(name).alias("_loaded")).distinct()
+    return loaded.unionByName(new.join(names, new[name].eqNullSafe(names["_loaded"]), "left_anti"))
 
 
 def remove_datasets(papers: DataFrame, substring: str | None = None, names: Iterable[str] = (),
@@ -34,10 +34,10 @@ def remove_datasets(papers: DataFrame, substring: str | None = None, names: Iter
     """FLT6/SET4: drop datasets whose name contains ``substring`` and those listed."""
     out = papers
     if substring:
-        out = out.filter(~F.col(name).contains(substring))
+        out = out.filter(~F.coalesce(F.col(name).contains(substring), F.lit(False)))
     lst = list(names)
     if lst:
-        out = out.filter(~F.col(name).isin(lst))
+        out = out.filter(~F.coalesce(F.col(name).isin(lst), F.lit(False)))
     return out
 
 

@@ -13,7 +13,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("op") and n != "pipeline"))
 def test_query_smoke(spark, sf_small, name):
     df = entry.queries()[name](spark, sf_small)
     assert df.count() >= 0
