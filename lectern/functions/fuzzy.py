@@ -103,17 +103,20 @@ def fuzzy_score_bruteforce(query: str, candidate: str) -> float:
 
 
 def lcs_length(a: str | None, b: str | None) -> int:
-    """Longest common subsequence length, vectorised along ``b``."""
+    """Longest common subsequence length; one bit per character of ``b``, and only the
+    characters of ``a`` that ``b`` has do any work."""
     if not a or not b:
         return 0
-    bc = np.frombuffer(b.encode("utf-32-le"), dtype="<u4")
-    row = np.zeros(len(bc) + 1, dtype=np.int64)
+    where: dict[str, int] = {}
+    for i, ch in enumerate(b):
+        where[ch] = where.get(ch, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    free = full
     for ch in a:
-        t = np.empty_like(row)
-        t[0] = 0
-        t[1:] = np.maximum(row[1:], row[:-1] + (bc == ord(ch)))
-        row = np.maximum.accumulate(t)
-    return int(row[-1])
+        if ch in where:
+            hit = free & where[ch]
+            free = (free + hit | free - hit) & full
+    return len(b) - free.bit_count()
 
 
 # Spark side ------------------------------------------------------------------------------
@@ -144,7 +147,7 @@ def _dp_udf(q: str):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda c: fuzzy_score(q, c)).astype("float64")
+            yield s.map(lambda c: None if c is None else fuzzy_score(q, c)).astype("float64")
     return score
 
 
@@ -159,12 +162,11 @@ def score_fuzzy(df: DataFrame, query: str, text: Column, keep_zero: bool = False
     low = F.col("_low")
     is_sub = F.instr(low, q) > 0
     subseq = low.rlike(subsequence_pattern(q))
-    sub_rows = base.filter(is_sub).withColumn("score", _substring_score(low, q))
-    dp_rows = base.filter(~is_sub & subseq).withColumn("score", _dp_udf(q)(text))
-    out = sub_rows.unionByName(dp_rows)
-    if keep_zero:
-        out = out.unionByName(base.filter(~subseq).withColumn("score", F.lit(0.0)))
-    return out.drop("_low")
+    rows = base if keep_zero else base.filter(subseq)
+    # one scan; the UDF sees a text only where the native score does not apply
+    dp = _dp_udf(q)(F.when(~is_sub & subseq, text))
+    score = F.when(is_sub, _substring_score(low, q)).otherwise(F.coalesce(dp, F.lit(0.0)))
+    return rows.withColumn("score", score).drop("_low")
 
 
 def lcs_column(a: Column, b: str) -> Column:

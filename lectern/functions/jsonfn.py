@@ -57,19 +57,34 @@ def map_update(base: Column, *updates: Column) -> Column:
     return F.map_concat(base, *updates)
 
 
-def flatten_json_tree(df: DataFrame, json_col: str, keep: Sequence[str] = (), max_depth: int = 8) -> DataFrame:
+def json_depth(c: str | Column) -> Column:
+    """How deep objects and lists are nested in a JSON text (0 for a scalar or NULL):
+    the largest number of open brackets outside string literals."""
+    marks = F.regexp_replace(F.regexp_replace(_col(c), r'"(?:[^"\\\\]++|\\\\.)*+"', ""), r"[^\[\]{}]", "")
+    steps = F.split(marks, "")
+    zero = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def step(acc, x):
+        now = acc["open"] + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("open"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.coalesce(F.aggregate(steps, zero, step, lambda acc: acc["most"]), F.lit(0))
+
+
+def flatten_json_tree(df: DataFrame, json_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """JSN1: a JSON document -> ``(path, value)`` leaf rows, dict keys as ``.key``
     and list items as ``[i]`` (``$.a.b[1].c``), in document order.
 
     Each level is one projection: a node's children (object entries or list
-    items) or the node itself when it is a leaf go through one ``inline``, so
-    the plan grows linearly with ``max_depth`` and nothing is recomputed.
-    Scalars come out as text; empty containers stay as ``{}`` / ``[]`` leaves;
-    nodes deeper than ``max_depth`` stay as JSON text.
+    items) or the node itself when it is a leaf go through one ``inline``.  As many
+    levels are made as the deepest document has: one aggregate over the data finds
+    that number, so the plan grows linearly with it.  Scalars come out as text;
+    empty containers stay as ``{}`` / ``[]`` leaves.
     """
     keep = list(keep)
     cur = df.select(*keep, F.lit("$").alias("path"), F.col(json_col).alias("value"), F.lit(False).alias("leaf"))
-    for _ in range(max_depth):
+    depth = df.agg(F.max(json_depth(json_col))).first()[0] or 0
+    for _ in range(depth):
         v = F.ltrim(F.col("value"))
         m = F.from_json(F.col("value"), "map<string,string>")
         a = F.from_json(F.col("value"), "array<string>")

@@ -55,11 +55,16 @@ def centroids(df: DataFrame, group: str, vec_col: str, out: str = "centroid") ->
     return agg.select(group, vector_to_array("_m", "float64").alias(out))
 
 
-def cosine_to_centroid(df: DataFrame, group: str, vec_col: str) -> DataFrame:
-    """Each vector's cosine to its group's centroid.  The centroid table has one
-    row per group; AQE broadcasts it when its measured size allows."""
-    c = centroids(df, group, vec_col)
-    return df.join(c, group).withColumn("score", vx.cosine(F.col(vec_col), F.col("centroid"))).drop("centroid")
+def cosine_to_centroid(df: DataFrame, group: str, vec_col: str, salts: int = 64) -> DataFrame:
+    """Each vector's cosine to its group's centroid (NULL is a group too).  The centroid
+    table has one row per group; each is repeated for ``salts`` hash classes of
+    vectors, so that no task gets all vectors of a group when the join shuffles."""
+    c = centroids(df, group, vec_col).select(F.col(group).alias("_group"), "centroid",
+                                             F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    salted = df.withColumn("_vsalt", F.pmod(F.hash(vec_col), F.lit(salts)))
+    return (salted.join(c, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_vsalt") == F.col("_salt")))
+            .withColumn("score", vx.cosine(F.col(vec_col), F.col("centroid")))
+            .drop("centroid", "_group", "_salt", "_vsalt"))
 
 
 def kmeans(df: DataFrame, vec_col: str, k: int = 10, seed: int = 1, max_iter: int = 20) -> DataFrame:
@@ -97,43 +102,29 @@ def lsh_nearest(df: DataFrame, vec_col: str, query: Sequence[float], k: int = 10
             .drop("_features", "_hashes"))
 
 
-def minhash_jaccard_nearest(df: DataFrame, tokens_col: str, query_tokens: Sequence[str], k: int = 10,
-                            num_features: int = 1 << 18, num_tables: int = 5, seed: int = 11) -> DataFrame:
-    """OPT3 at scale: approximate Jaccard nearest neighbours of a token set with
-    MinHash LSH (binary hashed term sets); ``distance`` = 1 - Jaccard estimate."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-    from pyspark.ml.linalg import SparseVector
-    tf = HashingTF(inputCol="_set", outputCol="_features", numFeatures=num_features, binary=True)
-    sets = df.withColumn("_set", F.array_distinct(F.col(tokens_col))).filter(F.size("_set") > 0)
-    feats = tf.transform(sets)
-    model = MinHashLSH(inputCol="_features", outputCol="_hashes", numHashTables=num_tables, seed=seed).fit(feats)
-    idx = sorted({tf.indexOf(t) for t in query_tokens})
-    key = SparseVector(num_features, idx, [1.0] * len(idx))
-    return (model.approxNearestNeighbors(feats, key, k, distCol="distance")
-            .drop("_set", "_features", "_hashes"))
-
-
-# Word-vector search (SIM5, trained variant) --------------------------------------------
-def word2vec_scores(papers: DataFrame, query: str, field: str, vector_size: int = 32, min_count: int = 2,
-                    seed: int = 42, max_iter: int = 1, stopwords=None) -> DataFrame:
-    """Adds ``score`` = cosine(mean word vector of the query, of the cleaned field).
-
-    Word vectors are trained on the corpus itself with Spark ML ``Word2Vec``; its
-    transform is the mean of the tokens' vectors (zero for an empty text).  The
-    query is not cleaned, only tokenised (as in the reference).  Spark ML keeps
-    the vocabulary (words seen at least ``min_count`` times) and the vectors on
-    the driver and broadcasts them; raise ``min_count`` for very large corpora."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-    spark = papers.sparkSession
-    docs = papers.withColumn("_tok", tx.clean_tokens(F.col(field), stopwords))
-    w2v = Word2Vec(vectorSize=vector_size, minCount=min_count, seed=seed, maxIter=max_iter,
-                   inputCol="_tok", outputCol="_v")
-    model = w2v.fit(docs.select("_tok"))
-    qdf = spark.createDataFrame([(query,)], "q string").select(tx.word_tokens("q").alias("_tok"))
-    qvec = model.transform(qdf).select(vector_to_array("_v").alias("v")).first()["v"]
-    out = model.transform(docs).withColumn("_v", vector_to_array("_v"))
-    return score_against(out, "_v", [float(x) for x in qvec]).drop("_tok", "_v")
+# Word-vector search (SIM5) ---------------------------------------------------------------
+def word_vector_scores(papers: DataFrame, vectors: DataFrame, query: str, field: str, keys: Sequence[str],
+                       stopwords=None, salts: int = 16) -> DataFrame:
+    """``keys`` and ``score`` = cosine(mean word vector of the query, of the cleaned field).
+
+    ``vectors``: (term, vector), one row per term.  A paper's terms are counted, joined with their vectors on (term, salt) so that a term found in most papers
+    is met in ``salts`` tasks, and averaged by count (partial sums before the
+    shuffle).  The query is tokenised, not cleaned.  Papers without a known term are
+    left out; a query without one gives NULL scores."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    keys = list(keys)
+    rows = (papers.select(*keys, F.explode(tx.clean_tokens(F.col(field), stopwords)).alias("term"))
+            .groupBy(*keys, "term").agg(F.count(F.lit(1)).cast("double").alias("n"))
+            .withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")))
+    spread = vectors.select("term", array_to_vector(F.col("vector").cast("array<double>")).alias("v"),
+                            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    mean = vector_to_array(Summarizer.metrics("mean").summary(F.col("v"), F.col("n"))["mean"])
+    docs = rows.join(spread, ["term", "salt"]).groupBy(*keys).agg(mean.alias("_v"))
+    asked = (papers.sparkSession.range(1).select(F.explode(tx.word_tokens(F.lit(query))).alias("term"))
+             .join(vectors, "term")
+             .agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>")))).alias("q")))
+    return score_against(docs, "_v", asked.scalar()).drop("_v")
 
 
 # Encoder plug-in (SIM5-SIM7 with a pretrained model) -----------------------------------

@@ -8,6 +8,7 @@ from lectern.functions import jsonfn as js
 from lectern.functions import text as tx
 from lectern.operators.ranking import dense_position
 from lectern.plans.registry import query
+from lectern.plans.sqlfrag import PAPERS
 from lectern.sources import feeds, sinks
 from lectern.sources.papers import papers, read_table
 
@@ -15,7 +16,6 @@ _YEAR = r"\b(19[0-9]{2}|20[0-9]{2}|2100)\b"
 # Feed-index registry for the orders-as-index-items query (fixed values).
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 API_HOST = "https://api.example.org/conv/"
-CHUNK = 1000  # children per nested payload; bounds every re-nested group
 
 
 @query("json_object_explode", sql="""
@@ -29,43 +29,41 @@ def json_object_explode(spark, sf_dir):
 
 
 def _payloads(spark, sf_dir):
+    """One API payload per conversation turn, one result per word of its text."""
     c = read_table(spark, sf_dir, "conversations")
-    res = F.struct(
-        F.col("turn").cast("string").alias("id"),
-        F.substring_index("text", "\n", 1).alias("name"),
+    site = F.concat(F.lit("/virtual/"), F.col("conv_id").cast("string"), F.lit("/"))
+    results = F.transform(F.split("text", " "), lambda w, i: F.struct(
+        i.cast("string").alias("id"), w.alias("name"),
         F.array(F.struct(F.col("role").alias("fullname"), F.concat(F.lit("inst-"), "role").alias("institution")))
         .alias("authors"),
-        F.col("text").alias("abstract"),
-        F.array("role").alias("keywords"),
-        F.col("role").alias("topic"),
-        F.concat(F.lit("/virtual/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
-        .alias("virtualsite_url"))
-    grouped = (c.groupBy("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk"))
-               .agg(F.array_sort(F.collect_list(F.struct("turn", res.alias("r")))).alias("_rs")))
-    return grouped.select(
-        "conv_id", "chunk", F.concat(F.lit(API_HOST), F.col("conv_id").cast("string")).alias("url"),
-        F.to_json(F.struct(F.size("_rs").cast("long").alias("count"),
-                           F.transform("_rs", lambda x: x["r"]).alias("results"))).alias("payload"))
-
-
-@query("payload_to_papers", sql=f"""
-SELECT conv_id, pos || '_' || name AS paper_key, name, '0_' || role AS author_key, role AS topic,
-       'https://api.example.org' || '/virtual/' || conv_id || '/' || turn AS virtualsite_url, md5(text) AS abstract_md5
-FROM (SELECT *, split_part(text, chr(10), 1) AS name,
-             row_number() OVER (PARTITION BY conv_id, turn // {CHUNK} ORDER BY turn) - 1 AS pos FROM conversations)
+        F.concat(w, F.lit(" by "), F.col("role")).alias("abstract"),
+        F.array("role").alias("keywords"), F.col("role").alias("topic"),
+        F.concat(site, i.cast("string")).alias("virtualsite_url")))
+    return c.select(
+        "conv_id", "turn", F.concat(F.lit(API_HOST), F.col("conv_id").cast("string")).alias("url"),
+        F.to_json(F.struct(F.size(results).cast("long").alias("count"), results.alias("results"))).alias("payload"))
+
+
+@query("payload_to_papers", sql="""
+SELECT conv_id, turn, (i - 1) || '_' || w AS paper_key, w AS name, '0_' || role AS author_key, role AS topic,
+       'https://api.example.org' || '/virtual/' || conv_id || '/' || (i - 1) AS virtualsite_url,
+       md5(w || ' by ' || role) AS abstract_md5
+FROM (SELECT conv_id, turn, role, unnest(string_split(text, ' ')) AS w,
+             unnest(generate_series(1, len(string_split(text, ' ')))) AS i FROM conversations)
 """)
 def payload_to_papers(spark, sf_dir):
-    """SRC4/JSN3: conversations re-nested as JSON API payloads (one per conversation
-    chunk), then parsed back into papers."""
-    p = feeds.api_papers(_payloads(spark, sf_dir), keep=["conv_id"])
-    return p.select("conv_id", "paper_key", "name", F.element_at(F.map_keys("author"), 1).alias("author_key"),
+    """SRC4/JSN3: conversation turns as JSON API payloads with one result per word, parsed
+    back into papers; keys are unique in a payload however many results it has."""
+    p = feeds.api_papers(_payloads(spark, sf_dir), keep=["conv_id", "turn"])
+    return p.select("conv_id", "turn", "paper_key", "name", F.element_at(F.map_keys("author"), 1).alias("author_key"),
                     "topic", "virtualsite_url", F.md5("abstract").alias("abstract_md5"))
 
 
 @query("feed_item_to_paper", sql=r"""
 SELECT host, pos || '_' || trim(regexp_replace(title, '[^\p{L}\p{N}\s]', '', 'g')) AS paper_key, title, url,
        CAST(page_id AS VARCHAR) AS id,
-       regexp_replace(url, '\.[^.]*$', '') || '/' || split_part(regexp_extract(url, '[^/]*$'), '.', 1) || '.pdf' AS pdf
+       regexp_replace(url, '\.[^.]*$', '') || '/' || split_part(regexp_extract(url, '[^/]*$'), '.', 1) || '.pdf' AS pdf,
+       md5(array_to_string(regexp_extract_all(html, '<p[^>]*>(.*?)</p>', 1), chr(10))) AS abstract_md5
 FROM (SELECT *, split_part(url, '/', 3) AS host, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
              row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) - 1 AS pos FROM pages)
 """)
@@ -74,10 +72,11 @@ def feed_item_to_paper(spark, sf_dir):
     pg = read_table(spark, sf_dir, "pages")
     items = pg.select(tx.url_host("url").alias("host"), "page_id",
                       F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"),
-                      F.regexp_extract("html", r"<p[^>]*>(.*?)</p>", 1).alias("description"),
+                      feeds.paragraphs(F.col("html")).alias("description"),
                       F.col("url").alias("link"), F.col("page_id").cast("string").alias("guid"))
     items = dense_position(items, "host", "page_id")
-    return feeds.items_to_papers(items, keep=["host"]).select("host", "paper_key", "title", "url", "id", "pdf")
+    return feeds.items_to_papers(items, keep=["host"]).select(
+        "host", "paper_key", "title", "url", "id", "pdf", F.md5("abstract").alias("abstract_md5"))
 
 
 _DESC_SQL = "o_orderpriority || ' ' || CAST(o_orderdate AS VARCHAR) || ' ' || o_orderstatus"
@@ -132,16 +131,16 @@ def page_links(spark, sf_dir):
 @query("page_title", sql=r"""
 SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
        regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS h1,
-       md5(regexp_extract(html, '<p[^>]*>(.*?)</p>', 1)) AS first_p_md5,
+       md5(array_to_string(regexp_extract_all(html, '<p[^>]*>(.*?)</p>', 1), chr(10))) AS paragraphs_md5,
        CAST(CASE WHEN regexp_extract(html, '<span class="authors">([^<]*)</span>', 1) = '' THEN 0
             ELSE len(string_split(regexp_extract(html, '<span class="authors">([^<]*)</span>', 1), ',')) END AS INTEGER) AS n_authors,
        trim(regexp_extract(html, '<div id="info">([^<]*)</div>', 1)) AS conf_info
 FROM pages
 """)
 def page_title(spark, sf_dir):
-    """SRC7 regex form: title, heading, first paragraph, authors, conference info."""
+    """SRC7 regex form: title, heading, paragraphs, authors, conference info."""
     parts = feeds.page_parts(read_table(spark, sf_dir, "pages"))
-    return parts.select("page_id", "title", "h1", F.md5("first_p").alias("first_p_md5"),
+    return parts.select("page_id", "title", "h1", F.md5("paragraphs").alias("paragraphs_md5"),
                         F.size("authors").alias("n_authors"), "conf_info")
 
 
@@ -151,21 +150,17 @@ def parse_pages(spark, sf_dir):
     return feeds.parse_pages(read_table(spark, sf_dir, "pages"))
 
 
-@query("authors_map", sql=f"""
-SELECT conv_id, CAST(turn // {CHUNK} AS BIGINT) AS chunk,
-       to_json(map_from_entries(list(struct_pack(k := turn || '_' || role, v := role) ORDER BY turn)))::VARCHAR AS authors
-FROM conversations GROUP BY conv_id, turn // {CHUNK}
+@query("authors_map", sql="""
+SELECT conv_id, turn, to_json(map_from_entries(list_transform(string_split(text, ','),
+       lambda x, i: struct_pack(k := (i - 1) || '_' || trim(x), v := trim(x)))))::VARCHAR AS authors
+FROM conversations
 """)
 def authors_map(spark, sf_dir):
-    """AGG12: children re-nested into an ordered ``{"i_name": name}`` object per parent
-    (and per chunk of at most 1000 children, so no group is unbounded)."""
+    """AGG12: the comma-separated children of a row re-nested into one ordered
+    ``{"i_name": name}`` object, inside the row (no grouping, any number of children)."""
     c = read_table(spark, sf_dir, "conversations")
-    g = (c.groupBy("conv_id", F.floor(F.col("turn") / CHUNK).cast("long").alias("chunk"))
-         .agg(F.array_sort(F.collect_list(F.struct(
-             "turn", F.concat(F.col("turn").cast("string"), F.lit("_"), "role").alias("k"), F.col("role").alias("v")))
-         ).alias("_e")))
-    return g.select("conv_id", "chunk", F.to_json(F.map_from_entries(
-        F.transform("_e", lambda e: F.struct(e["k"], e["v"])))).alias("authors"))
+    names = F.transform(tx.split_authors("text"), lambda a: F.struct(a["key"].alias("k"), a["name"].alias("v")))
+    return c.select("conv_id", "turn", F.to_json(F.map_from_entries(names)).alias("authors"))
 
 
 @query("row_to_json", sql="""
@@ -179,13 +174,14 @@ def row_to_json(spark, sf_dir):
                     .alias("doc"))
 
 
-@query("papers_to_json")
+@query("papers_to_json", sql=f"SELECT dataset, paper_key, title, md5(abstract) AS abstract_md5, n_chars FROM {PAPERS}")
 def papers_to_json(spark, sf_dir):
     """SNK1 round trip: papers written as JSON lines partitioned by dataset, read back."""
-    p = papers(spark, sf_dir).select("dataset", "paper_key", "title", "n_chars")
+    p = papers(spark, sf_dir).select("dataset", "paper_key", "title", "abstract", "n_chars")
     path = sinks.scratch_path(spark, "papers")
     sinks.write_papers(p, path)
-    return spark.read.schema("paper_key long, title string, n_chars long, dataset string").json(path)
+    back = spark.read.schema("paper_key long, title string, abstract string, n_chars long, dataset string").json(path)
+    return back.select("dataset", "paper_key", "title", F.md5("abstract").alias("abstract_md5"), "n_chars")
 
 
 @query("json_or_text", sql="""
@@ -205,6 +201,21 @@ def flatten_json(spark, sf_dir):
     return js.flatten_json_tree(e, "props", keep=["event_id"])
 
 
+DEPTH = 12  # levels around each document of the nested form
+
+
+@query("flatten_json_deep", sql=f"""
+SELECT event_id, '$' || '.k' || '{".k".join(str(i) for i in range(1, DEPTH + 1))}' || '[' || p || '].' || k AS path, props ->> k AS value
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events), (SELECT unnest([0, 1]) AS p)
+""")
+def flatten_json_deep(spark, sf_dir):
+    """JSN1 on deep documents: two copies of each document in a list under ``DEPTH`` objects."""
+    head = "".join(f'{{"k{i}":' for i in range(1, DEPTH + 1))
+    e = read_table(spark, sf_dir, "events").select("event_id", F.concat(
+        F.lit(head + "["), "props", F.lit(","), "props", F.lit("]" + "}" * DEPTH)).alias("doc"))
+    return js.flatten_json_tree(e, "doc", keep=["event_id"])
+
+
 @query("retype_json", sql="""
 SELECT event_id, k AS key,
   CASE WHEN json_type(v::JSON) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' WHEN json_type(v::JSON) = 'VARCHAR' THEN 'string'

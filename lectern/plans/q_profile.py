@@ -15,16 +15,16 @@ _P = PAPERS
 
 
 @query("keyword_counts", sql=f"""
-SELECT keyword, count(*) AS n FROM (SELECT unnest({clean('title')}) AS keyword FROM {_P}) GROUP BY keyword
+SELECT keyword, count(*) AS n FROM (SELECT unnest({clean('abstract')}) AS keyword FROM {_P}) GROUP BY keyword
 """)
 def keyword_counts(spark, sf_dir):
-    """AGG1: keyword frequency; keywords = cleaned title words."""
-    return pf.flattened_frequency(papers(spark, sf_dir), tx.clean_tokens("title"), "keyword")
+    """AGG1: keyword frequency; keywords = cleaned words of the text."""
+    return pf.flattened_frequency(papers(spark, sf_dir), tx.clean_tokens("abstract"), "keyword")
 
 
 @query("keyword_top10", sql=f"""
-WITH t AS (SELECT paper_key, unnest({clean('title')}) AS keyword,
-                  unnest(generate_series(0, len({clean('title')}) - 1)) AS pos FROM {_P}),
+WITH t AS (SELECT paper_key, unnest({clean('abstract')}) AS keyword,
+                  unnest(generate_series(0, len({clean('abstract')}) - 1)) AS pos FROM {_P}),
 g AS (SELECT keyword, count(*) AS n, min(paper_key) AS first_key FROM t GROUP BY keyword),
 f AS (SELECT g.keyword, g.n, g.first_key, min(t.pos) AS first_pos FROM g JOIN t
       ON t.keyword = g.keyword AND t.paper_key = g.first_key GROUP BY ALL)
@@ -32,7 +32,7 @@ SELECT keyword, n, first_key, first_pos FROM f ORDER BY n DESC, first_key, first
 """)
 def keyword_top10(spark, sf_dir):
     """SRT1: ten most frequent keywords, ties by first appearance."""
-    counts = pf.first_seen_frequency(papers(spark, sf_dir), "paper_key", tx.clean_tokens("title"), "keyword")
+    counts = pf.first_seen_frequency(papers(spark, sf_dir), "paper_key", tx.clean_tokens("abstract"), "keyword")
     return pf.top_n(counts, 10, [F.col("n").desc(), F.col("first_key"), F.col("first_pos")])
 
 

@@ -52,7 +52,7 @@ def tf_cosine_zero(spark, sf_dir):
 
 
 @query("search_all", sql=f"""
-WITH s AS ({tf_scores(QUERY_B, field='title')}),
+WITH s AS ({tf_scores(QUERY_B, field='abstract')}),
 k AS (SELECT dataset, paper_key, {round_score('score')} AS metric_match FROM s
       WHERE CAST(score AS FLOAT) >= CAST(0.01 AS FLOAT)),
 r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY metric_match DESC, paper_key) AS rn FROM k)
@@ -60,8 +60,8 @@ SELECT dataset, paper_key, metric_match, CAST(0.01 AS DOUBLE) AS metric_thres, d
 FROM r WHERE rn <= 3
 """)
 def search_all(spark, sf_dir):
-    """SIM10: one search over all datasets on the title field."""
-    res = srch.search(papers(spark, sf_dir), QUERY_B, "Cosine", "title", 3, 0.01)
+    """SIM10: one search over all datasets on the whole text."""
+    res = srch.search(papers(spark, sf_dir), QUERY_B, "Cosine", "abstract", 3, 0.01)
     return res.select("dataset", "paper_key", "metric_match", "metric_thres", "conference")
 
 

@@ -8,6 +8,11 @@ from lectern.sources.sinks import scratch_path
 from lectern.streaming import ingest as st
 
 
+def _landing(sf_dir: str) -> str:
+    """The documents as a glob, which streams read whether it meets a file or a folder of parts."""
+    return f"{sf_dir.rstrip('/')}/{{documents.parquet}}"
+
+
 @query("stream_ingest", sql="""
 SELECT DISTINCT source AS dataset, doc_id AS paper_key, split_part(text, chr(10), 1) AS title, lang AS topic, n_chars
 FROM documents
@@ -15,7 +20,7 @@ FROM documents
 def stream_ingest(spark, sf_dir):
     """Streamed papers (de-duplicated) appended to a table, read back."""
     out, ckpt = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    st.ingest(spark, sf_dir, out, ckpt, glob="documents.parquet")
+    st.ingest(spark, _landing(sf_dir), out, ckpt)
     return spark.read.parquet(out).select("dataset", "paper_key", "title", "topic", "n_chars")
 
 
@@ -23,7 +28,7 @@ def stream_ingest(spark, sf_dir):
 def stream_search(spark, sf_dir):
     """Streamed search: per-batch top-k appended, merged on read; equals the batch flagship."""
     out, ckpt = scratch_path(spark, "stream-search"), scratch_path(spark, "stream-search-ckpt")
-    st.search_stream(spark, sf_dir, out, ckpt, q_search.QUERY, "Cosine", "abstract",
-                     q_search.LIMIT, q_search.THRESHOLD, glob="documents.parquet")
+    st.search_stream(spark, _landing(sf_dir), out, ckpt, q_search.QUERY, "Cosine", "abstract",
+                     q_search.LIMIT, q_search.THRESHOLD)
     res = st.read_search_results(spark, out, q_search.LIMIT)
     return res.select("dataset", "paper_key", "title", "metric_match", "metric_thres", "conference")

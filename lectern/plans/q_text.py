@@ -199,14 +199,14 @@ def derive_pdf_url(spark, sf_dir):
 
 
 @query("split_authors", sql=r"""
-WITH c AS (SELECT conv_id, turn, string_split(split_part(text, chr(10), 1), ',') AS parts FROM conversations)
+WITH c AS (SELECT conv_id, turn, string_split(text, ',') AS parts FROM conversations)
 SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS ord, (i - 1) || '_' || trim(parts[i]) AS key, trim(parts[i]) AS name
 FROM c, generate_series(1, len(parts)) AS g(i)
 """)
 def split_authors(spark, sf_dir):
-    """TXT11: comma list of the first line of each turn -> numbered entries."""
+    """TXT11: comma list of each turn -> numbered entries."""
     c = read_table(spark, sf_dir, "conversations")
-    return (c.select("conv_id", "turn", F.explode(tx.split_authors(F.substring_index("text", "\n", 1))).alias("a"))
+    return (c.select("conv_id", "turn", F.explode(tx.split_authors("text")).alias("a"))
             .select("conv_id", "turn", "a.ord", "a.key", "a.name"))
 
 
@@ -227,14 +227,13 @@ def split_dataset_name(spark, sf_dir):
 
 
 @query("search_name", sql=r"""
-SELECT item_id, 'cosine_abstract_' || array_to_string(regexp_split_to_array(lower(trim(split_part(text, '.', 1))), '\s+'), '-') AS name
+SELECT item_id, 'cosine_abstract_' || array_to_string(regexp_split_to_array(lower(trim(text)), '\s+'), '-') AS name
 FROM benchmark
 """)
 def search_name(spark, sf_dir):
     """TXT13/SNK2: saved-search names, one per benchmark passage used as a query."""
     b = read_table(spark, sf_dir, "benchmark")
-    return b.select("item_id", tx.search_name(F.lit("Cosine"), F.lit("abstract"),
-                                              F.substring_index("text", ".", 1)).alias("name"))
+    return b.select("item_id", tx.search_name(F.lit("Cosine"), F.lit("abstract"), "text").alias("name"))
 
 
 @query("human_bytes", sql="""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import search as srch
 from lectern.operators import semantic as sem
 from lectern.operators.ranking import threshold_filter, top_k_per_group
+from lectern.plans.q_search import QUERY
 from lectern.plans.registry import query
+from lectern.plans.sqlfrag import PAPERS, clean, sql_str, words
 from lectern.sources.papers import papers, read_table
 
 # The query vector is the embedding of vec_id 0 (a row of the data).
@@ -146,11 +147,30 @@ def lsh_topk(spark, sf_dir):
     return sem.lsh_nearest(e.select("vec_id", "embedding"), "embedding", qv, k=10).select("vec_id", "distance")
 
 
-@query("word2vec_search")
-def word2vec_search(spark, sf_dir):
-    """SIM5 trained variant: corpus word vectors, mean-pooled, cosine to the query."""
-    from lectern.plans.q_search import QUERY
-    p = papers(spark, sf_dir).select("dataset", "paper_key", "title")
-    scored = sem.word2vec_scores(p, QUERY, "title")
-    res = srch.rank_and_limit(scored, "Word2Vec", 5, 0.3)
-    return res.select("dataset", "paper_key", "metric_match", "metric_thres", "conference")
+# A term's vector is the embedding at its hash modulo the number of embeddings.
+_TERM_ID = "('0x' || substr(md5(term), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings)"
+
+
+@query("word_vector_search", sql=f"""
+WITH c AS (SELECT dataset, paper_key, term, count(*) AS n
+           FROM (SELECT dataset, paper_key, unnest({clean('abstract')}) AS term FROM {PAPERS}) GROUP BY ALL),
+q AS (SELECT unnest({words(sql_str(QUERY))}) AS term),
+tv AS (SELECT t.term, i, e.embedding[i]::DOUBLE AS x
+       FROM (SELECT term FROM c UNION SELECT term FROM q) t JOIN embeddings e ON e.vec_id = {_TERM_ID},
+            generate_series(1, len(e.embedding)) g(i)),
+d AS (SELECT dataset, paper_key, i, sum(n * x) / sum(n) AS x FROM c JOIN tv USING (term) GROUP BY ALL),
+m AS (SELECT i, avg(x) AS y FROM q JOIN tv USING (term) GROUP BY i)
+SELECT dataset, paper_key, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 6) AS score
+FROM d JOIN m USING (i) GROUP BY dataset, paper_key
+""")
+def word_vector_search(spark, sf_dir):
+    """SIM5/AGG9: mean word vector of every text against the query's, vectors given as a table."""
+    p = papers(spark, sf_dir)
+    e = read_table(spark, sf_dir, "embeddings")
+    n = e.select(F.count(F.lit(1))).scalar()
+    terms = (p.select(F.explode(tx.clean_tokens("abstract")).alias("term")).distinct()
+             .union(spark.range(1).select(F.explode(tx.word_tokens(F.lit(QUERY))))).distinct())
+    placed = terms.withColumn("vec_id", F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % n)
+    vectors = placed.join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("term", "vector")
+    scored = sem.word_vector_scores(p, vectors, QUERY, "abstract", ["dataset", "paper_key"])
+    return scored.select("dataset", "paper_key", F.round("score", 6).alias("score"))

@@ -119,8 +119,13 @@ def page_links(pages: DataFrame, html_col: str = "html", key: str = "page_id") -
                               for cap, field in PAGE_CAPTIONS.items()])
 
 
+def paragraphs(html: Column) -> Column:
+    """The contents of all ``<p>`` elements, one to a line (regex form)."""
+    return F.array_join(F.regexp_extract_all(html, F.lit(r"<p[^>]*>(.*?)</p>"), 1), "\n")
+
+
 def page_parts(pages: DataFrame, html_col: str = "html", key: str = "page_id") -> DataFrame:
-    """Regex form of the page extract: title, first heading, first paragraph,
+    """Regex form of the page extract: title, first heading, all paragraphs,
     ``span.authors`` list and ``div#info`` text (``""`` when absent)."""
     h = F.col(html_col)
     authors = F.regexp_extract(h, r'<span class="authors">([^<]*)</span>', 1)
@@ -128,50 +133,79 @@ def page_parts(pages: DataFrame, html_col: str = "html", key: str = "page_id") -
         key,
         F.regexp_extract(h, r"<title>([^<]*)</title>", 1).alias("title"),
         F.regexp_extract(h, r"<h1[^>]*>([^<]*)</h1>", 1).alias("h1"),
-        F.regexp_extract(h, r"<p[^>]*>(.*?)</p>", 1).alias("first_p"),
+        paragraphs(h).alias("paragraphs"),
         F.when(authors != "", tx.split_authors(authors)).otherwise(F.array()).alias("authors"),
         F.trim(F.regexp_extract(h, r'<div id="info">([^<]*)</div>', 1)).alias("conf_info"))
 
 
+VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements that a new sibling of the same kind closes.
+CLOSED_BY_SIBLING = frozenset(("li", "p"))
+
+
 class _PageParser(HTMLParser):
-    """Collects span.authors text, li captions with their first link, div#info text."""
+    """Collects the first span.authors text, li captions with their first link, and the
+    first div#info text.  End tags without an open match are ignored; void elements
+    are not nested; an open ``li`` or ``p`` ends where its next sibling starts."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, dict]] = []
-        self.authors: list[str] = []
-        self.info: list[str] = []
+        self.stack: list[tuple[str, str | None]] = []
+        self.found: dict[str, list[str]] = {}
         self.items: list[tuple[str, str | None]] = []
         self._li: list[list] = []
 
+    def _pop(self) -> str:
+        tag, _ = self.stack.pop()
+        if tag == "li":
+            text, href = self._li.pop()
+            self.items.append((text, href))
+            if self._li:
+                self._li[-1][0] += text
+        return tag
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID_TAGS:
+            self.handle_endtag(tag)
+
     def handle_starttag(self, tag, attrs):
+        if tag in VOID_TAGS:
+            return
         a = dict(attrs)
-        self.stack.append((tag, a))
+        if tag in CLOSED_BY_SIBLING:
+            for t, _ in reversed(self.stack):
+                if t == tag:
+                    self.handle_endtag(tag)
+                    break
+                if t in ("ul", "ol", "div"):
+                    break
+        role = None
+        if tag == "span" and "authors" in (a.get("class") or "").split() and "authors" not in self.found:
+            role = "authors"
+        elif tag == "div" and a.get("id") == "info" and "info" not in self.found:
+            role = "info"
+        if role:
+            self.found[role] = []
+        self.stack.append((tag, role))
         if tag == "li":
             self._li.append(["", None])
         elif tag == "a" and self._li and self._li[-1][1] is None:
             self._li[-1][1] = a.get("href")
 
     def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.stack):
+            while self._pop() != tag:
+                pass
+
+    def close(self):
+        super().close()
         while self.stack:
-            t, _ = self.stack.pop()
-            if t == "li" and self._li:
-                text, href = self._li.pop()
-                self.items.append((text, href))
-                if self._li:
-                    self._li[-1][0] += text
-            if t == tag:
-                break
+            self._pop()
 
     def handle_data(self, data):
-        for t, a in self.stack:
-            if t == "span" and "authors" in (a.get("class") or "").split():
-                self.authors.append(data)
-                break
-        for t, a in self.stack:
-            if t == "div" and a.get("id") == "info":
-                self.info.append(data)
-                break
+        for role in {r for _, r in self.stack if r}:
+            self.found[role].append(data)
         if self._li:
             self._li[-1][0] += data
 
@@ -184,14 +218,13 @@ def parse_page(html: str | None) -> dict:
     p = _PageParser()
     p.feed(html)
     p.close()
-    if p.authors:
-        for i, name in enumerate("".join(p.authors).split(",")):
+    if p.found.get("authors"):
+        for i, name in enumerate("".join(p.found["authors"]).split(",")):
             out["authors"][f"{i}_{name.strip()}"] = name.strip()
     for text, href in p.items:
         if text in PAGE_CAPTIONS and href is not None:
             out[PAGE_CAPTIONS[text]] = href
-    if p.info:
-        out["conf_info"] = "".join(p.info).strip()
+    out["conf_info"] = "".join(p.found.get("info", [])).strip()
     return out
 
 

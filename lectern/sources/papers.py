@@ -23,30 +23,13 @@ from pyspark.sql import functions as F
 from lectern import schemas
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over the cluster when the scan yields fewer partitions
-    than there are cores (a file written as one large row group is read by one
-    task, so all per-row work would run on one core).  A scan that already has
-    enough partitions - any large input - is returned unchanged: no shuffle is
-    added at scale.  Column pruning and filter pushdown pass through the
-    repartition, so only the needed columns and rows are moved."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
-# Driver tables whose rows carry per-row work worth spreading (fact tables, texts,
-# pages, vectors); small dimension tables are read as they are.
-BALANCED_TABLES = frozenset({"documents", "pages", "conversations", "lineitem", "orders", "events",
-                             "embeddings", "benchmark"})
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool | None = None) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as its files are split.  ``lectern.read.partitions``, if the caller has set it
+    on the session, deals the rows of every table over that many partitions (for
+    files of few row groups); column pruning and filter pushdown pass through."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if balance is None:
-        balance = name in BALANCED_TABLES
-    return spread(df) if balance else df
+    partitions = spark.conf.get("lectern.read.partitions", None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def papers_from_documents(documents: DataFrame) -> DataFrame:
@@ -66,8 +49,7 @@ def papers_from_documents(documents: DataFrame) -> DataFrame:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers view of ``documents``; rows spread over the cores when the file
-    is under-partitioned (text work is CPU-heavy)."""
+    """Papers view of ``documents``."""
     return papers_from_documents(read_table(spark, sf_dir, "documents"))
 
 

@@ -59,7 +59,8 @@ def search_stream(spark: SparkSession, source: str, out: str, checkpoint: str, q
 
     def run(batch: DataFrame, batch_id: int) -> None:
         res = srch.search(batch, query, model, field, limit, threshold)
-        res.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        # a folder per batch: a batch that is run again replaces its own rows
+        res.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (paper_stream(spark, source, glob=glob).writeStream.foreachBatch(run)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
