@@ -15,11 +15,13 @@ similarity of their sets is at least ``similarity``; the result names the connec
   the threshold are put aside.
 * **Verify.**  The full sets of the others are intersected.
 
-Documents with equal sets are one node from the start.  In a bucket nodes are not paired all with
-all: in each round every node is compared with one hub per bucket, and buckets whose
-nodes have met in one component are finished.  Once the pairs still open (in one bucket, in
-different components) are few for the number of open nodes, or after ``HUB_ROUNDS`` rounds, all of
-those not compared before are compared, so that no link is lost.
+Documents with equal sets are one node from the start.  First every node is compared with one hub
+per bucket; the hub then leaves its bucket, and buckets whose nodes have met in one component are
+finished.  The nodes of the other buckets are dealt into blocks of bounded size, nodes of the same
+large bucket together.  A node is sent once to each block that it shares a bucket with (a tile is
+two blocks, or one with itself), and the pairs of a tile that share a bucket and lie in
+different components are found, estimated and verified there.  A pair has one tile, so no link is
+lost; pairs are never rows, and a tile returns fewer links than it has nodes.
 
 Defined cases: a null text has no words; a text with fewer words than a shingle is one
 shingle of all its words; an empty set is linked with nothing and its component is its own id;
@@ -49,7 +51,10 @@ ROWS = 6
 REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base, rate, and the largest register value (16 bits).
 B, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
-HUB_ROUNDS = 6
+#: What a block holds on average at most: nodes, and bytes of their sketches and sets.
+BLOCK_NODES, BLOCK_BYTES = 1024, 4 << 20
+#: Candidate pairs of a tile that are estimated together.
+ESTIMATED = 20_000
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,15 +136,20 @@ def full_sets(text: Column, shingle: int) -> Column:
     return made(text)
 
 
+def banded(registers: np.ndarray) -> np.ndarray:
+    """The bucket of each sketch (row) in each band (column)."""
+    part = registers.reshape(-1, BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), part.shape[:2])
+    for r in range(ROWS):
+        keys = mix(keys * GOLDEN + part[:, :, r].astype(np.uint64))
+    return keys.view(np.int64)
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def band_keys(sketch: pd.Series) -> pd.Series:
     rows = []
     for at in range(0, len(sketch), 1000):
-        part = np.frombuffer(b"".join(sketch.iloc[at:at + 1000]), dtype=np.uint16).reshape(-1, BANDS, ROWS)
-        keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), part.shape[:2])
-        for r in range(ROWS):
-            keys = mix(keys * GOLDEN + part[:, :, r].astype(np.uint64))
-        rows.extend(keys.view(np.int64))
+        rows.extend(banded(np.frombuffer(b"".join(sketch.iloc[at:at + 1000]), dtype=np.uint16)))
     return pd.Series(rows, dtype=object)
 
 
@@ -212,14 +222,18 @@ def _fits(n_a: str, n_b: str, percent: int) -> Column:
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
+def _least_estimate(percent: int) -> float:
+    """Pairs with an estimate below it are put aside."""
+    return percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
+
+
 def _verify(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are similar, as a written table."""
     def side(name: str) -> DataFrame:
         return nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
 
-    margin = 6 * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
     likely = (scratch_table(pairs, "near-pairs").join(side("a"), "a").join(side("b"), "b").where(_fits("n_a", "n_b", percent))
-              .withColumn("j", estimate("s_a", "s_b", "n_a", "n_b")).where(F.col("j") >= percent / 100 - margin)
+              .withColumn("j", estimate("s_a", "s_b", "n_a", "n_b")).where(F.col("j") >= _least_estimate(percent))
               .select("a", "b", "n_a", "n_b"))
     likely = scratch_table(likely, "near-likely")
     full = likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("m_a")), "a")
@@ -229,20 +243,79 @@ def _verify(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -
                          .select("a", "b"), "near-links")
 
 
-def _open(bands: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows of buckets whose nodes lie in more than one component, with ``comp``."""
-    if labels is not None:
-        bands = (bands.drop("comp").join(labels, "node", "left")
-                 .withColumn("comp", F.coalesce("comp", "node")))
+def _open(bands: DataFrame) -> DataFrame:
+    """The rows (key, node, comp, ...) of buckets whose nodes lie in more than one component."""
     split = bands.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     return scratch_table(bands.join(split, "key", "left_semi"), "near-open")
 
 
-def _open_pairs(opened: DataFrame) -> int:
-    """Pairs that lie in one bucket and in different components."""
-    sizes = opened.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    pairs = sizes.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
-    return int(pairs.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0])
+def _tiles(opened: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The open nodes with sketches and sets, one row for each tile (p, q) that they belong to."""
+    counts = opened.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    homes = (opened.join(counts, "key").groupBy("node")
+             .agg(F.max_by("key", F.struct("c", "key")).alias("home"), F.first("comp").alias("comp")))
+    weight = F.greatest(F.lit(1 / BLOCK_NODES), (F.col("n") * 8 + 2 * REGISTERS) / BLOCK_BYTES)
+    homes = scratch_table(homes.join(nodes.select("node", "n"), "node").withColumn("weight", weight), "near-homes")
+    loads = homes.groupBy("home").agg(F.sum("weight").alias("load"))
+    # Large buckets are cut into blocks; small ones share blocks.
+    bins = math.ceil(homes.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]) + 1
+    block = (F.when(F.col("load") < 0.25, F.xxhash64(F.pmod("home", F.lit(bins))))
+             .otherwise(F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil("load")))))
+    blocks = scratch_table(homes.join(loads, "home").select("node", "comp", block.alias("block")), "near-blocks")
+    places = opened.select("key", "node").join(blocks.select("node", "block"), "node")
+    others = places.select("key", F.col("block").alias("other")).distinct()
+    met = places.join(others, "key").select("node", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    return (met.distinct().join(blocks, "node").join(nodes.select("node", "n", "sketch"), "node").join(sets, "node"))
+
+
+def _tile_links(percent: int):
+    """A function that gives enough links (a, b) of a tile to connect all that are linked in it."""
+    def links(tile: pd.DataFrame) -> pd.DataFrame:
+        node, n, block = (tile[c].to_numpy() for c in ("node", "n", "block"))
+        p, q = tile["p"].iloc[0], tile["q"].iloc[0]
+        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": node[:0], "b": node[:0]})
+        registers = np.frombuffer(b"".join(tile["sketch"]), dtype=np.uint16).reshape(-1, REGISTERS)
+        root, keys = tile["comp"].to_numpy().copy(), banded(registers)
+        # Candidates: in one bucket, of fitting size, in different components.
+        x, y = [], []
+        for i in left:
+            js = right[right > i] if p == q else right
+            js = js[(keys[js] == keys[i]).any(axis=1) & (root[js] != root[i])
+                    & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent)]
+            x.append(np.full(len(js), i))
+            y.append(js)
+        x, y = np.concatenate(x), np.concatenate(y)
+        likely = np.zeros(len(x), dtype=bool)
+        for at in range(0, len(x), ESTIMATED):
+            part = slice(at, at + ESTIMATED)
+            r, s = registers[x[part]], registers[y[part]]
+            found = likeliest((r > s).sum(axis=1), (r < s).sum(axis=1), (r == s).sum(axis=1),
+                              n[x[part]].astype(float), n[y[part]].astype(float))
+            likely[part] = found >= _least_estimate(percent)
+        x, y = x[likely], y[likely]
+        # Full sets, as positions among all members of the tile.
+        used = np.unique(np.concatenate([x, y]))
+        sets = [np.frombuffer(tile["members"].iloc[i], dtype=np.uint64) for i in used]
+        known, codes = np.unique(np.concatenate(sets), return_inverse=True) if sets else (used, used)
+        sets = dict(zip(used.tolist(), np.split(codes, np.cumsum([len(m) for m in sets])[:-1]))) if sets else {}
+        flag, out = np.zeros(len(known), dtype=np.int64), []
+        for first, last in zip(starts := np.flatnonzero(np.diff(x, prepend=-1)), [*starts[1:], len(x)]):
+            i, js = x[first], y[first:last]
+            js = js[root[js] != root[i]]
+            if not len(js):
+                continue
+            flag[sets[int(i)]] = 1
+            ends = np.cumsum(n[js])
+            both = np.add.reduceat(flag[np.concatenate([sets[int(j)] for j in js])], ends - n[js])
+            flag[sets[int(i)]] = 0
+            for j in js[both * 100 >= (n[i] + n[js] - both) * percent]:
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    out.append((node[i], node[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    return links
 
 
 def link(docs_nodes: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame | None:
@@ -251,40 +324,32 @@ def link(docs_nodes: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     docs_nodes: node, id, digest, n, sketch.  texts: id, text.
     """
     nodes = docs_nodes.select("node", "n", "sketch")
-    bands = nodes.select("node", "n", F.explode(band_keys("sketch")).alias("key"), F.col("node").alias("comp"))
-    opened = _open(bands, None)
+    opened = _open(nodes.select("node", F.explode(band_keys("sketch")).alias("key"), F.col("node").alias("comp")))
+    if not opened.head(1):
+        return None
     asked = scratch_table(docs_nodes.join(opened.select("node").distinct(), "node", "left_semi"), "near-asked")
     # The sets of all nodes that can ever be compared, from one more pass over the texts.
     keyed = asked.select("node", F.xxhash64("id").alias("key"), F.col("digest").alias("digest_"))
     some = texts.select(F.xxhash64("id").alias("key"), "text").join(keyed, "key")
     sets = some.select("node", "digest_", full_sets(F.col("text"), shingle).alias("s")).where("s.digest = digest_")
     sets = scratch_table(sets.select("node", "s.members").dropDuplicates(["node"]), "near-sets")
-    labels, last = None, False
-    for turn in range(HUB_ROUNDS + 1):
-        if last or not opened.head(1):
-            break
-        last = turn == HUB_ROUNDS or turn > 0 and _open_pairs(opened) <= opened.count()
-        if not last:
-            order = F.xxhash64("node", F.lit(turn))
-            hubs = opened.groupBy("key").agg(F.min_by(F.struct("node", "comp"), order).alias("h"))
-            pairs = (opened.join(hubs, "key").where("comp != h.comp")
-                     .select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct())
-        else:
-            # A pair is made in the first of the buckets that it shares, and so once.
-            own = opened.join(opened.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
-            x, y = own.alias("x"), own.alias("y")
-            pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-                            & (F.col("x.comp") != F.col("y.comp")) & _fits("x.n", "y.n", percent)
-                            & (F.col("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys"))))
-                     .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-        new = _verify(pairs, asked, sets, percent)
-        if new.head(1):
-            if labels is not None:
-                new = new.union(labels.select("node", "comp"))
-            labels = components(new)
-            if not last:
-                opened = _open(opened, labels)
-    return labels
+    hubs = opened.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("hub"))
+    ruled = scratch_table(opened.join(hubs, "key").where("node != hub"), "near-hubs")
+    pairs = ruled.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    links = _verify(pairs, asked, sets, percent)
+    labels = components(links)
+    if labels is None:
+        rest = ruled
+    else:
+        rest = ruled.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rest = _open(rest.select("key", "node", "comp"))
+    if not rest.head(1):
+        return labels
+    more = scratch_table(_tiles(rest, asked, sets).groupBy("p", "q").applyInPandas(_tile_links(percent), "a bigint, b bigint"),
+                         "near-links")
+    if not more.head(1):
+        return labels
+    return components(more if labels is None else more.union(labels.select("node", "comp")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
