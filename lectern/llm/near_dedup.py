@@ -263,9 +263,11 @@ def _tiles(opened: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
              .otherwise(F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil("load")))))
     blocks = scratch_table(homes.join(loads, "home").select("node", "comp", block.alias("block")), "near-blocks")
     places = opened.select("key", "node").join(blocks.select("node", "block"), "node")
-    others = places.select("key", F.col("block").alias("other")).distinct()
-    met = places.join(others, "key").select("node", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    return (met.distinct().join(blocks, "node").join(nodes.select("node", "n", "sketch"), "node").join(sets, "node"))
+    others = places.groupBy("key").agg(F.collect_set("block").alias("others"))
+    met = (places.join(others, "key").groupBy("node", "block").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+           .select("node", "block", F.explode("others").alias("other"))
+           .select("node", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")))
+    return (met.join(blocks, "node").join(nodes.select("node", "n", "sketch"), "node").join(sets, "node"))
 
 
 def _tile_links(percent: int):
