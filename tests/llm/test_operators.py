@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,6 +140,29 @@ def shingles(text, n):
     return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
+def test_tiles_connect_what_is_linked():
+    r = np.random.default_rng(4)
+    base = [r.choice(1 << 60, 150, replace=False).astype(np.uint64) for _ in range(3)]
+    sets = [np.unique(np.where(r.random(150) < 0.03 * (i % 6), r.integers(1 << 60, size=150).astype(np.uint64), base[i % 3])) for i in range(90)]
+    near = {(i, j) for j in range(90) for i in range(j)
+            if (both := len(np.intersect1d(sets[i], sets[j]))) * 100 >= 80 * (len(sets[i]) + len(sets[j]) - both)}
+    block = np.arange(90) % 2
+    made = pd.DataFrame({"node": np.arange(90), "n": [len(x) for x in sets], "block": block, "comp": np.arange(90),
+                         "sketch": [x.tobytes() for x in near_dedup.sketches(sets, near_dedup.REGISTERS)],
+                         "members": [x.tobytes() for x in sets]})
+    tiles = [made[block == 0].assign(p=0, q=0), made[block == 1].assign(p=1, q=1), made.assign(p=0, q=1)]
+    found = [tuple(sorted(x)) for t in tiles for x in near_dedup._tile_links(80)(t.reset_index(drop=True)).to_numpy()]
+    assert set(found) <= near and len(found) < 180
+
+    def components(links):
+        comp = list(range(90))
+        for a, b in links:
+            comp = [comp[a] if c == comp[b] else c for c in comp]
+        return [comp.index(c) for c in comp]
+    assert components(found) == components(near)
+    assert len(near_dedup._tile_links(80)(made.head(1).assign(p=0, q=0))) == 0
+
+
 def test_near_dedup(spark, docs, empty):
     r = np.random.default_rng(3)
     base = words(9, 80)
