@@ -70,6 +70,30 @@ def test_html():
     assert html_text.main_text(plain) == ("long text " * 30).strip() + "\nshort"
 
 
+def test_html_marked_wrappers():
+    first = "The first paragraph of the article is long enough to make a surge, as it has many words in it."
+    second = "A second paragraph, also of some length, so that there is a text of more than one line here."
+    plain, want = f"<h1>T</h1><p>{first}</p><p>{second}</p>", f"T\n{first}\n{second}"
+    for name in ("has-sidebar", "no-sidebar", "layout-sidebar", "ad-free", "search-results"):
+        for inner in (plain, f"<article>{plain}</article>"):
+            page = (f"<body><nav><a href=/>Home</a></nav><div id='page' class='{name}'>{inner}<div class=sidebar>side {'x ' * 30}</div></div>"
+                    "<footer>(c) me</footer></body>")
+            assert html_text.main_text(page) == want, name
+    assert html_text.main_text(f"<body><form><div class=menu>a b</div>{plain}<footer>c</footer></form>") == want
+    assert html_text.main_text("<form><fieldset><p>short</p></fieldset></form>") == "short"
+    for tag in ("article", "div"):  # the article's own header
+        page = f"<div class=top><a href=/>x</a></div><{tag}><div class='entry-header'><h1>T</h1></div><p>{first}</p><p>{second}</p></{tag}>"
+        assert html_text.main_text(page) == want, tag
+    # Surges choose, not the tag; like siblings around the heaviest stretch belong to it.
+    links = "<p><a href=/>link</a></p>" * 4
+    teasers = f"<article><p>teaser</p></article>{links}<div>{plain}</div>{links}<article><p>teaser</p></article>"
+    assert html_text.main_text(teasers) == want
+    parts = html_text.main_text(f"<div class=top>{links}</div><section>{plain}</section>{links}<section><p>{second}</p></section><div>end</div>")
+    assert parts == f"{want}\n" + "link\n" * 4 + second
+    # What is small beside the text stays out.
+    assert html_text.main_text(f"<article><p>one</p></article><div class=ad>{first}</div><footer>{first}</footer>") == "one"
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<article>a</article>", "y")], "page_id long, url string, html string, text string")
     assert {(r.id, r.text, r.n_chars) for r in html_text.extract(rows).collect()} == {(1, "", 0), (None, "a", 1)}
