@@ -60,7 +60,7 @@ def map_update(base: Column, *updates: Column) -> Column:
 def json_depth(c: str | Column) -> Column:
     """How deep objects and lists are nested in a JSON text (0 for a scalar or NULL):
     the largest number of open brackets outside string literals."""
-    marks = F.regexp_replace(F.regexp_replace(_col(c), r'"(?:[^"\\\\]++|\\\\.)*+"', ""), r"[^\[\]{}]", "")
+    marks = F.regexp_replace(F.regexp_replace(_col(c), r'(?s)"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]", "")
     steps = F.split(marks, "")
     zero = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
 

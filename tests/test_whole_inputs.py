@@ -26,6 +26,17 @@ def test_flatten_reaches_any_depth(spark):
     assert rows[(2, "$.s")] == "t"
 
 
+def test_escapes_in_strings_hide_no_depth(spark):
+    docs = [(r'{"a":"x\ny","b":{"c":{"d":1}}}', 3, "$.b.c.d", "1"), (r'{"t":"l1\nl2","m":{"u":{"v":[1,2]}}}', 4, "$.m.u.v[1]", "2"),
+            (r'{"a":"q\"{[","b":{"c":[{"d":2}]}}', 4, "$.b.c[0].d", "2"), (r'{"a":"end\\","b":{"c":{"d":3}}}', 3, "$.b.c.d", "3"),
+            (r'{"a":"\u00e9\\\"}","b":[[["z"]]]}', 4, "$.b[0][0][0]", "z")]
+    for i, (doc, depth, path, value) in enumerate(docs):  # each alone: none is the deepest of others
+        df = spark.createDataFrame([(i, doc)], "id int, d string")
+        assert df.select(jsonfn.json_depth("d")).first()[0] == depth, doc
+        rows = {r.path: r.value for r in jsonfn.flatten_json_tree(df, "d", ["id"]).collect()}
+        assert rows[path] == value and len(rows) == 2 + ("[1]" in path), doc
+
+
 def test_lcs_equals_the_table():
     def table(a, b):
         row = [0] * (len(b) + 1)
