@@ -121,17 +121,14 @@ def text_sets(text: Column, shingle: int) -> Column:
 
 
 def full_sets(text: Column, shingle: int) -> Column:
-    """struct(digest binary, members binary) of each text's shingle set."""
+    """The members of each text's shingle set."""
 
-    @F.pandas_udf("digest binary, members binary")
-    def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known, powers = WordHashes(), Powers()
         for batch in batches:
-            rows = []
-            for texts in chunks(batch, lower=True):
-                for s in shingle_sets(texts, known, powers, shingle):
-                    rows.append((xxhash.xxh3_128_digest(s.tobytes()), s.tobytes()))
-            yield pd.DataFrame(rows, columns=["digest", "members"])
+            yield pd.Series([s.tobytes() for texts in chunks(batch, lower=True)
+                             for s in shingle_sets(texts, known, powers, shingle)], dtype=object)
 
     return made(text)
 
@@ -323,7 +320,7 @@ def _tile_links(percent: int):
 def link(docs_nodes: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame | None:
     """(node, comp) of the nodes that have links, or None.
 
-    docs_nodes: node, id, digest, n, sketch.  texts: id, text.
+    docs_nodes: node, row, n, sketch.  texts: row, text.
     """
     nodes = docs_nodes.select("node", "n", "sketch")
     opened = _open(nodes.select("node", F.explode(band_keys("sketch")).alias("key"), F.col("node").alias("comp")))
@@ -331,10 +328,8 @@ def link(docs_nodes: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
         return None
     asked = scratch_table(docs_nodes.join(opened.select("node").distinct(), "node", "left_semi"), "near-asked")
     # The sets of all nodes that can ever be compared, from one more pass over the texts.
-    keyed = asked.select("node", F.xxhash64("id").alias("key"), F.col("digest").alias("digest_"))
-    some = texts.select(F.xxhash64("id").alias("key"), "text").join(keyed, "key")
-    sets = some.select("node", "digest_", full_sets(F.col("text"), shingle).alias("s")).where("s.digest = digest_")
-    sets = scratch_table(sets.select("node", "s.members").dropDuplicates(["node"]), "near-sets")
+    some = texts.select("row", "text").join(asked.select("node", "row"), "row")
+    sets = scratch_table(some.select("node", full_sets(F.col("text"), shingle).alias("members")), "near-sets")
     hubs = opened.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("hub"))
     ruled = scratch_table(opened.join(hubs, "key").where("node != hub"), "near-hubs")
     pairs = ruled.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
@@ -354,33 +349,41 @@ def link(docs_nodes: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     return components(more if labels is None else more.union(labels.select("node", "comp")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    percent: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, node (null for empty sets)."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = scratch_table(texts.select("id", text_sets(F.col("text"), shingle).alias("s")).select("id", "s.*"), "near-rows")
+def decide(texts: DataFrame, percent: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """One row per row of ``texts`` (row, id, text; a written table): row, id, n_shingles, component_id,
+    node (null for empty sets), kept.  Of each component the row with the least (id, row) stays, null ids last."""
+    rows = scratch_table(texts.select("row", "id", text_sets(F.col("text"), shingle).alias("s")).select("row", "id", "s.*"), "near-rows")
     made = (rows.where("n > 0").groupBy("digest")
-            .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+            .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"),
+                 F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     nodes = scratch_table(made.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    labels = link(nodes, texts, percent, shingle)
-    named = nodes.select("digest", "node", "id")
-    if labels is None:
-        named = named.select("digest", "node", F.col("id").alias("component_id"))
-    else:
+    labels = link(nodes.select("node", "least.row", "n", "sketch"), texts, percent, shingle)
+    named = nodes.select("digest", "node", "least")
+    if labels is not None:
         named = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-        named = named.join(least, "comp").select("digest", "node", "component_id")
-    full = rows.where("n > 0").select("id", "n", "digest").join(named, "digest")
-    alone = rows.where("n = 0").select("id", "n", F.lit(None).cast("long").alias("node"), F.col("id").alias("component_id"))
-    out = full.select("id", "n", "node", "component_id").unionByName(alone)
-    return out.select("id", F.col("n").alias("n_shingles"), "component_id", "node")
+        least = named.groupBy("comp").agg(F.min("least").alias("least"))
+        named = named.drop("least").join(least, "comp")
+    named = named.select("digest", "node", F.col("least.id").alias("component_id"), F.col("least.row").alias("stays"))
+    full = rows.where("n > 0").select("row", "id", "n", "digest").join(named, "digest")
+    full = full.select("row", "id", "n", "node", "component_id", (F.col("row") == F.col("stays")).alias("kept"))
+    alone = rows.where("n = 0").select("row", "id", "n", F.lit(None).cast("long").alias("node"), F.col("id").alias("component_id"),
+                                       F.lit(True).alias("kept"))
+    out = full.unionByName(alone)
+    return out.select("row", "id", F.col("n").alias("n_shingles"), "component_id", "node", "kept")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    percent: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, node (null for empty sets), kept."""
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return decide(scratch_table(texts, "near-texts"), percent, shingle).drop("row")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                percent: int = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: those whose id is the smallest of
-    their component, and all without words."""
-    found = near_duplicates(docs, id_col, text_col, percent, shingle)
-    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.xxhash64("id").alias("k"))
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(id_col).alias("k"))
-    return rows.join(stay, "k", "left_semi").select("row.*")
+    """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest id
+    (null last; of equal ids the first row), and all without words."""
+    rows = scratch_table(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "near-docs")
+    texts = rows.select("row", F.col(f"doc.{id_col}").alias("id"), F.col(f"doc.{text_col}").alias("text"))
+    stay = decide(texts, percent, shingle).where("kept").select("row")
+    return rows.join(stay, "row", "left_semi").select("doc.*")

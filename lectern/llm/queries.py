@@ -60,8 +60,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=80, shingle=2)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id",
-                        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 @_query

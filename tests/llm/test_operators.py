@@ -205,6 +205,27 @@ def test_near_dedup(spark, docs, empty):
     assert near_dedup.near_dedup(docs).columns == docs.columns
 
 
+def test_near_dedup_keeps_one_row_of_a_component(spark):
+    r = np.random.default_rng(5)
+
+    def near(base):
+        return " ".join(x if i != at else "n" for at in [r.integers(len(base))] for i, x in enumerate(base))
+    a, b, c, d = (words(50 + i, 120) for i in range(4))
+    rows = [(1, near(a)), (None, near(a)), (None, near(a)), (None, None), (None, ""), (7, near(b)), (7, near(b)), (3, near(c)), (9, near(c)),
+            (9, " ".join(words(60, 40))), (None, near(d)), (None, near(d)), (None, " ".join(words(61, 3))), (5, near(b))]
+    table = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row int").coalesce(1)
+    sets = [shingles(t, 5) for _, t in rows]
+    comp = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    want = {min((rows[i][0] is None, rows[i][0] or 0, i) for i in range(len(rows)) if comp[i] == g)[2] for g in comp}
+    assert {x.row for x in near_dedup.near_dedup(table).collect()} == want and len(want) == 8
+    assert sum(x.kept for x in near_dedup.near_duplicates(table).collect()) == 8
+
+
 def test_components(spark):
     links = spark.createDataFrame([(9, 8), (8, 7), (7, 3), (5, 6), (20, 19), (19, 5), (4, 4)], "a long, b long")
     got = {r.node: r.comp for r in near_dedup.components(links).collect()}
