@@ -6,7 +6,7 @@ source, the excess shared out anew).  The mix is made of equal blocks of words:
 1. the blocks of the whole mix go to the sources by highest quotients
    target / (2 k + 1);
 2. the documents of a source are dealt over shards of about ``SHARD_WORDS`` words by
-   a seeded hash, and the source's blocks go to its shards by highest quotients too:
+   a seeded hash of id, text and copy (rows that are equal in both are numbered), and the source's blocks go to its shards by highest quotients too:
    every shard has an integer quota;
 3. in a shard the documents are laid end to end in seeded order and cut into blocks;
    the quota takes whole rounds of all blocks, and the rest from a seeded block on.
@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ranking import dense_position
 from lectern.session import scratch_table
 
 BLOCK_WORDS = 8
@@ -96,11 +97,10 @@ def sainte_lague(parties: DataFrame, by: list[str]) -> DataFrame:
             .select(*parties.columns, "quota"))
 
 
-def _placed(docs: DataFrame, sizes: DataFrame, seed: int, block_words: int, shard_words: int,
-            max_repeats: int) -> DataFrame:
-    """``docs`` (id, source, size, perhaps more) with what its shard takes: ``rounds`` whole
+def _placed(sizes: DataFrame, seed: int, block_words: int, shard_words: int, max_repeats: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``sizes`` (row, id, source, size, key) that have words, with what their shard takes: ``rounds`` whole
     rounds and the words [a1, b1) and [0, b2) of the shard's stream, the document lying in
-    [at, at + size)."""
+    [at, at + size).  And the rows without words."""
     targets = scratch_table(source_targets(sizes, max_repeats), "mix-targets")
     parties = targets.select(
         "*", F.col("target").alias("votes"), F.struct(F.col("source").isNull(), "source").alias("tie"),
@@ -113,12 +113,15 @@ def _placed(docs: DataFrame, sizes: DataFrame, seed: int, block_words: int, shar
         "mix-sources")
     salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        hashed = rows.withColumns({"h": seeded(seed, F.col("id")), "salt": (F.abs(F.xxhash64("id")) % SALTS).cast("int")})
-        joined = hashed.join(salted, F.col("source").eqNullSafe(F.col("s_source")) & (hashed["salt"] == salted["salt"]))
-        return joined.withColumn("shard", F.col("h") % F.col("shards")).drop(salted["salt"])
+    def of_source(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+        joined = rows.join(salted, F.col("source").eqNullSafe(F.col("s_source")) & (rows["salt"] == salted["salt"]))
+        return joined.drop("salt")
 
-    shards = (dealt(sizes).groupBy("s_source", "shard")
+    numbered = dense_position(sizes.where("size > 0"), "key", "row", "copy")
+    dealt = of_source(numbered.withColumn("h", seeded(seed, F.col("id"), F.col("key"), F.col("copy"))))
+    dealt = scratch_table(dealt.withColumn("shard", F.col("h") % F.col("shards")), "mix-dealt")
+    shards = (dealt.groupBy("s_source", "shard")
               .agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"),
                    F.first("source_quota").alias("seats")))
     shards = shards.withColumns({"blocks": F.ceil(F.col("shard_size") / block_words), "tie": F.col("shard")})
@@ -136,8 +139,9 @@ def _placed(docs: DataFrame, sizes: DataFrame, seed: int, block_words: int, shar
         "mix-quotas")
     # Sorted within a shard, whose size is bounded; the running sum keeps no rows.
     stream = Window.partitionBy("s_source", "shard").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = dealt(docs).withColumn("at", F.coalesce(F.sum("size").over(stream), F.lit(0)).cast("long"))
-    return laid.join(quotas, laid["s_source"].eqNullSafe(quotas["q_source"]) & (laid["shard"] == quotas["q_shard"]))
+    laid = dealt.withColumn("at", F.coalesce(F.sum("size").over(stream), F.lit(0)).cast("long"))
+    laid = laid.join(quotas, laid["s_source"].eqNullSafe(quotas["q_source"]) & (laid["shard"] == quotas["q_shard"]))
+    return laid, of_source(sizes.where("size = 0"))
 
 
 def _overlap(a: Column, b: Column) -> tuple[Column, Column]:
@@ -147,19 +151,24 @@ def _overlap(a: Column, b: Column) -> tuple[Column, Column]:
     return x - at, F.greatest(F.least(end, b), x) - at
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+def _sized(docs: DataFrame, row: Column, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """row, id, source, size, key: rows that equal in id, source and text share a key."""
+    sized = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+                        n_words(F.col(text_col)).alias("size"), F.xxhash64(id_col, source_col, text_col).alias("key"))
+    return scratch_table(sized, "mix-sizes")
 
 
 def mix_takes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
               seed: int = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS,
               max_repeats: int = MAX_REPEATS) -> DataFrame:
     """One row per document: id, size, source_size, target, taken (words, repeats counted)."""
-    sizes = scratch_table(_sized(docs, id_col, text_col, source_col), "mix-sizes")
-    placed = _placed(sizes, sizes, seed, block_words, shard_words, max_repeats)
+    sizes = _sized(docs, F.monotonically_increasing_id(), id_col, text_col, source_col)
+    placed, none = _placed(sizes, seed, block_words, shard_words, max_repeats)
     (x1, y1), (x2, y2) = _overlap(F.col("a1"), F.col("b1")), _overlap(F.lit(0), F.col("b2"))
     taken = F.col("rounds") * F.col("size") + (y1 - x1) + (y2 - x2)
-    return placed.select("id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    columns = ["id", "size", "source_size", "target"]
+    return (placed.select(*columns, taken.cast("long").alias("taken"))
+            .unionByName(none.select(*columns, F.lit(0).cast("long").alias("taken"))))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -167,17 +176,16 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a document once for each whole round, and
     the part of its text that its shard's last, partial round takes."""
-    sizes = scratch_table(_sized(docs, id_col, text_col, source_col), "mix-sizes")
-    full = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                       n_words(F.col(text_col)).alias("size"))
-    placed = _placed(full, sizes, seed, block_words, shard_words, max_repeats)
+    full = scratch_table(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-docs")
+    sizes = _sized(full, F.col("row"), f"doc.{id_col}", f"doc.{text_col}", f"doc.{source_col}")
+    placed, _ = _placed(sizes, seed, block_words, shard_words, max_repeats)
     (x1, y1), (x2, y2) = _overlap(F.col("a1"), F.col("b1")), _overlap(F.lit(0), F.col("b2"))
     rounds = F.when(F.col("rounds") > 0, F.array_repeat(F.struct(F.lit(0).cast("long").alias("x"), F.col("size").alias("y")),
                                                         F.col("rounds").cast("int"))).otherwise(F.array())
     spans = F.concat(rounds, F.array(F.struct(x1.cast("long").alias("x"), y1.cast("long").alias("y")),
                                      F.struct(x2.cast("long").alias("x"), y2.cast("long").alias("y"))))
-    taken = placed.select("row", "size", F.explode(F.filter(spans, lambda s: s["y"] > s["x"])).alias("s"))
-    pieces = F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    taken = placed.select("row", "size", F.explode(F.filter(spans, lambda s: s["y"] > s["x"])).alias("s")).join(full, "row")
+    pieces = F.regexp_extract_all(F.col(f"doc.{text_col}"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.array_join(F.slice(pieces, (F.col("s.x") + 1).cast("int"), (F.col("s.y") - F.col("s.x")).cast("int")), "")
-    text = F.when(F.col("s.y") - F.col("s.x") == F.col("size"), F.col(f"row.{text_col}")).otherwise(cut)
-    return taken.select([text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    text = F.when(F.col("s.y") - F.col("s.x") == F.col("size"), F.col(f"doc.{text_col}")).otherwise(cut)
+    return taken.select([text.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -165,45 +165,41 @@ def _later() -> Column:
     return F.col("id").isNull() | (F.col("id") > F.col("least"))
 
 
-def _by_id(rows: DataFrame) -> list[Column]:
-    """A join key that is never null (ids with one key share what is looked up, by content)."""
-    return [F.xxhash64("id").alias("key"), *[F.col(c) for c in rows.columns if c != "id"]]
-
-
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  span: int = SPAN, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """(all rows with their whole text's figures: key, id, n_words, sha256; the rows with repeats:
-    key, id, n_words, n_removed, kept)."""
+    """(all rows with their whole text's figures: row, id, n_words, sha256; the rows with repeats:
+    row, id, n_words, n_removed, kept)."""
+    texts = scratch_table(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
+                                      F.col(text_col).alias("text")), "substring-docs")
     rows = scratch_table(
-        docs.select(F.col(id_col).alias("id"), text_runs(F.col(text_col), span, anchor).alias("r"))
-        .select("id", "r.*"), "substring-runs")
-    runs = rows.select("id", F.explode(F.arrays_zip("anchors", "hashes")).alias("r")).select("id", "r.*")
+        texts.select("row", "id", text_runs(F.col("text"), span, anchor).alias("r"))
+        .select("row", "id", "r.*"), "substring-runs")
+    runs = rows.select("row", "id", F.explode(F.arrays_zip("anchors", "hashes")).alias("r")).select("row", "id", "r.*")
     shared = runs.join(_first_of(runs, "anchors"), F.col("anchors") == F.col("anchors_"), "left_semi")
-    shared = scratch_table(shared.select("id", "hashes").distinct(), "substring-shared")
+    shared = scratch_table(shared.select("row", "id", "hashes").distinct(), "substring-shared")
     state = shared.join(_first_of(shared, "hashes"), F.col("hashes") == F.col("hashes_"), "left")
     gone = F.coalesce(F.col("least").isNotNull() & _later(), F.lit(False))
-    by_doc = state.select("id", "hashes", gone.alias("gone")).select(*_by_id(state.select("id", "hashes")), "gone")
-    by_doc = by_doc.groupBy("key").agg(F.collect_set(F.when(F.col("gone"), F.col("hashes"))).alias("gone"),
+    by_doc = state.select("row", "hashes", gone.alias("gone"))
+    by_doc = by_doc.groupBy("row").agg(F.collect_set(F.when(F.col("gone"), F.col("hashes"))).alias("gone"),
                                        F.collect_set(F.when(~F.col("gone"), F.col("hashes"))).alias("open"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("key"))
-    some = scratch_table(texts.join(by_doc, "key"), "substring-texts")
+    some = scratch_table(texts.join(by_doc, "row"), "substring-texts")
     windows = scratch_table(
         some.where(F.size("open") > 0)
-        .select("id", F.explode(open_windows(F.col("text"), F.col("open"), span, anchor)).alias("window")),
+        .select("row", "id", F.explode(open_windows(F.col("text"), F.col("open"), span, anchor)).alias("window")),
         "substring-windows")
     marks = windows.join(_first_of(windows, "window"), F.col("window") == F.col("window_")).where(_later())
-    marks = marks.groupBy(F.xxhash64("id").alias("key")).agg(F.collect_set("window").alias("marked"))
-    cut = some.join(marks, "key", "left").select(
-        "key", "id", removed(F.col("text"), F.col("gone"), F.col("marked"), span, anchor).alias("c"))
-    return rows.withColumn("key", F.xxhash64("id")), cut.select("key", "id", "c.*")
+    marks = marks.groupBy("row").agg(F.collect_set("window").alias("marked"))
+    cut = some.join(marks, "row", "left").select(
+        "row", "id", removed(F.col("text"), F.col("gone"), F.col("marked"), span, anchor).alias("c"))
+    return rows, cut.select("row", "id", "c.*")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256."""
     rows, cut = find_repeats(docs, id_col, text_col, span, anchor)
-    cut = scratch_table(cut.select("key", "id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")),
+    cut = scratch_table(cut.select("row", "id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")),
                         "substring-cut")
-    whole = rows.join(cut.select("key"), "key", "left_anti").select(
+    whole = rows.join(cut.select("row"), "row", "left_anti").select(
         "id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"))
-    return whole.unionByName(cut.drop("key"))
+    return whole.unionByName(cut.drop("row"))

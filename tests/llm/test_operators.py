@@ -345,6 +345,22 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix_takes(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
 
+def test_null_ids_share_no_key(spark):
+    rows = [(None, " ".join(words(i % 30, 20)), "a") for i in range(400)] + [(7, "x " * 20, "a")] * 100 + [(None, " ", "b")] * 50
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sizes = mixing._sized(table, F.monotonically_increasing_id(), "doc_id", "text", "source")
+    placed, none = mixing._placed(sizes, 20, 8, 500, 3)
+    shards = [r[0] for r in placed.groupBy("s_source", "shard").agg(F.sum("size")).collect()]
+    most = placed.groupBy("s_source", "shard").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0]
+    assert len(shards) >= 18 and most < 1500 and placed.count() == 500 and none.count() == 50
+    got = mixing.mix_takes(table, shard_words=500).collect()
+    assert Counter(got) == Counter(mixing.mix_takes(table.repartition(7), shard_words=500).collect()) and len(got) == 550
+    assert all(r.taken == 0 for r in got if r.size == 0)
+    long = [(None, " ".join(words(1, 60) + words(100 + i, 60))) for i in range(6)] + [(3, " ".join(words(1, 60)))]
+    found, cut = substring_dedup.find_repeats(spark.createDataFrame(long, "doc_id long, text string"))
+    assert found.select("row").distinct().count() == 7 and sum(r.n_removed == 60 for r in cut.collect()) == 6
+
+
 def test_pipeline(spark, sf_small):
     import corpus_pipeline
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
