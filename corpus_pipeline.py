@@ -34,8 +34,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in training sequences."""
-    return packing.pack(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
+    """The pieces of the documents, with their token ids and places in training sequences; ``copy`` tells
+    the mixed texts of one document apart."""
+    return packing.pack(docs, tokenizer_path(), keep_ids=True, keep_copy=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

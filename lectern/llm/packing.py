@@ -259,13 +259,15 @@ def place(length: Column, rank: Column, plan: Plan, spark) -> Column:
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-         sequence: int = SEQUENCE, cell: int = CELL, keep_ids: bool = False) -> DataFrame:
+         sequence: int = SEQUENCE, cell: int = CELL, keep_ids: bool = False, keep_copy: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset
-    (and ids, little-endian unsigned 32-bit, with ``keep_ids``)."""
-    cut = docs.select(F.col(id_col).alias("id"), pieces(F.col(text_col), tokenizer, sequence, cell, keep_ids).alias("c"))
+    (and ids, little-endian unsigned 32-bit, with ``keep_ids``; and copy, a number of the row of ``docs`` that
+    the piece comes from, with ``keep_copy``)."""
+    copy = [F.monotonically_increasing_id().alias("copy")] * keep_copy
+    cut = docs.select(F.col(id_col).alias("id"), *copy, pieces(F.col(text_col), tokenizer, sequence, cell, keep_ids).alias("c"))
     rows = scratch_table(
-        cut.select("id", "c.doc_tokens", F.explode("c.pieces").alias("p"))
-        .select("id", "doc_tokens", "p.*", F.monotonically_increasing_id().alias("row")), "pack-pieces")
+        cut.select("id", *["copy"] * keep_copy, "c.doc_tokens", F.explode("c.pieces").alias("p"))
+        .select("id", *["copy"] * keep_copy, "doc_tokens", "p.*", F.monotonically_increasing_id().alias("row")), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = packing_plan(histogram, sequence, cell)
     groups = max(1, -(-sum(histogram.values()) // RANKED))
@@ -277,4 +279,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ranked = grouped.withColumn("nth", rank).join(before, ["length", "g"])
     done = ranked.withColumn("at", place(F.col("length"), F.col("before") + F.col("nth"), plan, docs.sparkSession))
     return done.select("id", "start", "length", "ids_crc32", "doc_tokens", "at.sequence_id", "at.offset",
-                       *["ids"] * keep_ids)
+                       *["ids"] * keep_ids, *["copy"] * keep_copy)

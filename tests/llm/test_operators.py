@@ -311,6 +311,21 @@ def test_language(spark, docs, empty):
     assert language_id.accepted(table).count() == 201
 
 
+def test_sequences_from_the_pipeline(spark):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    encode = Tokenizer.from_file(tokenizer_path()).encode
+    texts = [(1, " ".join(LONG)), (1, " ".join(LONG)), (1, " ".join(LONG[:9])), (2, " ".join(words(3, 6000)))]
+    got = corpus_pipeline.packed(spark, spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), "").collect()
+    whole: dict = {}
+    for r in sorted(got, key=lambda r: r.start):
+        assert len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32
+        whole[r.doc_id, r.copy] = whole.get((r.doc_id, r.copy), b"") + bytes(r.ids)
+    want = Counter((i, np.array([*encode(t, add_special_tokens=False).ids, 2], dtype="<u4").tobytes()) for i, t in texts)
+    assert Counter((i, ids) for (i, _), ids in whole.items()) == want
+
+
 def test_mixing(spark, docs, empty):
     rows = [(i, " ".join(["w"] * (5 + i % 40)), f"s{i % 5}" if i % 3 else "big", "x") for i in range(600)]
     rows += [(9000, "only few words here", "tiny", "x"), (9001, None, None, "x"), (9002, "a b", None, "x"), rows[0]]
