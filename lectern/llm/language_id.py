@@ -155,8 +155,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that have a language, with all their columns: those rejected
-    have no text or no letter."""
+    have no text or no letter.  A null language becomes the predicted one; it stays null if no row teaches any."""
     model = fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
+    if not model.languages:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     found = predict(F.col(text_col), model, docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("row"), found.alias("p"))
-    return rows.where(F.col("p.lang_pred") != UNDETERMINED).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), found.alias("p")).where(F.col("p.lang_pred") != UNDETERMINED)
+    return rows.select([F.coalesce(f"row.`{c}`", "p.lang_pred").alias(c) if c == lang_col else F.col(f"row.`{c}`").alias(c)
+                        for c in docs.columns])

@@ -311,6 +311,17 @@ def test_language(spark, docs, empty):
     assert language_id.accepted(table).count() == 201
 
 
+def test_language_without_teachers(spark):
+    schema = "doc_id long, text string, lang string, score double"
+    texts = ["the house", "Größe", "汉字", "12 !", "", None]
+    table = spark.createDataFrame([(i, t, None, 1.0) for i, t in enumerate(texts)], schema)
+    assert sorted(r.doc_id for r in language_id.accepted(table).collect()) == [0, 1, 2]
+    known = [(i, ["the house is green", "das haus ist grün"][i % 2], ["en", "de"][i % 2], 1.0) for i in range(60)]
+    table = spark.createDataFrame(known + [(900, "the green house", None, 1.0), (901, "das grüne haus", None, 1.0)], schema)
+    got = {r.doc_id: r.lang for r in language_id.accepted(table).collect()}
+    assert (got[900], got[901]) == ("en", "de") and all(got[i] == lang for i, _, lang, _ in known)
+
+
 def test_sequences_from_the_pipeline(spark):
     from tokenizers import Tokenizer
 
