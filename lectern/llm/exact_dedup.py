@@ -61,11 +61,14 @@ def frequent_digests(digests: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            frequent: int = FREQUENT) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, digest (binary)."""
+    return _decided(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                                F.monotonically_increasing_id().alias("row")), frequent).drop("row")
+
+
+def _decided(texts: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """``decide`` for rows (row, id, text), with the row."""
     digests = scratch_table(
-        docs.select(F.col(id_col).alias("id"),
-                    F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"),
-                    text_digest(F.col(text_col)).alias("digest"),
-                    F.monotonically_increasing_id().alias("row")),
+        texts.select("id", F.length(F.coalesce("text", F.lit(""))).alias("n"), text_digest(F.col("text")).alias("digest"), "row"),
         "exact-digests")
     hot = F.broadcast(frequent_digests(digests, frequent))
     # No more digests than `frequent` can pass the exact count: the broadcast is bounded.
@@ -78,18 +81,15 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     groups = rest.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), _winner().alias("win"))
     both = heavy.unionByName(rest.join(groups, "digest"))
-    return both.select("id", F.col("win.id").alias("keep_id"), F.col("size").alias("group_size"),
+    return both.select("row", "id", F.col("win.id").alias("keep_id"), F.col("size").alias("group_size"),
                        (F.col("row") == F.col("win.row")).alias("kept"), "digest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    Rows that repeat the id and text of the row that stays count as that row once.
-    """
-    def key(ident: Column, digest: Column) -> Column:
-        return F.concat_ws(":", F.hex(digest), ident.cast("string"))
+    """The rows of ``docs`` that stay, with all their columns: of each group the very row that ``decide`` keeps.
 
-    stay = decide(docs, id_col, text_col).where("kept").select(key(F.col("id"), F.col("digest")).alias("k"))
-    rows = docs.select(F.struct("*").alias("row"), key(F.col(id_col), text_digest(F.col(text_col))).alias("k"))
-    return rows.join(stay, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
+    The rows are written once with a row id, by which those that go are taken out."""
+    rows = scratch_table(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "exact-docs")
+    texts = rows.select("row", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
+    gone = _decided(texts).where(~F.col("kept")).select("row")
+    return rows.join(gone, "row", "left_anti").select("doc.*")

@@ -3,9 +3,10 @@
 Texts are lower-cased, every run of characters that are no letters becomes one space,
 and the n-grams of ``SIZES`` are hashed into buckets.  Training counts buckets by
 language over all training texts: every task adds its texts up in numpy and emits its
-non-zero counts, Spark adds those.  The log-probability matrix (buckets by languages,
-kept under ``MATRIX_BYTES`` whatever the number of languages) is broadcast; texts are
-scored by gathering and adding its rows.
+non-zero counts, Spark adds those.  The log-probability matrix (BUCKETS by languages, 4 bytes each) is
+broadcast; texts are scored by gathering and adding its rows, CHUNK letters at a time, so that a very long text
+takes a few times its own size.  The matrix is the only thing that the driver builds, from one row of Spark's a
+language at a time; more than MAX_LANGUAGES (64 MB) are an error, as such a column holds no languages.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; without any
 training text every other text is ``und`` too; null languages and null texts teach nothing; a null
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 SIZES = (1, 2, 3)
-MAX_BUCKETS = 1 << 16
-MATRIX_BYTES = 64 << 20
+BUCKETS = 1 << 16
+MAX_LANGUAGES = 256
 SMOOTHING = 0.5
+#: Letters whose n-grams are made at once.
+CHUNK = 1 << 16
 #: Languages whose counts a task holds at once before it emits them.
 HELD_LANGUAGES = 64
 
@@ -39,25 +42,29 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def ngram_buckets(text: str, is_letter: np.ndarray, buckets: int) -> np.ndarray | None:
-    """Buckets of the text's n-grams, or None without letters."""
+def ngram_buckets(text: str, is_letter: np.ndarray, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """Buckets of the text's n-grams, in pieces; nothing without letters."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
     known = is_letter[points]
     if not known.any():
-        return None
+        return
     # A space stands for each run of other characters, and for both ends of the text.
     keep = known.copy()
     keep[1:] |= known[:-1]
-    chars = np.concatenate(([32], np.where(known, points, 32)[keep], [32])).astype(np.uint64)
-    found = []
-    for n in SIZES:
-        if len(chars) >= n:
-            h = np.full(len(chars) - n + 1, n, dtype=np.uint64)
-            for i in range(n):
-                h = (h + chars[i:len(chars) - n + 1 + i]) * MULTIPLIERS[i]
-                h ^= h >> np.uint64(29)
-            found.append((h % np.uint64(buckets)).astype(np.int64))
-    return np.concatenate(found)
+    chars = np.concatenate(([32], np.where(known, points, 32)[keep], [32])).astype(np.uint32)
+    del points, known, keep
+    for at in range(0, len(chars), CHUNK):
+        part = chars[at:at + CHUNK + max(SIZES) - 1].astype(np.uint64)
+        found = []
+        for n in SIZES:
+            size = min(CHUNK, len(part) - n + 1)
+            if size > 0:
+                h = np.full(size, n, dtype=np.uint64)
+                for i in range(n):
+                    h = (h + part[i:size + i]) * MULTIPLIERS[i]
+                    h ^= h >> np.uint64(29)
+                found.append((h % np.uint64(buckets)).astype(np.int64))
+        yield np.concatenate(found)
 
 
 @dataclass(frozen=True)
@@ -71,13 +78,13 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mod
     """A model of all rows of ``train`` whose text and language are not null."""
     rows = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(known) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    texts = {r["lang"]: r["n"] for r in known}
     languages = sorted(texts)
     if not languages:
         return Model([], np.zeros(0), np.zeros((1, 0), dtype=np.float32))
-    buckets = MAX_BUCKETS
-    while buckets * len(languages) * 4 > MATRIX_BYTES and buckets > 256:
-        buckets //= 2
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         is_letter = letters()
@@ -91,28 +98,30 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mod
 
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
-                found = ngram_buckets(text, is_letter, buckets)
-                if found is None:
-                    continue
-                if lang not in held:
-                    if len(held) >= HELD_LANGUAGES:
-                        yield from emitted()
-                    held[lang] = np.zeros(buckets, dtype=np.int64)
-                if len(found) > buckets // 8:
-                    held[lang] += np.bincount(found, minlength=buckets)
-                else:
-                    np.add.at(held[lang], found, 1)
+                for found in ngram_buckets(text, is_letter):
+                    if lang not in held:
+                        if len(held) >= HELD_LANGUAGES:
+                            yield from emitted()
+                        held[lang] = np.zeros(BUCKETS, dtype=np.int64)
+                    if len(found) > BUCKETS // 8:
+                        held[lang] += np.bincount(found, minlength=BUCKETS)
+                    else:
+                        np.add.at(held[lang], found, 1)
         yield from emitted()
 
     counted = rows.mapInPandas(count, "lang string, bucket int, n long")
-    # At most buckets * languages rows: the size of the matrix, which is bounded.
-    sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    matrix = np.full((buckets, len(languages)), SMOOTHING)
-    column = sums["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64)
-    matrix[sums["bucket"].to_numpy(dtype=np.int64), column] += sums["n"].to_numpy()
-    weights = np.log(matrix / matrix.sum(axis=0))
+    sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # One row a language, of at most BUCKETS counts.
+    columns = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
+    weights = np.empty((BUCKETS, len(languages)), dtype=np.float32)
+    weights[:] = np.log(1 / BUCKETS)  # stays for languages whose texts have no letter
+    column = np.zeros(BUCKETS)
+    for r in columns.select("lang", "counts.bucket", "counts.n").toLocalIterator():
+        column[:] = SMOOTHING
+        column[r["bucket"]] += r["n"]
+        weights[:, languages.index(r["lang"])] = np.log(column / column.sum())
     prior = np.log(np.array([texts[x] for x in languages], dtype=float) / sum(texts.values()))
-    return Model(languages, prior, weights.astype(np.float32))
+    return Model(languages, prior, weights)
 
 
 def predict(text: Column, model: Model, spark) -> Column:
@@ -125,18 +134,20 @@ def predict(text: Column, model: Model, spark) -> Column:
         for batch in batches:
             names, scores = [], []
             for said in batch:
-                found = ngram_buckets(said, is_letter, len(m.weights)) if said and m.languages else None
-                if found is None:
+                logs = None
+                for found in ngram_buckets(said, is_letter) if said and m.languages else ():
+                    logs = (m.prior if logs is None else logs) + m.weights[found].sum(axis=0, dtype=np.float64)
+                if logs is None:
                     names.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                logs = m.prior + m.weights[found].sum(axis=0, dtype=np.float64)
                 best = int(np.argmax(logs))
                 names.append(m.languages[best])
                 scores.append(float(1.0 / np.exp(logs - logs[best]).sum()))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return scored(text)
+    # So marked, a filter and a projection on the result share one call a text.
+    return scored.asNondeterministic()(text)
 
 
 def held_out(ident: Column) -> Column:

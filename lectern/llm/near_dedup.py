@@ -110,12 +110,10 @@ def text_sets(text: Column, shingle: int) -> Column:
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, powers = WordHashes(), Powers()
         for batch in batches:
-            rows = []
-            for texts in chunks(batch, lower=True):
+            for texts in chunks(batch, lower=True):  # what is yielded need not be as long as a batch
                 sets = shingle_sets(texts, known, powers, shingle)
-                for s, registers in zip(sets, sketches(sets, REGISTERS)):
-                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), registers.tobytes() if len(s) else None))
-            yield pd.DataFrame(rows, columns=["n", "digest", "sketch"])
+                yield pd.DataFrame([(len(s), xxhash.xxh3_128_digest(s.tobytes()), registers.tobytes() if len(s) else None)
+                                    for s, registers in zip(sets, sketches(sets, REGISTERS))], columns=["n", "digest", "sketch"])
 
     return made(text)
 
@@ -127,8 +125,8 @@ def full_sets(text: Column, shingle: int) -> Column:
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known, powers = WordHashes(), Powers()
         for batch in batches:
-            yield pd.Series([s.tobytes() for texts in chunks(batch, lower=True)
-                             for s in shingle_sets(texts, known, powers, shingle)], dtype=object)
+            for texts in chunks(batch, lower=True):
+                yield pd.Series([s.tobytes() for s in shingle_sets(texts, known, powers, shingle)], dtype=object)
 
     return made(text)
 

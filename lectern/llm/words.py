@@ -11,10 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
-#: Words whose hashes a worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Words whose hashes a worker remembers before it starts anew.  With the words of a chunk (a few bytes
+#: objects, and some ten arrays of 8 bytes a word) a worker holds about 20 MB of them.
+REMEMBERED = 50_000
 #: Words that are worked on together; a text is never cut, so one text may be more.
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 40_000
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 

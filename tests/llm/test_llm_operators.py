@@ -311,6 +311,49 @@ def test_language(spark, docs, empty):
     assert language_id.accepted(table).count() == 201
 
 
+def test_exact_dedup_keeps_the_row_that_was_decided(spark):
+    rows = [(1, "a b"), (1, "a    b"), (2, "ab"), (None, "c d"), (None, "c  d"), (3, None), (3, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {(r.doc_id, r.text) for r in exact_dedup.exact_dedup(table).collect()}
+    assert len(kept) == 3 and {(1, "a    b"), (None, "c  d")} < kept
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    """The same counts and sums with dictionaries instead of a matrix."""
+    r = np.random.default_rng(5)
+    alphabets = {"x": "abcde fgh", "y": "cdefg hij", "z": "éàbcd xyz"}
+    said = [(i, list(alphabets)[i % 3], "".join(r.choice(list(alphabets[list(alphabets)[i % 3]]), r.integers(1, 40)))) for i in range(120)]
+    table = spark.createDataFrame(said, "doc_id long, lang string, text string")
+    is_letter = language_id.letters()
+    counts = {a: Counter() for a in alphabets}
+    texts = Counter()
+    for i, lang, text in said:
+        if zlib.crc32(str(i).encode()) % 5:
+            texts[lang] += 1
+            for found in language_id.ngram_buckets(text, is_letter):
+                counts[lang].update(found.tolist())
+    size = language_id.BUCKETS
+    for row in language_id.identify(table).collect():
+        grams = [g for found in language_id.ngram_buckets(said[row.id][2], is_letter) for g in found.tolist()]
+        logs = {a: np.log(texts[a] / sum(texts.values()))
+                + sum(np.log((counts[a][g] + 0.5) / (counts[a].total() + size / 2)) for g in grams) for a in alphabets}
+        if not grams:
+            assert row.lang_pred == "und"
+            continue
+        best = max(sorted(logs), key=logs.get)
+        assert row.lang_pred == best
+        assert row.score == pytest.approx(1 / sum(np.exp(v - logs[best]) for v in logs.values()), abs=1e-4)
+
+
+def test_ngrams_of_long_texts_come_in_pieces(monkeypatch):
+    is_letter = language_id.letters()
+    text = " ".join(words(9, 60_000))
+    pieces = list(language_id.ngram_buckets(text, is_letter))
+    monkeypatch.setattr(language_id, "CHUNK", 1 << 30)
+    whole, = language_id.ngram_buckets(text, is_letter)
+    assert len(pieces) > 1 and np.array_equal(np.sort(np.concatenate(pieces)), np.sort(whole))
+
+
 def test_language_without_teachers(spark):
     schema = "doc_id long, text string, lang string, score double"
     texts = ["the house", "Größe", "汉字", "12 !", "", None]
