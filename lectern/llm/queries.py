@@ -7,8 +7,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import (exact_dedup, exact_topk, html_text, language_id, mixing, near_dedup, oracles, packing, quality,
-                         secret_scan, substring_dedup)
+from lectern.llm import (divergence, exact_dedup, exact_topk, html_text, language_id, mixing, multi_index, near_dedup, oracles, packing,
+                         quality, secret_scan, spelling, substring_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = dict(oracles.SQL)
@@ -82,3 +82,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_takes(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
