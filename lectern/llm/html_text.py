@@ -6,8 +6,8 @@ hidden elements give no lines, nor do lists made of links.
 Menus, footers, sidebars, notices, adverts, forms, reader comments and the like, known by tag, role or name, only make
 their lines suspect; like siblings are judged together, the heaviest first.  They are cleared when the articles in them
 hold more text than those outside, or when, in a page or article that has no other article, they outweigh the
-text that is not suspect.  Readers' comments, and menus and the like known by their tag, are only cleared by size if
-next to nothing else is left.
+text that is not suspect.  Comments, adverts, notices and the like are then only cleared if nothing but headings is left, or if
+they hold the page's headline; menus and the like known by their tag only if nothing but headings is left.
 
 The text lengths of the other lines, links not counted, are summed over a sliding window of lines: where the sum
 surges the main text begins, where it dives it ends.  The heaviest stretch between a surge and a dive
@@ -17,14 +17,17 @@ lines stay.  Only when no element but the page itself holds the stretch, the tex
 
 Inside a block all white space, line breaks too, becomes one space.
 
+Reading is linear in a page's length: at most DEPTH elements are open at once, deeper ones count as parts of the last.
+
 Defined cases: null or empty html, and pages without text, give an empty text; cut-off pages,
-unclosed and stray tags are read as browsers do, roughly; a null id or url is kept; rows that
+unclosed and stray tags and marked sections are read as browsers do, roughly; a null id or url is kept; rows that
 repeat are extracted each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -54,8 +57,12 @@ NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor spons
                   "commentlist disqus respond replies reply cookie cookies consent gdpr notice notices notification alert popup "
                   "modal overlay newsletter subscribe subscription signup login related recommended recommendations share sharing "
                   "social widget widgets toolbar pagination pager skip form search copyright disclaimer".split())
-#: Names of what readers add.
-READERS = frozenset("comment comments commentlist disqus respond replies reply".split())
+#: Names of what others than the author add: it is never the article beside other text, however long, unless it holds the headline.
+ADDED = frozenset("comment comments commentlist disqus respond replies reply ad ads advert adverts advertisement advertising sponsor "
+                  "sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay "
+                  "newsletter subscribe subscription signup".split())
+#: Elements that may be open at once; deeper ones count as parts of the last, as in browsers.
+DEPTH = 512
 
 
 def _dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -103,8 +110,10 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        #: Open elements: (tag, number, whether dropped).
+        #: Open elements: (tag, number, whether dropped), how many there are of each tag, and their numbers.
         self.open: list[tuple[str, int, bool]] = []
+        self.counts: Counter[str] = Counter()
+        self.path: tuple[int, ...] | None = ()
         self.tags: list[str] = []
         #: By number of an element: its tag and class.
         self.kinds: list[tuple[str, str]] = []
@@ -114,23 +123,29 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.line: Line | None = None
 
+    def parse_marked_section(self, i, report=1):
+        """``<![`` of any kind is a comment up to the next ``>``."""
+        return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.line = None
-            if any(t == "p" for t, _, _ in self.open) and tag not in ("body", "html"):
+            if self.counts["p"] and tag not in ("body", "html"):
                 self._close("p")
             if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
                 self._close(tag, within=("ul", "ol", "dl", "table", "select"))
         if tag == "br":
             self.handle_data(" ")
-        if tag in VOID:
+        if tag in VOID or len(self.open) >= DEPTH:
             return
         drop = _dropped(tag, attrs)
-        if marks := _marks(tag, attrs, any(t in MAIN for t, _, _ in self.open)):
+        if marks := _marks(tag, attrs, any(self.counts[t] for t in MAIN)):
             self.marks[len(self.tags)] = marks, tag in STRONG
         self.dropped += drop
         self.links += tag == "a"
         self.open.append((tag, len(self.tags), drop))
+        self.counts[tag] += 1
+        self.path = None
         self.tags.append(tag)
         self.kinds.append((tag, dict(attrs).get("class") or ""))
 
@@ -145,12 +160,16 @@ class Lines(HTMLParser):
             self._close(tag, within=BLOCK)
 
     def _close(self, tag: str, within=()) -> None:
+        if not self.counts[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 for t, _, drop in self.open[i:]:
                     self.dropped -= drop
                     self.links -= t == "a"
+                    self.counts[t] -= 1
                 del self.open[i:]
+                self.path = None
                 self.line = None if tag in BLOCK else self.line
                 return
             if self.open[i][0] in within:
@@ -162,7 +181,9 @@ class Lines(HTMLParser):
         if self.line is None:
             if not data.strip():
                 return
-            self.line = Line(tuple(n for _, n, _ in self.open))
+            if self.path is None:
+                self.path = tuple(n for _, n, _ in self.open)
+            self.line = Line(self.path)
             self.lines.append(self.line)
         self.line.parts.append(data)
         self.line.linked += len(data.strip()) if self.links else 0
@@ -250,9 +271,10 @@ def _still_suspect(parser: Lines, lines: list[Line]) -> set[int]:
             if n in parser.marks:
                 key = line.path[:i], parser.kinds[n], parser.marks[n]
                 groups.setdefault(key, set()).add(n)
-                size = sizes.setdefault(key, [0, 0])
+                size = sizes.setdefault(key, [0, 0, False])
                 size[0] += line.size
                 size[1] += in_article
+                size[2] |= any(tags[m] == "h1" for m in line.path[i:])
     suspect = set().union(*groups.values())
     rests: dict = {}
 
@@ -268,15 +290,15 @@ def _still_suspect(parser: Lines, lines: list[Line]) -> set[int]:
         path, _, (marks, by_tag) = key
         if not suspect.isdisjoint(path):
             continue  # inside of what is suspect
-        size, in_articles = sizes[key]
+        size, in_articles, headline = sizes[key]
         article = next((n for n in reversed(path) if tags[n] in MAIN), None)
         other, other_articles, no_headings = rest(article)
         if article is None and (in_articles or other_articles):
             cleared = in_articles > other_articles
         elif by_tag:
             cleared = size >= SURGE and not no_headings
-        elif marks & READERS:
-            cleared = size >= SURGE > other
+        elif marks & ADDED:
+            cleared = headline and size > other or not no_headings
         else:
             cleared = size > other and (size >= SURGE or not other)
         if cleared:

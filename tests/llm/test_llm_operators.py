@@ -1,6 +1,7 @@
 """Small fixtures, with the cases that each operator defines, against brute force."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -94,6 +95,34 @@ def test_html_marked_wrappers():
     assert html_text.main_text(f"<article><p>one</p></article><div class=ad>{first}</div><footer>{first}</footer>") == "one"
 
 
+def test_html_added_matter_beside_a_short_text():
+    article = "<h1>Title</h1><div><p>A short article of few words.</p></div>"
+    for name in ("comments", "ad", "cookie-notice", "newsletter signup"):
+        added = f"<div class='{name}'><p>{'said by others ' * 20}</p></div>"
+        assert html_text.main_text(f"<body>{article}{added}</body>") == "Title\nA short article of few words.", name
+        assert html_text.main_text(f"<body>{added}{article}</body>") == "Title\nA short article of few words.", name
+    # A wrapper with the headline is the article, whatever its name.
+    long = "<p>" + "long text " * 30 + "</p>"
+    assert html_text.main_text(f"<body><div class='ad-free'><h1>Title</h1>{long}</div><p>a b</p></body>").startswith("Title\nlong")
+
+
+def test_html_bad_markup_is_read_in_linear_time():
+    for bad in ("<![foo[bar]]>", "<![CDATA[x]]>", "<![", "<!x", "<!>", "<![if !IE]>", "<?php echo 1 ?>", "<!--", "</", "<a href='"):
+        text = html_text.main_text(f"<article><p>one</p>{bad}<p>two</p></article>")
+        assert text.startswith("one"), bad
+    assert html_text.main_text("<p>one</p><![foo[bar]]><p>two</p>") == "one\ntwo"
+    began = time.process_time()
+    assert html_text.main_text("<div>some text here" * 30_000)
+    assert html_text.main_text("<p>" + "<b><i>" * 30_000 + "text" + "<div></b>" * 30_000)
+    assert html_text.main_text("<ul><li>" * 30_000 + "text")
+    assert time.process_time() - began < 20
+    r = np.random.default_rng(8)
+    bits = ["<div>", "</div>", "<p>", "<![", "]]>", "<!--", "-->", "<", ">", "&amp;", "&#x0;", "&#99999999;", "text ", "<a href=", "<script>",
+            "</script>", "<li>", "<table><tr><td>", "</p", "'", '"', "<!DOCTYPE", "<?", "<title>", "<article>", "</article>", "\x00"]
+    for _ in range(300):
+        html_text.main_text("".join(r.choice(bits, 40)))
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<article>a</article>", "y")], "page_id long, url string, html string, text string")
     assert {(r.id, r.text, r.n_chars) for r in html_text.extract(rows).collect()} == {(1, "", 0), (None, "a", 1)}
