@@ -144,10 +144,24 @@ def page_title(spark, sf_dir):
                         F.size("authors").alias("n_authors"), "conf_info")
 
 
-@query("parse_pages")
+@query("parse_pages", sql=r"""
+SELECT page_id, array_to_string(list_transform(string_split(url, '/'), lambda x, i: (i - 1) || '_' || trim(x)), '|') AS author_keys,
+       coalesce(regexp_extract_all(html, '<li>\s*<a[^>]*href="([^"]*)"[^>]*>Download PDF</a>\s*</li>', 1)[-1], url) AS pmlr_pdf,
+       coalesce(regexp_extract_all(html, '<li>\s*<a[^>]*href="([^"]*)"[^>]*>Software</a>\s*</li>', 1)[-1], '') AS github_url,
+       'page ' || page_id || ' & more' AS conf_info
+FROM pages
+""")
 def parse_pages(spark, sf_dir):
-    """SRC7 parser form: standard-library HTML parser over batches of pages."""
-    return feeds.parse_pages(read_table(spark, sf_dir, "pages"))
+    """SRC7 parser form over whole pages, each with a paper's parts put before it: authors (the parts of its url), a
+    captioned link, the conference line, and markup as pages really have it (a marked section, unclosed and stray tags)."""
+    pages = read_table(spark, sf_dir, "pages")
+    head = F.concat(F.lit("<![if !IE]></b><p><span class='x authors'>"), F.array_join(F.split("url", "/"), ", "),
+                    F.lit('</span></i><ul><li><a href="'), "url", F.lit('">Download <b>PDF</a></ul><div id=info> page '),
+                    F.col("page_id").cast("string"), F.lit(" &amp; more </div>"))
+    found = feeds.parse_pages(pages.select("page_id", F.concat(head, "html").alias("html")))
+    keys = F.array_join(F.transform(F.array_sort(F.transform(F.map_keys("authors"), lambda k: F.struct(
+        F.split_part(k, F.lit("_"), F.lit(1)).cast("int").alias("i"), k.alias("k")))), lambda x: x["k"]), "|")
+    return found.select("page_id", keys.alias("author_keys"), "pmlr_pdf", "github_url", "conf_info")
 
 
 @query("authors_map", sql="""

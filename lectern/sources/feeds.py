@@ -8,6 +8,7 @@ with the standard-library parser), one batch of pages at a time.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 from typing import Iterable, Iterator, Sequence
 
@@ -143,27 +144,44 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 CLOSED_BY_SIBLING = frozenset(("li", "p"))
 
 
+#: No caption is longer, so of a list item's text no more needs to be kept.
+CAPTION_LENGTH = max(map(len, PAGE_CAPTIONS)) + 1
+
+
 class _PageParser(HTMLParser):
     """Collects the first span.authors text, li captions with their first link, and the
     first div#info text.  End tags without an open match are ignored; void elements
-    are not nested; an open ``li`` or ``p`` ends where its next sibling starts."""
+    are not nested; an open ``li`` or ``p`` ends where its next sibling starts; a marked section
+    (``<![``) is a comment.  Open elements are counted by tag, so that a page is read in linear time."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str | None]] = []
+        self.open: Counter[str] = Counter()
+        self.roles: list[str] = []
         self.found: dict[str, list[str]] = {}
         self.items: list[tuple[str, str | None]] = []
         self._li: list[list] = []
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)
+
     def _pop(self) -> str:
-        tag, _ = self.stack.pop()
+        tag, role = self.stack.pop()
+        self.open[tag] -= 1
+        if role:
+            self.roles.remove(role)
         if tag == "li":
             text, href = self._li.pop()
             self.items.append((text, href))
-            if self._li:
-                self._li[-1][0] += text
+            self._add(text)
         return tag
 
+    def _add(self, text: str) -> None:
+        """To the innermost open list item, as far as it matters."""
+        if self._li and len(self._li[-1][0]) < CAPTION_LENGTH:
+            self._li[-1][0] += text[:CAPTION_LENGTH]
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID_TAGS:
@@ -173,7 +191,7 @@ class _PageParser(HTMLParser):
         if tag in VOID_TAGS:
             return
         a = dict(attrs)
-        if tag in CLOSED_BY_SIBLING:
+        if tag in CLOSED_BY_SIBLING and self.open[tag]:
             for t, _ in reversed(self.stack):
                 if t == tag:
                     self.handle_endtag(tag)
@@ -187,14 +205,16 @@ class _PageParser(HTMLParser):
             role = "info"
         if role:
             self.found[role] = []
+            self.roles.append(role)
         self.stack.append((tag, role))
+        self.open[tag] += 1
         if tag == "li":
             self._li.append(["", None])
         elif tag == "a" and self._li and self._li[-1][1] is None:
             self._li[-1][1] = a.get("href")
 
     def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.stack):
+        if self.open[tag]:
             while self._pop() != tag:
                 pass
 
@@ -204,10 +224,9 @@ class _PageParser(HTMLParser):
             self._pop()
 
     def handle_data(self, data):
-        for role in {r for _, r in self.stack if r}:
+        for role in self.roles:
             self.found[role].append(data)
-        if self._li:
-            self._li[-1][0] += data
+        self._add(data)
 
 
 def parse_page(html: str | None) -> dict:
@@ -228,17 +247,16 @@ def parse_page(html: str | None) -> dict:
     return out
 
 
-PAGE_EXTRAS_SCHEMA = ("page_id long, authors map<string,string>, pmlr_pdf string, github_url string, "
-                      "conf_info string, supplemental string")
+PAGE_EXTRAS = ("authors map<string,string>", *(f"{c} string" for c in ("pmlr_pdf", "github_url", "conf_info", "supplemental")))
 
 
 def parse_pages(pages: DataFrame, html_col: str = "html", key: str = "page_id") -> DataFrame:
-    """SRC7 parser form: stdlib HTML parser over batches of pages (``mapInPandas``)."""
+    """SRC7 parser form: stdlib HTML parser over batches of pages (``mapInPandas``); the key keeps its name and type."""
+    columns = [key, *(c.split()[0] for c in PAGE_EXTRAS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [dict(parse_page(h), page_id=k) for k, h in zip(pdf[key], pdf[html_col])]
-            yield pd.DataFrame(rows, columns=["page_id", "authors", "pmlr_pdf", "github_url",
-                                              "conf_info", "supplemental"])
+            yield pd.DataFrame([{key: k, **parse_page(h)} for k, h in zip(pdf[key], pdf[html_col])], columns=columns)
 
-    return pages.select(F.col(key).cast("long").alias(key), html_col).mapInPandas(run, PAGE_EXTRAS_SCHEMA)
+    kind = dict(pages.dtypes)[key]
+    return pages.select(key, html_col).mapInPandas(run, ", ".join((f"`{key}` {kind}", *PAGE_EXTRAS)))

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,27 @@ def test_parse_pages_parser_form(spark):
     assert rows[2].authors == {} and rows[2].github_url == "" and rows[3].conf_info == ""
 
 
+def test_bad_markup_does_not_end_the_extract():
+    for bad in ("<![foo[bar]]>", "<![CDATA[x]]>", "<![if !IE]>", "<!x", "<?php 1 ?>", "</", "<b><i></u>"):
+        found = feeds.parse_page("<div>" + bad + ">" + PAGE)
+        assert found["pmlr_pdf"] == "/p.pdf" and found["conf_info"] == "Proc 2023", bad
+    for bad in ("<![", "<!--", "<a href='", "&#99999999;", "<!DOCTYPE"):
+        assert feeds.parse_page(PAGE + bad)["github_url"] == "https://gh/x", bad
+
+
+def test_extract_is_linear_in_the_page():
+    began = time.process_time()
+    for part in ("<div>some text ", "<li>some text ", "<b><p>", "<ul><li>", "</u>", "<p><div></b>"):
+        assert feeds.parse_page(PAGE + part * 50_000)["conf_info"] == "Proc 2023"
+    assert time.process_time() - began < 30
+
+
+def test_extract_keeps_the_key(spark):
+    df = spark.createDataFrame([("a-1", PAGE)], "paper_url string, body string")
+    out = feeds.parse_pages(df, "body", "paper_url")
+    assert out.columns[0] == "paper_url" and out.first().paper_url == "a-1"
+
+
 def test_page_regex_forms(spark):
     df = spark.createDataFrame([(1, PAGE), (2, "<p>x</p>")], "page_id long, html string")
     links = {r.page_id: r for r in feeds.page_links(df).collect()}
