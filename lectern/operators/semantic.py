@@ -86,23 +86,6 @@ def pca_2d(df: DataFrame, vec_col: str) -> DataFrame:
     return out.withColumns({"pc1": F.col("_pc")[0], "pc2": F.col("_pc")[1]}).drop("_features", "_pc")
 
 
-def lsh_nearest(df: DataFrame, vec_col: str, query: Sequence[float], k: int = 10,
-                bucket_length: float = 1.0, num_tables: int = 4, seed: int = 7) -> DataFrame:
-    """SIM7 at scale: approximate k nearest neighbours of unit vectors with random
-    projection LSH (Euclidean distance on unit vectors is monotone in cosine)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-    feats = df.withColumn("_features", array_to_vector(vx.normalize(F.col(vec_col))))
-    model = BucketedRandomProjectionLSH(inputCol="_features", outputCol="_hashes", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(feats)
-    q = np.asarray(query, dtype=float)
-    q = q / (np.linalg.norm(q) or 1.0)
-    return (model.approxNearestNeighbors(feats, Vectors.dense(q), k, distCol="distance")
-            .drop("_features", "_hashes"))
-
-
-# Word-vector search (SIM5) ---------------------------------------------------------------
 def word_vector_scores(papers: DataFrame, vectors: DataFrame, query: str, field: str, keys: Sequence[str],
                        stopwords=None, salts: int = 16) -> DataFrame:
     """``keys`` and ``score`` = cosine(mean word vector of the query, of the cleaned field).

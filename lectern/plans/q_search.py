@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.operators import index
 from lectern.operators import search as srch
 from lectern.operators.ranking import last_wins, top_k_per_group
-from lectern.plans.registry import query
+from lectern.plans.registry import ORACLE, query
 from lectern.plans.sqlfrag import PAPERS, round_score, sql_str, tf_scores, vec
+from lectern.sources import saved, sinks
 from lectern.sources.papers import papers
 
 # Query texts are mid-frequency words of the generated corpus (fixed values).
 QUERY = "ones reed anhe heat"
 QUERY_B = "anat reon annd enen"
+QUERY_C = "heat anat ones"
 LIMIT, THRESHOLD = 5, 0.05
 
 
@@ -100,23 +103,85 @@ def search_summary(spark, sf_dir):
     return srch.search_summary(_two_searches(spark, sf_dir))
 
 
-@query("search_as_dataset", sql=f"""
-WITH res AS (SELECT 'cosine_abstract_' || array_to_string(string_split(lower(trim({sql_str(QUERY)})), ' '), '-') AS dataset,
+_SAVED_SQL = f"""(SELECT 'cosine_abstract_' || array_to_string(string_split(lower(trim({sql_str(QUERY)})), ' '), '-') AS dataset,
                     paper_key FROM (
     SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY metric_match DESC, paper_key) AS rn FROM (
       SELECT dataset, paper_key, {round_score('score')} AS metric_match FROM ({tf_scores(QUERY)})
-      WHERE CAST(score AS FLOAT) >= CAST({THRESHOLD} AS FLOAT))) WHERE rn <= {LIMIT}),
+      WHERE CAST(score AS FLOAT) >= CAST({THRESHOLD} AS FLOAT))) WHERE rn <= {LIMIT})"""
+
+
+def _with_saved_search(spark, sf_dir):
+    """The papers and, read back from its folder, a saved search over them; (both, folder)."""
+    p = papers(spark, sf_dir)
+    folder = sinks.scratch_path(spark, "searches")
+    saved.save_as_dataset(srch.search(p, QUERY, "Cosine", "abstract", LIMIT, THRESHOLD), folder, "Cosine", "abstract", QUERY)
+    return saved.with_saved(p, folder), folder
+
+
+@query("search_as_dataset", sql=f"""
+WITH res AS {_SAVED_SQL},
 allp AS (SELECT dataset, paper_key FROM {PAPERS} UNION ALL SELECT dataset, paper_key FROM res)
 SELECT dataset, count(*) AS papers FROM allp GROUP BY dataset
 """)
 def search_as_dataset(spark, sf_dir):
-    """SIM11: a saved search becomes one more dataset next to the loaded ones."""
+    """SIM11/SNK2: a search is saved under its name, read back and counted as one more dataset next to the loaded ones."""
+    both, _ = _with_saved_search(spark, sf_dir)
+    return both.groupBy("dataset").agg(F.count(F.lit(1)).alias("papers"))
+
+
+@query("search_saved_again", sql=f"""
+WITH found AS ({tf_scores(QUERY_C)}),
+res AS {_SAVED_SQL},
+every AS (SELECT dataset, paper_key, score FROM found
+          UNION ALL SELECT res.dataset, paper_key, score FROM res JOIN (SELECT paper_key, score FROM found) USING (paper_key)),
+k AS (SELECT dataset, paper_key, {round_score('score')} AS metric_match FROM every
+      WHERE CAST(score AS FLOAT) >= CAST({THRESHOLD} AS FLOAT))
+SELECT dataset, paper_key, metric_match, CAST({THRESHOLD} AS DOUBLE) AS metric_thres, dataset AS conference FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY metric_match DESC, paper_key) AS rn FROM k) WHERE rn <= {LIMIT}
+""")
+def search_saved_again(spark, sf_dir):
+    """SIM11 + SIM10: a second search over the loaded datasets and the saved one, which is a dataset like the others."""
+    both, _ = _with_saved_search(spark, sf_dir)
+    res = srch.search(both, QUERY_C, "Cosine", "abstract", LIMIT, THRESHOLD)
+    return res.select("dataset", "paper_key", "metric_match", "metric_thres", "conference")
+
+
+@query("saved_registry", sql=f"""
+SELECT dataset, count(*) AS papers, round(sum(metric_match), 6) AS total FROM (
+  SELECT 'cosine_abstract_' || array_to_string(string_split({sql_str(QUERY)}, ' '), '-') AS dataset, metric_match, run FROM {{both}} WHERE run = 1
+  UNION ALL SELECT 'cosine_abstract_' || array_to_string(string_split({sql_str(QUERY_B)}, ' '), '-'), metric_match, run FROM {{both}} WHERE run = 2)
+GROUP BY dataset
+""".format(both=_two_searches_sql()))
+def saved_registry(spark, sf_dir):
+    """SNK2/SRC8: two searches are saved, the first one twice; the registry of the folder, joined with what the datasets hold."""
     p = papers(spark, sf_dir)
-    res = srch.search(p, QUERY, "Cosine", "abstract", LIMIT, THRESHOLD)
-    named = res.select(tx.search_name(F.lit("Cosine"), F.lit("abstract"), F.lit(QUERY)).alias("dataset"),
-                       "paper_key")
-    return (p.select("dataset", "paper_key").unionByName(named)
-            .groupBy("dataset").agg(F.count(F.lit(1)).alias("papers")))
+    folder = sinks.scratch_path(spark, "searches")
+    for text in (QUERY, QUERY_B, QUERY):
+        saved.save_as_dataset(srch.search(p, text, "Cosine", "abstract", LIMIT, THRESHOLD), folder, "Cosine", "abstract", text)
+    held = saved.saved_papers(spark, folder, f"paper_key bigint, {saved.METRICS}")
+    sums = held.groupBy("dataset").agg(F.count(F.lit(1)).alias("papers"), F.round(F.sum("metric_match"), 6).alias("total"))
+    return saved.registry(spark, folder).where("bytes > 0").select("dataset").join(sums, "dataset")
+
+
+def _indexed(spark, sf_dir):
+    """The folder of an inverted index over the abstracts."""
+    path = sinks.scratch_path(spark, "index")
+    index.build_index(papers(spark, sf_dir), path, "abstract")
+    return path
+
+
+@query("index_search", sql=ORACLE["search_papers"])
+def index_search(spark, sf_dir):
+    """SIM2/SIM9 on a persisted index: the texts are indexed, then the flagship search reads the query's terms only."""
+    res = index.search_index(spark, _indexed(spark, sf_dir), QUERY, LIMIT, THRESHOLD)
+    return res.select("dataset", "paper_key", "title", "metric_match", "metric_thres", "conference")
+
+
+@query("index_search_many", sql=f"SELECT * FROM {_two_searches_sql()}")
+def index_search_many(spark, sf_dir):
+    """SIM10 on a persisted index: two searches in one plan."""
+    res = index.search_index(spark, _indexed(spark, sf_dir), [QUERY, QUERY_B], LIMIT, THRESHOLD)
+    return res.select("dataset", "paper_key", "metric_match", "metric_thres", "run")
 
 
 @query("topk_per_dataset", sql=f"""
