@@ -9,7 +9,7 @@ from lectern.functions import text as tx
 from lectern.operators.ranking import dense_position
 from lectern.plans.registry import query
 from lectern.plans.sqlfrag import PAPERS
-from lectern.sources import feeds, sinks
+from lectern.sources import feeds, objects, sinks
 from lectern.sources.papers import papers, read_table
 
 _YEAR = r"\b(19[0-9]{2}|20[0-9]{2}|2100)\b"
@@ -144,6 +144,21 @@ def page_title(spark, sf_dir):
                         F.size("authors").alias("n_authors"), "conf_info")
 
 
+@query("object_files", sql=f"""
+SELECT dataset, CAST(row_number() OVER (PARTITION BY dataset ORDER BY paper_key) - 1 AS INTEGER) AS pos, CAST(paper_key AS VARCHAR) AS paper_key,
+       md5(title) AS title_md5, md5(abstract) AS abstract_md5, topic, n_chars FROM {PAPERS}
+""")
+def object_files(spark, sf_dir):
+    """SNK1 compat layout + SRC1/SRC2: every dataset is written as one JSON object in parts, and read back by splits, in file order."""
+    p = papers(spark, sf_dir).withColumn("pos", F.col("paper_key"))
+    path = sinks.scratch_path(spark, "objects")
+    objects.write_object_parts(p, path)
+    back = objects.read_large_objects(spark, path, in_parts=True)
+    paper = F.from_json("paper_json", "title string, abstract string, topic string, n_chars long")
+    return (back.select("dataset", "pos", "paper_key", paper.alias("p"))
+            .select("dataset", "pos", "paper_key", F.md5("p.title").alias("title_md5"), F.md5("p.abstract").alias("abstract_md5"), "p.topic", "p.n_chars"))
+
+
 @query("parse_pages", sql=r"""
 SELECT page_id, array_to_string(list_transform(string_split(url, '/'), lambda x, i: (i - 1) || '_' || trim(x)), '|') AS author_keys,
        coalesce(regexp_extract_all(html, '<li>\s*<a[^>]*href="([^"]*)"[^>]*>Download PDF</a>\s*</li>', 1)[-1], url) AS pmlr_pdf,

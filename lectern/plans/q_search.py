@@ -217,10 +217,11 @@ SELECT h.dataset, h.paper_key, p.title, h.hits FROM {_HITS_SQL} h
 JOIN {PAPERS} p ON p.dataset = h.dataset AND p.paper_key = h.paper_key
 """)
 def scores_join_papers(spark, sf_dir):
-    """JN1: scores computed apart (long form) joined back to the papers on the composite key."""
+    """JN1/WIN4: scores computed apart (long form) joined back to the papers on the composite key; of a key that
+    occurs twice the shortest paper counts."""
     hits = _query_term_hits(spark, sf_dir)
-    p = papers(spark, sf_dir).select("dataset", "paper_key", "title")
-    return srch.join_scores(hits, p).select("dataset", "paper_key", "title", "hits")
+    p = papers(spark, sf_dir).select("dataset", "paper_key", "title", "n_chars")
+    return srch.join_scores(hits, p, order_col="n_chars").select("dataset", "paper_key", "title", "hits")
 
 
 @query("papers_with_hits", sql=f"""

@@ -76,7 +76,7 @@ def items_to_papers(items: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 def read_feeds(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """RSS files (one feed per file, read whole) -> paper rows with the feed name."""
     plist = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.option("wholetext", "true").text(plist).select(
+    raw = spark.read.text(plist, wholetext=True).select(
         F.regexp_replace(F.substring_index(F.col("_metadata.file_path"), "/", -1), r"\.[^.]*$", "").alias("feed"),
         "value")
     return items_to_papers(feed_items(raw, keep=["feed"]), keep=["feed"])

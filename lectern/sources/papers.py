@@ -59,16 +59,25 @@ def dataset_name(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
 
 
+def _last_wins(m: Column) -> Column:
+    """A map without repeated keys (``from_json`` keeps them all); independent of the session's policy for them."""
+    keys = F.map_keys(m)
+    ends = F.transform(F.array_distinct(keys), lambda k: F.struct(k, F.element_at(F.map_values(m), -F.array_position(F.reverse(keys), k).cast("int"))))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), m).otherwise(F.map_from_entries(ends))
+
+
 def read_dataset_objects(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """Dataset files -> ``(dataset, pos, paper_key, paper_json)``, file order kept.
 
     Each file is one JSON object; ``from_json`` to a map keeps keys in file order
-    (``posexplode`` gives the position) and lets the last duplicate key win.
+    (``posexplode`` gives the position).  A repeated key counts once, at the place of the first with the value of the last.
+    A file is one row here; ``objects.read_large_objects`` cuts large ones.
     """
     plist = [paths] if isinstance(paths, str) else list(paths)
-    raw = (spark.read.option("wholetext", "true").text(plist)
+    raw = (spark.read.text(plist, wholetext=True)
            .select(dataset_name(F.col("_metadata.file_path")).alias("dataset"),
-                   F.from_json("value", "map<string,string>").alias("m")))
+                   F.from_json("value", "map<string,string>").alias("m"))
+           .where(F.col("m").isNotNull()).select("dataset", _last_wins(F.col("m")).alias("m")))
     return raw.select("dataset", F.posexplode("m").alias("pos", "paper_key", "paper_json"))
 
 

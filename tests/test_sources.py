@@ -205,3 +205,15 @@ def test_search_over_dataset_files(spark, tmp_path):
     assert [(r.dataset, r.paper_key) for r in res] == [("2023_COLT", "0_Zeta")]
     res2 = search(p, "deep nets", "Cosine", "title", 5, 0.5).collect()
     assert [(r.dataset, r.paper_key, r.metric_match) for r in res2] == [("2024_ICML", "0_Deep Nets", 1.0)]
+
+
+def test_files_of_several_lines_are_read_whole(spark, tmp_path):
+    """Pretty-printed dataset files and feeds."""
+    papers = {"0_A": {"title": "A", "abstract": "x"}, "1_B": {"title": "B", "abstract": "line\nbreak"}}
+    (tmp_path / "2023_AAAI.json").write_text(json.dumps(papers, indent=2))
+    rows = read_datasets(spark, str(tmp_path / "2023_AAAI.json")).orderBy("pos").collect()
+    assert [(r.pos, r.paper_key, r.title, r.abstract) for r in rows] == [(0, "0_A", "A", "x"), (1, "1_B", "B", "line\nbreak")]
+    (tmp_path / "feed.xml").write_text("<rss>\n<channel>\n<item>\n<title>T</title>\n<description>d</description>\n"
+                                       "<link>l</link>\n<guid>g</guid>\n</item>\n</channel>\n</rss>\n")
+    items = feeds.read_feeds(spark, str(tmp_path / "feed.xml")).collect()
+    assert [r.title for r in items] == ["T"]
