@@ -14,9 +14,8 @@ Execution: a native ``rlike`` pre-filter (anchored, possessive, linear time)
 drops candidates that do not contain the query as a subsequence; candidates
 containing it as a substring are scored with native expressions; only the rest
 go through a pandas UDF running a dynamic programme over (query position,
-groups) with numpy vectors along the candidate (O(m^2 n) per text, no
-enumeration of alignments).  The two paths are separate filtered branches
-unioned together, so the UDF never sees substring rows.
+groups) with numpy vectors along all texts of a chunk at once (no enumeration of
+alignments, no loop over texts).  The UDF gets a null where the native score applies.
 """
 
 from __future__ import annotations
@@ -32,12 +31,23 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]"
 NON_WORD = r"[^\p{L}\p{N}_]"
-_NEG = -(1 << 40)
+#: Characters of texts that go through the dynamic programme together.
+CHARACTERS = 1 << 20
 
 
 # Pure Python / numpy scoring (runs inside the pandas UDF) ------------------------------
-def _word_starts(text: str) -> np.ndarray:
-    isw = np.fromiter((ch.isalnum() or ch == "_" for ch in text), dtype=bool, count=len(text))
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def _word_starts(codes: np.ndarray) -> np.ndarray:
+    """1 at each start of a run of word characters; each distinct character is asked once."""
+    if not len(codes):
+        return np.zeros(0, dtype=np.int64)
+    table = np.zeros(int(codes.max()) + 1, dtype=bool)
+    seen = np.flatnonzero(np.bincount(codes))
+    table[seen] = [chr(c).isalnum() or c == 95 for c in seen.tolist()]
+    isw = table[codes]
     prev = np.concatenate(([False], isw[:-1]))
     return (isw & ~prev).astype(np.int64)
 
@@ -48,41 +58,81 @@ def _formula(m: int, f: int, g: int) -> float:
 
 def fuzzy_score(query: str, candidate: str | None) -> float:
     """Score of ``query`` against ``candidate`` (see module docstring)."""
-    if candidate is None or not query:
-        return 0.0
-    q, c = query.lower(), candidate.lower()
-    m, n = len(q), len(c)
-    if m > n:
-        return 0.0
-    ws = _word_starts(c)
-    at = c.rfind(q)
-    if at >= 0:
-        f = int(ws[at:at + m].sum())
-        return _formula(m, f, 1) * (2.0 if c == q else 1.5)
-    codes = np.frombuffer(c.encode("utf-32-le"), dtype="<u4")
-    qcodes = [ord(ch) for ch in q]
-    # best[g-1][i]: max word starts for q[:j+1] ending with q[j] at c[i], using g groups
-    best = [np.where(codes == qcodes[0], ws, _NEG)]
-    for j in range(1, m):
-        match = codes == qcodes[j]
-        if not match.any():
-            return 0.0
-        nxt = []
-        for g in range(1, j + 2):
-            cand = np.full(n, _NEG, dtype=np.int64)
-            if g <= len(best):  # same group: previous char right before
-                cand[1:] = best[g - 1][:-1]
-            if g >= 2:  # new group: previous char anywhere before i-1
-                pm = np.maximum.accumulate(best[g - 2])
-                cand[2:] = np.maximum(cand[2:], pm[:-2])
-            nxt.append(np.where(match & (cand > _NEG // 2), cand + ws, _NEG))
-        best = nxt
-    top = 0.0
-    for g, arr in enumerate(best, start=1):
-        f = int(arr.max())
-        if f > _NEG // 2:
-            top = max(top, _formula(m, f, g))
-    return top
+    return float(fuzzy_scores(query, [candidate])[0])
+
+
+def fuzzy_scores(query: str, candidates: list[str | None]) -> np.ndarray:
+    """Scores of ``query`` against each candidate; candidates that need the dynamic programme share one run of it."""
+    out = np.zeros(len(candidates))
+    q = query.lower()
+    m = len(q)
+    if not m:
+        return out
+    held, owners, size = [], [], 0
+    for i, candidate in enumerate(candidates):
+        c = candidate.lower() if candidate else ""
+        at = c.rfind(q)
+        if at >= 0:
+            f = int(_word_starts(_codes(c[max(0, at - 1):at + m]))[-m:].sum()) if at else int(_word_starts(_codes(c[:m])).sum())
+            out[i] = _formula(m, f, 1) * (2.0 if c == q else 1.5)
+        elif len(c) >= m:
+            held.append(c)
+            owners.append(i)
+            size += len(c)
+            if size >= CHARACTERS:
+                out[owners] = _aligned(q, held)
+                held, owners, size = [], [], 0
+    if held:
+        out[owners] = _aligned(q, held)
+    return out
+
+
+def _aligned(q: str, texts: list[str]) -> np.ndarray:
+    """Best alignments of ``q`` as a subsequence of each text (0 without one).
+
+    The texts lie one after the other.  Only positions that hold a character of the query take part: of the
+    positions of q[j], those that follow a position of q[j-1] directly continue its group, the others start a new group
+    after the best position before.  A value is (number of the text) * step + word starts, so that the running
+    maximum of an earlier text is less than any value of the next one and is told apart by that.
+    """
+    m, step = len(q), len(q) + 2
+    apart = next(c for c in map(chr, range(0xE000, 0xE000 + m + 1)) if c not in q)  # no word character
+    codes = _codes(apart.join(texts))
+    starts = _word_starts(codes)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    before, best = None, []
+    for j, ch in enumerate(q):
+        at = np.flatnonzero(codes == ord(ch))
+        text = np.searchsorted(ends, at, side="right")
+        floor, start = text * step, starts[at]
+        if j == 0:
+            best = [floor + start]
+        else:
+            left = np.searchsorted(before, at - 1)  # positions of the character before, up to a gap
+            joined = np.zeros(len(at), dtype=bool)
+            some = left < len(before)
+            joined[some] = before[left[some]] == at[some] - 1
+            nxt = []
+            for g in range(1, j + 2):
+                value = np.full(len(at), -1, dtype=np.int64)
+                if g <= len(best) and len(before):
+                    value[joined] = best[g - 1][left[joined]]
+                if g >= 2 and len(before):
+                    most = np.maximum.accumulate(best[g - 2])
+                    gap = left > 0
+                    value[gap] = np.maximum(value[gap], most[left[gap] - 1])
+                nxt.append(np.where(value >= floor, value + start, -1))
+            best = nxt
+        before = at
+    out = np.zeros(len(texts))
+    for g, values in enumerate(best, start=1):
+        at = np.flatnonzero(values >= 0)
+        if len(at):
+            f = np.full(len(texts), -1, dtype=np.int64)
+            text = values[at] // step
+            np.maximum.at(f, text, values[at] - text * step)
+            out = np.maximum(out, np.where(f >= 0, (m + f) * (1 + ((m - g + 1) / m) ** 2), 0.0))
+    return out
 
 
 def fuzzy_score_bruteforce(query: str, candidate: str) -> float:
@@ -90,7 +140,7 @@ def fuzzy_score_bruteforce(query: str, candidate: str) -> float:
     q, c = query.lower(), candidate.lower()
     if not q or len(q) > len(c):
         return 0.0
-    ws = _word_starts(c)
+    ws = _word_starts(_codes(c))
     at = c.rfind(q)
     if at >= 0:
         return _formula(len(q), int(ws[at:at + len(q)].sum()), 1) * (2.0 if c == q else 1.5)
@@ -147,7 +197,7 @@ def _dp_udf(q: str):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda c: None if c is None else fuzzy_score(q, c)).astype("float64")
+            yield pd.Series(np.where(s.isna(), np.nan, fuzzy_scores(q, [c if isinstance(c, str) else None for c in s])))
     return score
 
 
@@ -158,15 +208,17 @@ def score_fuzzy(df: DataFrame, query: str, text: Column, keep_zero: bool = False
     (a strict threshold >= 0 never passes them).
     """
     q = query.lower()
-    base = df.withColumn("_low", F.lower(F.coalesce(text, F.lit(""))))
+    # Lower-cased and looked through once: a Generate's output is not put back into the filter.
+    low = F.lower(F.coalesce(text, F.lit("")))
+    base = df.select("*", F.inline(F.array(F.struct(low.alias("_low")))))
     low = F.col("_low")
-    is_sub = F.instr(low, q) > 0
-    subseq = low.rlike(subsequence_pattern(q))
-    rows = base if keep_zero else base.filter(subseq)
+    found = F.when(F.instr(low, q) > 0, F.lit(2)).when(low.rlike(subsequence_pattern(q)), F.lit(1)).otherwise(F.lit(0))
+    rows = base.select("*", F.inline(F.array(F.struct(found.alias("_found")))))
+    rows = rows if keep_zero else rows.filter("_found > 0")
     # one scan; the UDF sees a text only where the native score does not apply
-    dp = _dp_udf(q)(F.when(~is_sub & subseq, text))
-    score = F.when(is_sub, _substring_score(low, q)).otherwise(F.coalesce(dp, F.lit(0.0)))
-    return rows.withColumn("score", score).drop("_low")
+    dp = _dp_udf(q)(F.when(F.col("_found") == 1, low))
+    score = F.when(F.col("_found") == 2, _substring_score(low, q)).otherwise(F.coalesce(dp, F.lit(0.0)))
+    return rows.withColumn("score", score).drop("_low", "_found")
 
 
 def lcs_column(a: Column, b: str) -> Column:
