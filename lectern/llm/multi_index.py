@@ -9,8 +9,8 @@
   of at least one table t (pigeonhole).  Index rows and the queries that can reach them meet by the leading bits of
   the substring; there the substrings are compared, then the whole codes, and a pair comes out of the first
   table that retrieves it, once.  All codes within the radius are retrieved, no others.
-* **Radius.**  Two vectors at an angle a differ in BITS * a / pi bits on average; SPREAD standard deviations more
-  make a radius that misses such a pair rarely.  A query's first radius is a guess from its distances to the sample's codes
+* **Radius.**  Two vectors at an angle a differ in BITS * a / pi bits on average; SPREAD standard deviations more (as measured on
+  pairs of the sample) make a radius that misses such a pair rarely.  A query's first radius is a guess from its distances to the sample's codes
   (about CANDIDATES codes).  The k-th best vector found, scored exactly, bounds the angles that matter; queries whose first radius
   falls short of that, or that found fewer than k, are probed once more for the rest, with a radius that
   k sample vectors already satisfy (all bits if the sample has fewer).
@@ -41,12 +41,15 @@ from pyspark.sql import functions as F
 
 from lectern.session import scratch_table
 
-BITS = 256
+BITS = 512
 TABLES = 16
-WIDTH = BITS // TABLES  # bits of a substring: numpy's uint16
+WIDTH = BITS // TABLES  # bits of a substring: numpy's uint32
+#: Leading bits of a substring by which the index is dealt out, at most.
+LEAD = 16
 SAMPLE, SAMPLE_BYTES = 4096, 32 << 20
-#: Codes that a first radius is meant to retrieve, and standard deviations added to a mean Hamming distance.
-CANDIDATES, SPREAD = 200, 2.0
+#: Codes that a first radius is meant to retrieve, and standard deviations added to a mean Hamming distance: one
+#: in twenty vectors as far off as the k-th best may be missed, of nearer ones fewer.
+CANDIDATES, SPREAD = 400, 1.64
 UNIT = 1 << 14
 #: Queries compared with a piece of the index at once, and pairs whose whole codes are compared at once.
 ASKED, PAIRS = 128, 1 << 17
@@ -61,6 +64,12 @@ class Model:
     planes: np.ndarray  # components by BITS
     sample: np.ndarray  # centred vectors of the sample
     codes: np.ndarray  # and their codes
+    noise: float = 1.0  # standard deviation of Hamming distances, against that of independent bits
+
+    def needed(self, angle):
+        """The radius that vectors at this angle are within, nearly always."""
+        p = np.clip(angle / math.pi, 0, 1)
+        return np.minimum(BITS, np.ceil(BITS * p + SPREAD * self.noise * np.sqrt(BITS * p * (1 - p))))
 
     def centred(self, vectors: list) -> np.ndarray:
         """Scaled and centred, with the model's number of components (padded or cut, for odd vectors)."""
@@ -94,14 +103,18 @@ def fit(vectors: list) -> Model:
     axes = axes[:, ::-1][:, :min(size, BITS)]
     turned = [axes @ rotation(x @ axes, seed) for seed in range(-(-BITS // axes.shape[1]))]
     planes = np.hstack(turned)[:, :BITS]
-    bare = Model(scale, mean, planes, x, np.zeros((0, BITS // 64), dtype=np.uint64))
-    return Model(scale, mean, planes, x, bare.code(x))
+    codes = Model(scale, mean, planes, x, np.zeros((0, BITS // 64), dtype=np.uint64)).code(x)
+    return Model(scale, mean, planes, x, codes, noise_of(x, codes))
 
 
-def needed(angle):
-    """The radius that vectors at this angle are within, nearly always."""
-    p = np.clip(angle / math.pi, 0, 1)
-    return np.minimum(BITS, np.ceil(BITS * p + SPREAD * np.sqrt(BITS * p * (1 - p))))
+def noise_of(x: np.ndarray, codes: np.ndarray) -> float:
+    lengths = np.maximum(np.linalg.norm(x, axis=1), 1e-300)
+    off, own = 0.0, 0.0
+    for i in range(0, len(x), max(1, len(x) // 256)):
+        p = np.arccos(np.clip(x @ x[i] / lengths / lengths[i], -1, 1)) / math.pi
+        off += float(((np.bitwise_count(codes ^ codes[i]).sum(axis=1, dtype=np.int64) - BITS * p) ** 2).sum())
+        own += float((BITS * p * (1 - p)).sum())
+    return max(0.25, math.sqrt(off / own)) if own > 0 else 1.0
 
 
 def thresholds(radius: int) -> np.ndarray:
@@ -141,7 +154,7 @@ def radii(vector: Column, shared, k: int, total: int) -> Column:
                 bits = np.bitwise_count(m.codes ^ m.code(x)).sum(axis=1, dtype=np.int64)
                 near = np.argpartition(((m.sample - x) ** 2).sum(axis=1), k - 1)[:k]
                 cos = m.sample[near] @ x[0] / np.maximum(lengths[near] * np.linalg.norm(x), 1e-300)
-                sure = int(max(bits[near].max(), needed(np.arccos(np.clip(cos, -1, 1)).max())))
+                sure = int(max(bits[near].max(), m.needed(np.arccos(np.clip(cos, -1, 1)).max())))
                 first = bits.mean() + bits.std() * NormalDist().inv_cdf(share) if share < 0.5 else BITS
                 out.append((min(sure, max(0, math.ceil(first))), sure))
             yield pd.DataFrame(out, columns=["first", "sure"], dtype=np.int32)
@@ -155,10 +168,10 @@ def _places(lead: int):
     masks = sorted(range(1 << lead), key=lambda x: (x.bit_count(), x))
     reach = np.searchsorted([x.bit_count() for x in masks], np.arange(-1, WIDTH + 1), side="right")
     masks = np.array(masks, dtype=np.int64)
-    first = np.arange(TABLES, dtype=np.int64) << WIDTH
+    first = np.arange(TABLES, dtype=np.int64) << LEAD
 
     def leading(code: bytes) -> np.ndarray:
-        return np.frombuffer(code, dtype=np.uint16).astype(np.int64) >> (WIDTH - lead)
+        return np.frombuffer(code, dtype=np.uint32).astype(np.int64) >> (WIDTH - lead)
 
     @F.pandas_udf("array<int>")
     def own(codes: pd.Series) -> pd.Series:
@@ -177,7 +190,7 @@ def _places(lead: int):
 
 def _compared(table: int, codes: np.ndarray, reps: np.ndarray, asked: pd.DataFrame, questions: np.ndarray) -> Iterator[pd.DataFrame]:
     """Pairs that this table is the first to retrieve and that are within the radius."""
-    parts, ours = codes.view(np.uint16), questions.view(np.uint16)
+    parts, ours = codes.view(np.uint32), questions.view(np.uint32)
     ids, low, radius = (asked[c].to_numpy() for c in ("q", "low", "radius"))
     limit = np.array([thresholds(r) for r in radius])
     for at in range(0, len(ids), ASKED):
@@ -210,7 +223,7 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 reps.append(batch["rep"].iloc[a:middle].to_numpy(dtype=np.int64))
             if middle < b and codes:
                 codes, reps = [np.concatenate(codes)], [np.concatenate(reps)]
-                yield from _compared(int(here[1]) >> WIDTH, codes[0], reps[0], batch.iloc[middle:b], every[middle:b].copy())
+                yield from _compared(int(here[1]) >> LEAD, codes[0], reps[0], batch.iloc[middle:b], every[middle:b].copy())
 
 
 class Index:
@@ -218,7 +231,7 @@ class Index:
 
     def __init__(self, distinct: DataFrame, total: int, unit: int = UNIT):
         self.unit = unit
-        lead = min(WIDTH, max(0, math.ceil(math.log2(max(total, 1) / unit))))
+        lead = min(LEAD, max(0, math.ceil(math.log2(max(total, 1) / unit))))
         own, self.probed = _places(lead)
         self.rows = distinct.select("dim", F.explode(own("code")).alias("unit"), "rep", "code")
         counts = self.rows.groupBy("dim", "unit").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > unit)
@@ -286,7 +299,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     reached = (found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
                .groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("cos")))
     p = F.acos(F.least(F.greatest("cos", F.lit(-1.0)), F.lit(1.0))) / math.pi
-    enough = F.least(F.lit(BITS), F.ceil(BITS * p + SPREAD * F.sqrt(BITS * p * (1 - p))))
+    enough = F.least(F.lit(BITS), F.ceil(BITS * p + SPREAD * shared.value.noise * F.sqrt(BITS * p * (1 - p))))
     radius = F.when(F.col("n") > k, enough).otherwise(F.col("sure")).cast("int")
     again = scratch_table(asked.join(reached, "q", "left").select("q", "dim", "code", F.col("first").alias("low"), radius.alias("radius"))
                           .where("radius > low"), "ann-again")

@@ -76,12 +76,12 @@ def test_neighbours_defined_cases(spark):
 def test_every_code_within_the_radius_is_retrieved_once(spark):
     """The index alone, with pieces that must be split, against all Hamming distances."""
     r = np.random.default_rng(5)
-    centre = r.integers(0, 2, 256)
-    bits = np.where(r.random((600, 256)) < r.uniform(0, 0.5, (600, 1)), 1 - centre, centre).astype(np.uint8)
+    centre = r.integers(0, 2, multi_index.BITS)
+    bits = np.where(r.random((600, multi_index.BITS)) < r.uniform(0, 0.5, (600, 1)), 1 - centre, centre).astype(np.uint8)
     codes = np.packbits(bits, axis=1)
     table = spark.createDataFrame([(i, 3, codes[i].tobytes()) for i in range(600)], "rep long, dim int, code binary")
     index = multi_index.Index(table, 600, unit=64)
-    asked = [(i, 3, codes[i].tobytes(), low, radius) for i, (low, radius) in enumerate([(-1, 0), (-1, 7), (3, 40), (-1, 90), (60, 128), (-1, 256)])]
+    asked = [(i, 3, codes[i].tobytes(), low, radius) for i, (low, radius) in enumerate([(-1, 0), (-1, 14), (6, 80), (-1, 180), (120, 256), (-1, multi_index.BITS)])]
     queries = spark.createDataFrame(asked, "q long, dim int, code binary, low int, radius int")
     got = [(p.q, p.rep) for p in index.within(queries).collect()]
     apart = (bits[:, None, :] != bits[None, :, :]).sum(axis=2)
