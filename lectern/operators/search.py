@@ -199,21 +199,24 @@ def search_many(papers: DataFrame, queries: Sequence[str], field: str = "abstrac
     per-(run, dataset) top-k.  Equal to the union of the single searches."""
     spark = papers.sparkSession
     df = papers.withColumn("_tok", tx.vector_tokens(field_text(papers, field), stopwords, extra_stopwords))
-    tok = F.col("_tok")
-    pairs = []
-    for run, q in enumerate(queries, start=1):
+    tok, asked = F.col("_tok"), []
+    for q in queries:
         q_counts = Counter(query_terms(spark, q, stopwords, extra_stopwords))
-        q_ss = sum(c * c for c in q_counts.values())
-        dot = vx.weighted_term_dot(tok, q_counts)
-        full = vx.tf_cosine(dot, vx.sum_squared_counts(tok), q_ss)
-        if q_ss > 0 and threshold > 0:
+        asked.append((q_counts, sum(c * c for c in q_counts.values())))
+    # Dot products first; the norm (a sort) once, for papers that any query can still want.
+    df = materialize(df, **{f"_dot{i}": vx.weighted_term_dot(tok, q_counts) for i, (q_counts, _) in enumerate(asked)})
+    wanted = F.lit(False)
+    for i, (_, q_ss) in enumerate(asked):
+        dot = F.col(f"_dot{i}")
+        if q_ss > 0:
             bound = F.try_divide(dot.cast("double"), F.sqrt(F.size(tok).cast("double") * F.lit(float(q_ss))))
-            score = (F.when(dot <= 0, F.lit(None).cast("double"))
-                     .when(bound < F.lit(float(threshold) * (1 - 1e-6)), F.lit(None).cast("double"))
-                     .otherwise(full))
-        else:
-            score = F.when(dot > 0, full).otherwise(
-                F.when((F.size(tok) > 0) & F.lit(q_ss > 0), F.lit(0.0)))
+            wanted = wanted | ((dot > 0) & (bound >= F.lit(max(float(threshold), 0.0) * (1 - 1e-6))))
+    df = materialize(df, _ss=F.when(wanted, vx.sum_squared_counts(tok)))
+    pairs = []
+    for run, (_, q_ss) in enumerate(asked, start=1):
+        dot = F.col(f"_dot{run - 1}")
+        zero = F.lit(None).cast("double") if threshold > 0 else F.when((F.size(tok) > 0) & F.lit(q_ss > 0), F.lit(0.0))
+        score = F.when(dot > 0, vx.tf_cosine(dot, F.col("_ss"), q_ss)).otherwise(zero)
         pairs.append(F.struct(F.lit(run).alias("run"), score.alias("score")))
     scored = df.select(*[c for c in papers.columns], F.inline(F.array(*pairs)))
     kept = threshold_filter(scored, "score", threshold)

@@ -100,6 +100,25 @@ def feed_index(spark, sf_dir):
     return feeds.feed_index(items, PRIORITIES, year_limit=1997)
 
 
+@query("feed_index_registry", sql=f"""
+WITH i AS (SELECT o_orderkey AS pos, 'orders/' || o_orderkey AS link,
+                  o_orderpriority || ' ' || strftime(o_orderdate, '%Y-%m-%d') || ' for ' || c_name || ' of ' || n_name AS d
+           FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+c AS (SELECT DISTINCT o_orderpriority AS conference FROM orders UNION SELECT c_name FROM customer UNION SELECT n_name FROM nation),
+y AS (SELECT pos, link, d, TRY_CAST(nullif(regexp_extract(d, '{_YEAR}', 1), '') AS INTEGER) AS year FROM i)
+SELECT year, conference, arg_max(link, pos) AS link FROM y JOIN c ON contains(y.d, c.conference) WHERE year >= 1997 GROUP BY year, conference
+""")
+def feed_index_registry(spark, sf_dir):
+    """SRC6/JN9 with a registry from tables: names of priorities, customers and nations in orders as index items."""
+    t = {name: read_table(spark, sf_dir, name) for name in ("orders", "customer", "nation")}
+    o = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+    items = o.select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("link"),
+                     F.concat("o_orderpriority", F.lit(" "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" for "), "c_name", F.lit(" of "), "n_name")
+                     .alias("description"))
+    names = (t["orders"].select(F.col("o_orderpriority").alias("name")).union(t["customer"].select("c_name")).union(t["nation"].select("n_name")))
+    return feeds.feed_index_from(items, names, year_limit=1997)
+
+
 _LI = r'<li[^>]*>\s*<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>\s*</li>'
 
 

@@ -98,6 +98,52 @@ def feed_index(items: DataFrame, conferences: Sequence[str], year_limit: int = 2
             .groupBy("year", "conference").agg(F.max_by("link", order_col).alias("link")))
 
 
+#: Bytes of names that are broadcast at most; a larger registry is matched in groups.
+REGISTRY_BYTES = 32 << 20
+
+
+def _contained(names: list[str]):
+    """A UDF: those of ``names`` that occur in a text, by one pass of an automaton over it whatever their number."""
+    @F.pandas_udf("array<string>")
+    def contained(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+        automaton = ahocorasick.Automaton()
+        for name in names:
+            automaton.add_word(name, name)
+        automaton.make_automaton()
+        for batch in batches:
+            yield pd.Series([sorted({name for _, name in automaton.iter(text)}) if text else [] for text in batch], dtype=object)
+
+    return contained
+
+
+def feed_index_from(items: DataFrame, registry: DataFrame, name_col: str = "name", year_limit: int = 2010, order_col: str = "pos",
+                    most: int = REGISTRY_BYTES) -> DataFrame:
+    """``feed_index`` with the known names taken from a table, which may be large: (year, conference, link).
+
+    The distinct names (null and empty ones match nothing) become an automaton that each worker builds once; it finds all
+    names in a description in one pass, so the cost of an item does not grow with the registry.  Names
+    beyond ``most`` bytes are taken in groups, each with a pass of its own over the items.  Texts without a year from ``year_limit`` on are
+    not looked through."""
+    names = registry.select(F.col(name_col).alias("name")).where(F.length("name") > 0).distinct().orderBy("name")
+    dated = items.select(order_col, "link", "description", F.inline(F.array(F.struct(tx.extract_year("description").alias("year")))))
+    dated = dated.where(F.col("year") >= year_limit)
+    groups: list[list[str]] = [[]]
+    size = 0
+    for r in names.toLocalIterator():
+        if size + len(r["name"].encode()) > most and groups[-1]:
+            groups.append([])
+            size = 0
+        groups[-1].append(r["name"])
+        size += len(r["name"].encode())
+    hits = None
+    for group in groups:
+        found = dated.select(order_col, "link", "year", F.explode(_contained(group)(F.col("description"))).alias("conference")) if group else \
+            dated.limit(0).select(order_col, "link", "year", F.lit("").alias("conference"))
+        hits = found if hits is None else hits.unionByName(found)
+    return hits.groupBy("year", "conference").agg(F.max_by("link", order_col).alias("link"))
+
+
 # SRC7 ------------------------------------------------------------------------------------
 LI_LINK = r'<li[^>]*>\s*<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>\s*</li>'
 

@@ -1,4 +1,5 @@
 import json
+import re
 import time
 
 import pytest
@@ -73,6 +74,24 @@ def test_feed_index(spark):
     assert got == {(2019, "AAAI"): "l2", (2022, "CHIL"): "l4", (2022, "ML4H"): "l4"}
 
 
+@pytest.mark.parametrize("most", [feeds.REGISTRY_BYTES, 12])
+def test_feed_index_with_a_registry_table(spark, most):
+    """Against ``contains``, also when the names are taken in several groups; names inside of names, odd and repeated ones."""
+    names = ["AAAI", "AAA", "A", "COLT", "é日", "a.b*c", "", None, "AAAI", "x y", "zz"]
+    said = [(i, t, f"l{i}") for i, t in enumerate(["AAAI 2019", "COLT and AAA in 2012, x y", None, "", "no year AAAI", "a.b*c é日 2031 2009", "aaai 2020",
+                                                   "AAAAAI 1999 2020", "x  y zz 2020", "AAAI 2019 again"])]
+    items = spark.createDataFrame(said, "pos long, description string, link string").repartition(3)
+    registry = spark.createDataFrame([(n, 1) for n in names], "name string, pos int")
+    got = {(r.year, r.conference): r.link for r in feeds.feed_index_from(items, registry, year_limit=2010, most=most).collect()}
+    want = {}
+    for i, text, link in said:
+        year = re.search(r"\b(19[0-9]{2}|20[0-9]{2}|2100)\b", text or "")
+        if year and int(year[1]) >= 2010:
+            want |= {(int(year[1]), n): link for n in names if n and n in text}
+    assert got == want and len(want) > 6
+    assert feeds.feed_index_from(items, registry.limit(0)).count() == 0
+
+
 def test_api_payload(spark):
     payload = {"count": 2, "results": [
         {"id": 1, "name": "Deep Nets", "authors": [{"fullname": "Ann", "institution": "MIT"},
