@@ -9,8 +9,9 @@ from lectern.functions import fuzzy as fz
 from lectern.functions import text as tx
 from lectern.operators import relational as rel
 from lectern.operators import search as srch
+from lectern.operators import setjoin
 from lectern.plans.registry import query
-from lectern.plans.sqlfrag import PAPERS, clean, sql_str
+from lectern.plans.sqlfrag import PAPERS, clean, sql_str, vec
 from lectern.sources.papers import papers, read_table
 
 _P = PAPERS
@@ -105,6 +106,24 @@ def jaccard_search(spark, sf_dir):
     return _jaccard(spark, sf_dir).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("similar_sets", sql=f"""
+WITH p AS (SELECT paper_key, list_sort(list_distinct({vec('abstract')})) AS s FROM {PAPERS}),
+c AS (SELECT s, min(paper_key) AS match, count(*) AS members FROM p WHERE len(s) > 0 GROUP BY s),
+t AS (SELECT match, len(s) AS n, unnest(s) AS token FROM c),
+q AS (SELECT DISTINCT c.match AS own FROM p JOIN c USING (s) WHERE p.paper_key % 50 = 0),
+i AS (SELECT a.match AS own, b.match, count(*) AS common, any_value(a.n) + any_value(b.n) - count(*) AS u
+      FROM t a JOIN q ON a.match = q.own JOIN t b USING (token) GROUP BY a.match, b.match)
+SELECT p.paper_key AS query, i.match, c.members, i.common, CAST(i.u AS INTEGER) AS "union"
+FROM p JOIN c AS own ON own.s = p.s JOIN i ON i.own = own.match JOIN c ON c.match = i.match
+WHERE p.paper_key % 50 = 0 AND i.common * 100 >= i.u * 60 AND (i.match <> own.match OR c.members > 1)
+""")
+def similar_sets_q(spark, sf_dir):
+    """OPT3 for all papers: papers whose id 50 divides against all, Jaccard of their cleaned terms at least 0.6, exact."""
+    p = papers(spark, sf_dir)
+    found = setjoin.similar_sets(p, F.col("paper_key") % 50 == 0, tx.vector_tokens("abstract"), 60)
+    return found.withColumn("common", F.col("common").cast("long"))
+
+
 @query("jaccard_topk", sql=f"""
 SELECT dataset, paper_key, round(jaccard, 6) AS jaccard FROM ({_JACCARD}) ORDER BY jaccard DESC, paper_key, dataset LIMIT 10
 """)
