@@ -6,9 +6,8 @@ batch.  A per-batch top-k per dataset keeps every row that can be in the global
 top-k, so re-applying the top-k when reading the results gives exactly the
 result of a batch search over everything ingested so far.
 
-Without an event-time column ``dropDuplicates`` keeps its key state for the life
-of the query; for unbounded streams with an event time use
-``with_watermark_dedupe``.
+``dropDuplicates`` keeps its keys for the life of the query; ``topk.stream_topk`` works in bounded
+state on streams with an event time.
 """
 
 from __future__ import annotations
@@ -39,11 +38,6 @@ def paper_stream(spark: SparkSession, path: str, **kw) -> DataFrame:
     return papers_from_documents(document_stream(spark, path, **kw)).dropDuplicates(["dataset", "paper_key"])
 
 
-def with_watermark_dedupe(df: DataFrame, event_time: str, delay: str, keys: list[str]) -> DataFrame:
-    """Bounded-state de-duplication for unbounded streams with an event time."""
-    return df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
-
-
 def ingest(spark: SparkSession, source: str, out: str, checkpoint: str, glob: str | None = None) -> None:
     """Append every new paper to a parquet table (``availableNow``: process what is
     there, then stop; restart-safe through the checkpoint)."""
