@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.operators import aliases
 from lectern.operators import profile as pf
 from lectern.operators.ranking import last_wins
 from lectern.plans.registry import query
@@ -75,6 +76,34 @@ def alias_merge_counts(spark, sf_dir):
     return pf.alias_merge(counts, aliases, "name")
 
 
+_CUSTOMER_ORDERS = "SELECT c_name AS name, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_name"
+_FOUND_ALIASES = f"""(SELECT alias, canonical, n, canonical_n FROM (
+  SELECT x.name AS alias, y.name AS canonical, x.n, y.n AS canonical_n,
+         row_number() OVER (PARTITION BY x.name ORDER BY y.n DESC, y.name) AS rn
+  FROM ({_CUSTOMER_ORDERS}) x JOIN ({_CUSTOMER_ORDERS}) y ON x.name <> y.name AND levenshtein(x.name, y.name) <= 1 AND y.n >= 2 * x.n)
+  WHERE rn = 1)"""
+
+
+def _customer_orders(spark, sf_dir):
+    o, c = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
+    return pf.frequency(o.join(c, o.o_custkey == c.c_custkey), "c_name", "name")
+
+
+@query("found_aliases", sql=f"SELECT * FROM {_FOUND_ALIASES}")
+def found_aliases(spark, sf_dir):
+    """OPT1: names at edit distance 1 of a name at least twice as frequent (customers by their orders), found without comparing all."""
+    return aliases.find_aliases(_customer_orders(spark, sf_dir))
+
+
+@query("alias_merge_found", sql=f"""
+SELECT coalesce(a.canonical, c.name) AS name, CAST(sum(c.n) AS BIGINT) AS n FROM ({_CUSTOMER_ORDERS}) c LEFT JOIN {_FOUND_ALIASES} a ON a.alias = c.name GROUP BY 1
+""")
+def alias_merge_found(spark, sf_dir):
+    """JN8/AGG4 with an alias table that was found in the data."""
+    counts = _customer_orders(spark, sf_dir)
+    return pf.alias_merge(counts, aliases.find_aliases(counts), "name")
+
+
 @query("papers_per_dataset", sql=f"SELECT dataset, count(*) AS n FROM {_P} GROUP BY dataset")
 def papers_per_dataset(spark, sf_dir):
     """AGG5."""
