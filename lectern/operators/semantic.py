@@ -106,7 +106,8 @@ def word_vector_scores(papers: DataFrame, vectors: DataFrame, query: str, field:
     docs = rows.join(spread, ["term", "salt"]).groupBy(*keys).agg(mean.alias("_v"))
     asked = (papers.sparkSession.range(1).select(F.explode(tx.word_tokens(F.lit(query))).alias("term"))
              .join(vectors, "term")
-             .agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>")))).alias("q")))
+             .groupBy(F.lit(0).alias("_all"))  # no row, and so a NULL, for a query without a known term
+             .agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>")))).alias("q")).select("q"))
     return score_against(docs, "_v", asked.scalar()).drop("_v")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as tx
 from lectern.operators import neighbours as nb
 from lectern.operators import semantic as sem
+from lectern.operators import wordvectors
 from lectern.operators.ranking import threshold_filter, top_k_per_group
 from lectern.plans.q_search import QUERY
 from lectern.plans.registry import query
@@ -185,3 +186,13 @@ def word_vector_search(spark, sf_dir):
     vectors = placed.join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("term", "vector")
     scored = sem.word_vector_scores(p, vectors, QUERY, "abstract", ["dataset", "paper_key"])
     return scored.select("dataset", "paper_key", F.round("score", 6).alias("score"))
+
+
+@query("learned_vector_search")
+def learned_vector_search(spark, sf_dir):
+    """SIM5 with vectors learned from the texts themselves (co-occurrences, PPMI, SVD): mean word vector of every text
+    against the query's."""
+    p = papers(spark, sf_dir)
+    vectors = wordvectors.learn(p, tx.clean_tokens("abstract"), dim=32, contexts=4000)
+    scored = sem.word_vector_scores(p, vectors, QUERY, "abstract", ["dataset", "paper_key"])
+    return scored.select("dataset", "paper_key", F.round("score", 6).alias("score"))
