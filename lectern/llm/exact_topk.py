@@ -12,12 +12,12 @@ the cell width alone.
 3. The exact vectors of the rest are read and scored: no other vector can be among the first k,
    the query's own left out.
 
-Equal vectors are searched once and stand for their k + 1 smallest ids, which are all that can
+Equal vectors are searched once and stand for their k + 1 first rows (by id), which are all that can
 be in a result, so that many copies of a vector do not make many candidates.
 
-Defined cases: vectors that are null or hold nulls or values that are not finite take no part, nor do rows
-without an id; of rows that repeat an id the least vector counts; vectors of
-another number of components than the query's are no candidates; ties go to the smaller id; fewer
+Defined cases: vectors that are null, empty or hold nulls or values that are not finite take no part, nor do rows
+without an id; rows that repeat an id are separate rows, and a query leaves out its own row only; vectors of
+another number of components than the query's are no candidates; ties go to the smaller id, then the first row; fewer
 than k candidates are all returned; an empty table gives an empty result; extra columns are ignored.
 Scores must fit a long.
 """
@@ -81,11 +81,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     """query_id, rank, vec_id, score: for each query row its k best other rows."""
     rows = (vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
             .select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v"),
-                    F.coalesce(is_query, F.lit(False)).alias("q")))
-    rows = scratch_table(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "topk-rows")
-    nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    members = scratch_table(rows.select("id", "v").withColumn("n", nth).where(F.col("n") <= k + 1)
-                            .withColumn("rep", F.min("id").over(Window.partitionBy("v"))), "topk-members")
+                    F.coalesce(is_query, F.lit(False)).alias("q"), F.monotonically_increasing_id().alias("row")))
+    rows = scratch_table(rows, "topk-rows")
+    order = Window.partitionBy("v").orderBy("id", "row")
+    members = scratch_table(rows.select("id", "v", "row", F.row_number().over(order).alias("n"), F.first("row").over(order).alias("rep"))
+                            .where(F.col("n") <= k + 1), "topk-members")
     distinct = members.where("n = 1")
     lowest, highest, count, asked = (
         distinct.agg(F.min(F.array_min("v")), F.max(F.array_max("v")), F.count(F.lit(1))).first()
@@ -98,8 +98,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     # A block of one side meets every block of the other side in a task of its own.
     data = (approximations.withColumn("db", F.pmod(F.xxhash64("rep"), F.lit(n_data)))
             .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long")))))
-    queries = rows.where("q").select("id", "v", F.size("v").alias("dim"))
-    blocks = (queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_query)))
+    # Inside, a query is known by its row.
+    queries = rows.where("q").select(F.col("row").alias("id"), F.col("id").alias("asked_id"), "v", F.size("v").alias("dim"))
+    blocks = (queries.drop("asked_id").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_query)))
               .withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_data - 1).cast("long")))))
     key = ["dim", "qb", "db"]
     near = blocks.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(
@@ -110,9 +111,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
              .groupBy(F.col("query_id").alias("l_id")).agg(F.min("corner").alias("least")))
     sure = near.join(least, F.col("query_id") == F.col("l_id")).where(F.col("corner") >= F.col("least") - F.col("span"))
     exact = (sure.select("query_id", "rep").join(distinct.select("rep", F.col("v").alias("x")), "rep")
-             .join(queries.select(F.col("id").alias("query_id"), "v"), "query_id"))
+             .join(queries.select(F.col("id").alias("query_id"), "asked_id", "v"), "query_id"))
     score = F.aggregate(F.zip_with("x", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
-    scored = exact.select("query_id", "rep", score.alias("score")).join(members.select("rep", F.col("id").alias("vec_id")), "rep")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return (scored.where("vec_id != query_id").withColumn("rank", rank).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    scored = (exact.select("query_id", "asked_id", "rep", score.alias("score"))
+              .join(members.select("rep", "row", F.col("id").alias("vec_id")), "rep"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id", "row"))
+    return (scored.where("row != query_id").withColumn("rank", rank).where(F.col("rank") <= k)
+            .select(F.col("asked_id").alias("query_id"), "rank", "vec_id", "score"))

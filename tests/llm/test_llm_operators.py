@@ -159,15 +159,18 @@ def test_topk(spark):
     r = np.random.default_rng(7)
     rows = [(i, [float(x) for x in r.normal(size=4).round(1)]) for i in range(300)]
     rows += [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(300, 340)]
-    rows += [(400, None), (500, [1.0, None, 0.0, 0.0]), (600, [float("nan"), 0.0, 0.0, 0.0]), (700, [1.0]), (None, [1.0] * 4), rows[5]]
+    rows += [rows[5], (7, [9.0, 9.0, 9.0, 9.0]), (100, [0.1, -0.2, 0.3, 0.0])]  # ids that occur twice, with the same vector and with others
+    used = len(rows)
+    rows += [(400, None), (500, [1.0, None, 0.0, 0.0]), (600, [float("nan"), 0.0, 0.0, 0.0]), (700, [1.0]), (None, [1.0] * 4)]
     table = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<float>, rank int")
-    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in exact_topk.top_k(table, F.col("vec_id") % 100 == 0).collect()}
-    ints = {i: np.floor(np.array(v, dtype=np.float32).astype(float) * 1024).astype(int) for i, v in rows[:340]}
-    want = {}
-    for q in (0, 100, 200, 300):
-        best = sorted((-int(v @ ints[q]), i) for i, v in ints.items() if i != q)[:10]
-        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
-    assert got == want
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in exact_topk.top_k(table, F.col("vec_id") % 100 == 0).collect())
+    ints = [(i, np.floor(np.array(v, dtype=np.float32).astype(float) * 1024).astype(int)) for i, v in rows[:used]]
+    want = []
+    for at, (q, u) in enumerate(ints):
+        if q % 100 == 0:
+            best = sorted((-int(v @ u), i, j) for j, (i, v) in enumerate(ints) if j != at)[:10]
+            want += [(q, n + 1, i, -s) for n, (s, i, _) in enumerate(best)]
+    assert got == sorted(want)
     assert exact_topk.top_k(table.limit(0), F.lit(True)).count() == 0
 
 
