@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,6 +87,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Scratch tables by the job that owns them; ``None`` for those of no job, which stay until the caller removes the folder.
+_owned: dict[str, list[str]] = {}
+_owner: ContextVar[str | None] = ContextVar("scratch_owner", default=None)
+
+
+@contextmanager
+def scratch_owner(name: str):
+    """Scratch tables written inside belong to ``name``, whose ``release`` removes them."""
+    token = _owner.set(name)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Remove the scratch tables of ``name``: call it when everything that reads them has been written."""
+    paths, fs = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for path in _owned.pop(name, []):
+        at = paths.Path(path)
+        at.getFileSystem(fs).delete(at, True)
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
@@ -93,5 +118,7 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    if owner := _owner.get():
+        _owned.setdefault(owner, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
