@@ -471,3 +471,65 @@ def test_pipeline(spark, sf_small):
         assert out.schema == docs.schema or [f.name for f in out.schema] == docs.columns, name
         out.write.mode("overwrite").format("noop").save()
     assert corpus_pipeline.run(spark, sf_small).count() > 0
+
+
+def test_pipeline_stages_against_brute_force(spark, sf_small):
+    """Each stage on the whole output of the one before it, with null and repeated ids, other white space and clashing columns."""
+    import corpus_pipeline
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    long = " ".join(words(21, 90))
+    near = long.replace(long.split()[40], "changed", 1)
+    extra = [(1, "a b c", "en", "src0"), (1, "a  b   c", "en", "src0"), (None, long, None, "src1"), (None, near, "de", None), (7, long + " ", "fr", "x"),
+             (None, "12 34", "en", "x"), (None, None, None, None), (2, "", "en", "x"), (2, "one two", None, "x"), (2, "one two", "es", "x")]
+    extra = [(i, t, lang, source, len(t or "")) for i, t, lang, source in extra]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).repartition(3)
+
+    def ran(name, table):
+        path = corpus_pipeline.scratch_table(stages[name](spark, table, sf_small), f"test-{name}")
+        assert path.columns == docs.columns
+        return path, [tuple(r) for r in path.collect()]
+
+    def shown(rows):  # a null language may have been filled in
+        return sorted((r[0] is None, r[0] or 0, r[1], r[3] is None, r[3] or "", r[4]) for r in rows)
+
+    rows = [tuple(r) for r in docs.collect()]
+    table, got = ran("language_id", docs)
+    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    assert shown(got) == shown(rows) and all(r[2] for r in got)
+    rows = got
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault((r[1] or "").translate({c: None for c in (9, 10, 11, 12, 13, 32)}), []).append(r)
+    best = {k: min((-len(r[1]), r[0] is None, r[0] or 0) for r in v) for k, v in groups.items()}
+    table, got = ran("exact_dedup", table)
+    assert len(got) == len(groups)
+    assert sorted((-len(r[1]), r[0] is None, r[0] or 0) for r in got) == sorted(best.values())
+    sets = [shingles(r[1], 5) for r in got]
+    comp = list(range(len(got)))
+
+    def find(i):
+        return i if comp[i] == i else find(comp[i])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                comp[find(i)] = find(j)
+    want: dict = {}
+    for i, r in enumerate(got):
+        key = (r[0] is None, r[0] or 0)
+        want[find(i)] = min(want.get(find(i), (True, 1 << 60)), key)
+    table, kept = ran("near_dedup", table)
+    assert len(kept) == len(want) < len(got) and sorted((r[0] is None, r[0] or 0) for r in kept) == sorted(want.values())
+    table, mix = ran("mixing", table)
+    texts = [r[1] for r in kept]
+    texts = [b" ".join([b"", *t.encode().split(), b""]) for t in texts]  # every mixed text is a run of words of a kept one
+    assert mix and all(any(w in t for t in texts) for w in (b" ".join([b"", *r[1].encode().split(), b""]) for r in mix))
+    pieces = stages["packing"](spark, table, sf_small).collect()
+    assert len({(p.copy, p.doc_id) for p in pieces}) == len(mix) and all(len(p.ids) == 4 * p.length for p in pieces)
+    by_doc: dict = {}
+    for p in sorted(pieces, key=lambda p: p.start):
+        by_doc.setdefault((p.copy, p.doc_id), []).append(p)
+    for own in by_doc.values():
+        assert [p.start for p in own] == [sum(x.length for x in own[:i]) for i in range(len(own))]
+        assert sum(p.length for p in own) == own[0].doc_tokens
