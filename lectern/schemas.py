@@ -75,7 +75,7 @@ API_PAPER_FIELDS = ("id", "name", "author", "abstract", "keywords", "topic", "se
                     "event_type", "virtualsite_url", "url", "paper_url", "paper_pdf_url",
                     "sourceurl")
 
-# Searchable fields and scorers offered by the search front end.
+# Searchable fields and scorers offered by the search front end (fixed values).
 SEARCH_FIELDS = ("title", "keywords", "topic", "abstract")
 SEARCH_MODELS = ("Fuzzy", "Cosine", "Word2Vec", "Marco", "Specter")
 
