@@ -102,3 +102,16 @@ r AS (
   FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
 """
+
+# The true neighbours: what the search finds, too, on tables no larger than its sample.
+SQL["op11_nearest_neighbours"] = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, x.vec_id,
+         sqrt(list_reduce(list_transform(list_zip(q.v, x.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id != q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
