@@ -76,6 +76,21 @@ def kmeans(df: DataFrame, vec_col: str, k: int = 10, seed: int = 1, max_iter: in
     return model.transform(feats).drop("_features")
 
 
+def assign_nearest(df: DataFrame, vec_col: str, centres: DataFrame, key: str, centre_col: str = "centroid", most: int = 4096) -> DataFrame:
+    """OPT9, the assignment step: ``cluster`` (key of the centre at the smallest squared distance, ties to the smaller key) and
+    ``distance``.  The centres travel as one literal array in the plan, so there may be ``most`` of them at most (an error otherwise)."""
+    rows = centres.select(key, centre_col).orderBy(key).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} centres")
+    if not rows:
+        return df.withColumns({"cluster": F.lit(None).cast(centres.schema[key].dataType), "distance": F.lit(None).cast("double")})
+    table = F.array(*[F.struct(F.lit(r[key]).alias("k"), vx.vector_literal(r[centre_col]).alias("c")) for r in rows])
+    apart = F.transform(table, lambda s: F.struct(F.aggregate(
+        F.zip_with(F.col(vec_col), s["c"], lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, b: a + b).alias("d"), s["k"].alias("k")))
+    out = df.select("*", F.inline(F.array(F.struct(F.array_min(apart).alias("_best")))))
+    return out.withColumns({"cluster": F.col("_best.k"), "distance": F.col("_best.d")}).drop("_best")
+
+
 def pca_2d(df: DataFrame, vec_col: str) -> DataFrame:
     """OPT9: first two principal components of each vector."""
     from pyspark.ml.feature import PCA

@@ -13,7 +13,9 @@ from lectern.functions import vectors as vx
 from lectern.operators.ranking import dense_position
 from lectern.plans.registry import query
 from lectern.plans.sqlfrag import PAPERS, STOPWORDS, clean, norm, vec, words
+from lectern.sources.catalog import read_stopwords
 from lectern.sources.papers import papers, read_table
+from lectern.sources.sinks import scratch_path
 
 _P = PAPERS
 
@@ -118,6 +120,25 @@ def stopword_antijoin(spark, sf_dir):
             .select("paper_key", F.col("pos").cast("long").alias("pos"), "token"))
 
 
+STOP_FILE_WORDS = 50
+
+
+@query("stopword_file", sql=f"""
+WITH t AS (SELECT dataset, unnest({words('abstract')}) AS token FROM {_P}),
+f AS (SELECT token FROM t GROUP BY token ORDER BY count(*) DESC, token LIMIT {STOP_FILE_WORDS})
+SELECT dataset, count(*) AS kept FROM t WHERE token NOT IN (SELECT token FROM f) GROUP BY dataset
+""")
+def stopword_file(spark, sf_dir):
+    """SRC10/JN3: the most frequent tokens are written as a stop-word file (each twice, with blank lines), which is read as a set and
+    taken out of the tokens of every dataset."""
+    toks = papers(spark, sf_dir).select("dataset", F.explode(tx.word_tokens(F.coalesce("abstract", F.lit("")))).alias("token"))
+    often = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "token").limit(STOP_FILE_WORDS)
+    path = scratch_path(spark, "stopwords")
+    often.select(F.explode(F.array("token", F.lit(""), "token")).alias("value")).write.text(path)
+    stop = read_stopwords(spark, path).withColumnRenamed("word", "token")
+    return toks.join(F.broadcast(stop), "token", "left_anti").groupBy("dataset").agg(F.count(F.lit(1)).alias("kept"))
+
+
 @query("distinct_terms", sql=f"""
 SELECT paper_key, len(list_distinct({clean('abstract')})) AS n_distinct, len({clean('abstract')}) AS n_clean FROM {_P}
 """)

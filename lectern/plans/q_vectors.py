@@ -142,6 +142,18 @@ def kmeans_q(spark, sf_dir):
     return sem.pca_2d(clustered, "embedding").select("vec_id", "label", "cluster", "pc1", "pc2")
 
 
+@query("nearest_centres", sql=f"""
+WITH d AS (SELECT e.vec_id, c.label, list_reduce(list_transform(list_zip(e.embedding, c.centroid), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2])),
+                                                 lambda a, b: a + b) AS d FROM embeddings e, {_CENTROIDS} c)
+SELECT vec_id, arg_min(label, (round(d, 9), label)) AS cluster, round(min(d), 6) AS distance FROM d GROUP BY vec_id
+""")
+def nearest_centres(spark, sf_dir):
+    """OPT9: each vector's nearest label centroid (the assignment step of k-means)."""
+    e = _emb(spark, sf_dir).select("vec_id", "label", "embedding")
+    found = sem.assign_nearest(e, "embedding", sem.centroids(e, "label", "embedding"), "label")
+    return found.select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
+
+
 @query("exact_neighbours", sql=f"""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v),

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import neighbours as nb
+from lectern.operators import semantic
 
 
 def _want(rows, asked, k):
@@ -67,3 +68,17 @@ def test_empty_and_uneven(spark, tmp_path):
     assert nb.exact_neighbours(spark, str(tmp_path / "empty"), one).count() == 0
     with pytest.raises(ValueError):
         nb.build_vector_index(one.union(spark.createDataFrame([(2, [1.0, 2.0])], "vec_id long, embedding array<float>")), str(tmp_path / "uneven"))
+
+
+def test_assignment_to_given_centres(spark):
+    r = np.random.default_rng(2)
+    x, c = r.standard_normal((60, 3)).round(2), r.standard_normal((5, 3)).round(2)
+    c[3] = c[1]  # a tie goes to the smaller key
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    centres = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "k int, centroid array<double>")
+    got = {row.id: (row.cluster, row.distance) for row in semantic.assign_nearest(df, "v", centres, "k").collect()}
+    d = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+    assert all(got[i][0] == d[i].argmin() and abs(got[i][1] - d[i].min()) < 1e-9 for i in range(60))
+    assert semantic.assign_nearest(df, "v", centres.limit(0), "k").where("cluster IS NULL").count() == 60
+    with pytest.raises(ValueError):
+        semantic.assign_nearest(df, "v", centres, "k", most=2)
