@@ -179,6 +179,9 @@ def _read(spark: SparkSession, paths: str | Iterable[str], in_parts: bool) -> Da
     raw = spark.read.text([paths] if isinstance(paths, str) else list(paths), lineSep="}", recursiveFileLookup=in_parts)
     path = F.col("_metadata.file_path")
     raw = raw.select(path.alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    if in_parts:
+        # Of a part, what follows its last brace is the line end, to which no brace belongs.  (At the end of a whole file one too many does no harm.)
+        raw = raw.where(F.col("value") != "\n")
     name = F.url_decode(F.url_decode(F.regexp_extract("path", r"/dataset=([^/]+)/[^/]*$", 1))) if in_parts else dataset_name(F.col("path"))
     found = raw.mapInArrow(_summaries, "path string, start bigint, in0 boolean, depth0 bigint, least0 bigint, in1 boolean, depth1 bigint, least1 bigint")
     # The parts of an object are chained in the order of their names; files are objects of their own.
