@@ -93,8 +93,7 @@ def build_vector_index(df: DataFrame, path: str, key: str = "vec_id", vector: st
     rows = scratch_table(rows, "vector-lists")
     sizes = rows.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("ball"))
     sizes = sizes.select("list", "n", "ball", F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
-    made = spark.createDataFrame(pd.DataFrame({"list": np.arange(len(centres), dtype=np.int32), "centre": list(centres)}),
-                                 "list int, centre array<double>")
+    made = spark.createDataFrame(list(enumerate(centres.tolist())), "list int, centre array<double>")
     made.join(sizes, "list").write.mode("overwrite").parquet(f"{root}/centroids")
     dealt = rows.join(sizes.select("list", "pieces"), "list")
     dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int")).drop("pieces")

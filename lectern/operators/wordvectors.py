@@ -126,7 +126,7 @@ def learn(texts: DataFrame, tokens: Column, dim: int = 64, window: int = 4, leas
     columns = own.orderBy(F.col("n").desc(), "a").limit(contexts).select("a").collect()
     width = len(columns)
     spark = texts.sparkSession
-    numbered = spark.createDataFrame(pd.DataFrame({"b": pd.Series([r["a"] for r in columns], dtype=object), "id": pd.Series(range(width), dtype="int32")}), "b string, id int")
+    numbered = spark.createDataFrame([(r["a"], i) for i, r in enumerate(columns)], "b string, id int")
     rows = ppmi(kept).join(F.broadcast(numbered), "b").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias("e"))
     rows = scratch_table(rows.select(F.col("a").alias("term"), F.col("e.id").alias("ids"), F.col("e.x").alias("xs")), "vectors-rows")
     size = min(dim + EXTRA, width)
