@@ -57,6 +57,7 @@ def stream_topk(spark, sf_dir):
         some.write.mode("append").parquet(landing)
     schema = "event_id long, ts timestamp, event_type string, value double"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "2").parquet(landing)
-    topk.stream_topk(spark, stream, out, checkpoint, "event_type", "event_id", "value", "ts", 3, "1 day", f"{int(2 * part) + 1} seconds")
+    topk.stream_topk(spark, stream, out, checkpoint, "event_type", "event_id", "value", "ts", 3, "1 day", f"{int(2 * part) + 1} seconds",
+                     partitions=16)  # a few types, and the days within the delay
     return topk.read_topk(spark, out).select(F.col("group").alias("event_type"), F.date_format("until", "yyyy-MM-dd").alias("until"), "rank",
                                              F.col("key").alias("event_id"), F.col("score").alias("value"))

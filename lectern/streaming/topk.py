@@ -57,9 +57,10 @@ class _Best(StatefulProcessor):
 
 
 def stream_topk(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str, group: str, key: str, score: str, event_time: str,
-                k: int = 10, window: str = "1 day", delay: str = "1 day") -> None:
+                k: int = 10, window: str = "1 day", delay: str = "1 day", partitions: int | None = None) -> None:
     """Read what there is of ``stream`` (``availableNow``; restart-safe through the checkpoint) and write the rankings that each micro-batch
-    changed to ``out``, in a folder a batch, so that a batch that runs again replaces its own rows."""
+    changed to ``out``, in a folder a batch, so that a batch that runs again replaces its own rows.  ``partitions`` of the state, kept for the
+    life of the checkpoint, suit the groups and windows open at once (default: the session's shuffle partitions)."""
     key_type = dict(stream.dtypes)[key]
     rows = stream.withWatermark(event_time, delay).select(
         F.col(group).cast("string").alias("group"), F.window(event_time, window)["end"].alias("until"), F.col(key).alias("key"),
@@ -70,15 +71,18 @@ def stream_topk(spark: SparkSession, stream: DataFrame, out: str, checkpoint: st
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    # Lists in state need this provider; the session's own setting comes back afterwards.
-    old = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    # Lists in state need this provider; the session's own settings come back afterwards.
+    wanted = {PROVIDER: ROCKSDB} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    old = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         query = (best.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
                  .trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, old) if old is not None else spark.conf.unset(PROVIDER)
+        for name, value in old.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def read_topk(spark: SparkSession, out: str, key_type: str = "bigint") -> DataFrame:
