@@ -198,7 +198,8 @@ def _dp_udf(q: str):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series(np.where(s.isna(), np.nan, fuzzy_scores(q, [c if isinstance(c, str) else None for c in s])))
-    return score
+    # So marked, a threshold on the score and its projection share one call.
+    return score.asNondeterministic()
 
 
 def score_fuzzy(df: DataFrame, query: str, text: Column, keep_zero: bool = False) -> DataFrame:
