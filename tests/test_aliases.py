@@ -50,3 +50,13 @@ def test_found_aliases_merge_counts(spark):
     assert merged == {"Google": 81, "MIT": 10, "MTI": 1, "NIT": 6, None: 9}
     with pytest.raises(ValueError):
         aliases.near_names(counts, "name", 0)
+
+
+def test_variants_are_not_broadcast(spark, capsys):
+    """The variants are many times the names: a join planned by the names' size sent them all to the driver."""
+    counts = spark.createDataFrame([(f"name {i}", i + 1) for i in range(50)], "name string, n long")
+    for found in (aliases.find_aliases(counts), aliases.near_names(counts)):
+        assert found.count() > 0
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
