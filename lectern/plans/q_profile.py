@@ -86,7 +86,8 @@ _FOUND_ALIASES = f"""(SELECT alias, canonical, n, canonical_n FROM (
 
 def _customer_orders(spark, sf_dir):
     o, c = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
-    return pf.frequency(o.join(c, o.o_custkey == c.c_custkey), "c_name", "name")
+    # Both are large: a small file of many customers must not be broadcast.
+    return pf.frequency(o.join(c.hint("merge"), o.o_custkey == c.c_custkey), "c_name", "name")
 
 
 @query("found_aliases", sql=f"SELECT * FROM {_FOUND_ALIASES}")
