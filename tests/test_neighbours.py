@@ -1,6 +1,7 @@
 """Exact neighbours over the inverted file against all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,16 @@ def test_assignment_to_given_centres(spark):
     assert semantic.assign_nearest(df, "v", centres.limit(0), "k").where("cluster IS NULL").count() == 60
     with pytest.raises(ValueError):
         semantic.assign_nearest(df, "v", centres, "k", most=2)
+
+
+def test_a_piece_gives_only_rows_inside_the_bound():
+    """Before, every query got k rows of every piece that it met, in a frame of its own."""
+    around = [np.array([np.cos(t), np.sin(t)]) for t in np.linspace(0, 3, 40)]
+    rows = [{"list": 0, "piece": 0, "asks": False, "q": None, "key": 100 - i, "v": v, "r": 1.0, "reach": np.nan} for i, v in enumerate(around)]
+    rows += [{"list": 0, "piece": 0, "asks": True, "q": i, "key": 500 + i, "v": np.array([1.0, 0.0]), "r": 1.0, "reach": reach}
+             for i, reach in enumerate([0.1, np.nan, 0.001])]
+    got = pd.concat(nb._best(5)(iter([pd.DataFrame(rows)])))
+    assert sorted(got.loc[got["q"] == 0, "key"]) == [99, 100] and sorted(got.loc[got["q"] == 2, "key"]) == [100]
+    assert sorted(got.loc[got["q"] == 1, "key"]) == [96, 97, 98, 99, 100]
+    same = pd.DataFrame([r | {"v": np.array([1.0, 0.0])} for r in rows])
+    assert sorted(next(nb._best(5)(iter([same]))).query("q == 1")["key"]) == [61, 62, 63, 64, 65]
