@@ -33,6 +33,8 @@ from lectern.operators.search import KEY, TOPK_FAN_IN, annotate, field_text
 from lectern.session import scratch_table
 
 BLOCK, BUCKETS, FIRST = 128, 64, 4
+#: (document, term) entries that a task lists: they are sorted in memory.
+ENTRIES = 1 << 20
 #: Rounding of metric_match to four digits can lift a score by half of this.
 STEP = 1e-4
 
@@ -58,8 +60,8 @@ def build_index(papers: DataFrame, path: str, field: str = "abstract", show: Seq
                 stopwords: Sequence[str] | None = None, extra_stopwords: Iterable[str] = (),
                 block: int = BLOCK, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
     """Write the index of ``papers`` under ``path``; ``mode="append"`` adds further datasets to one that is there
-    (their keys must be new).  Two shuffles: lists are put together by (term, dataset, block), so that a term of all
-    documents is many rows in many tasks, and dealt into the folders by ranges of the term."""
+    (their keys must be new).  Two shuffles: documents are put together by (dataset, block) and listed there by term, so that a term of all
+    documents is many rows in many tasks, and the lists are dealt into the folders by ranges of the term."""
     spark = papers.sparkSession
     root = path.rstrip("/")
     order = _order(papers.columns)
@@ -77,10 +79,15 @@ def build_index(papers: DataFrame, path: str, field: str = "abstract", show: Seq
     ss = F.aggregate("terms", F.lit(0).cast("long"), lambda s, t: s + t["n"] * t["n"])
     counted.withColumn("ss", ss).write.mode(mode).parquet(f"{root}/documents")
     docs = _written(spark, root, papers, show, mode, counted)
-    sizes = docs.where("ss > 0").groupBy("dataset", _class().alias("_class")).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    sizes = (docs.where("ss > 0").groupBy("dataset", _class().alias("_class"))
+             .agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"), F.sum(F.size("terms")).alias("_entries")))
+    # Written, its true size decides whether the documents are shuffled to meet it.
+    sizes = scratch_table(sizes, "index-sizes")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sizes.agg(F.sum("_entries")).first()[0] or 0) // ENTRIES))
     place = F.concat_ws("-", F.lit(uuid.uuid4().hex[:8]), "_class", F.pmod(F.xxhash64(F.col("paper_key").cast("string")), F.col("_blocks")))
-    rows = (_join(docs.where("ss > 0").withColumn("_class", _class()), sizes, ["dataset", "_class"])
-            .select("dataset", *order, "ss", place.alias("block"), F.inline("terms")))
+    placed = _join(docs.where("ss > 0").withColumn("_class", _class()), sizes.drop("_entries"), ["dataset", "_class"]).select("dataset", *order, "ss", place.alias("block"), "terms")
+    # The documents of a block come together whole; their terms are listed where they meet, without a shuffle of each term.
+    rows = placed.repartition(parts, "dataset", "block").select("dataset", *order, "ss", "block", F.inline("terms"))
     lists = (rows.groupBy("term", "dataset", "block")  # about the documents of a block
              .agg(F.collect_list(F.struct(*order, "n", "ss")).alias("docs"), F.max(F.col("n") / F.sqrt("ss")).alias("peak"))
              .withColumn("bucket", F.pmod(F.crc32("term"), F.lit(buckets)).cast("int")))

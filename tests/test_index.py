@@ -143,3 +143,13 @@ def test_saved_search_without_hits(spark, tmp_path):
     saved.save_as_dataset(search(papers, "word3", "Cosine", "abstract", 3, 0.05), folder, "Cosine", "abstract", "word3")
     saved.save_as_dataset(search(papers, "unheard", "Cosine", "abstract", 3, 0.05), folder, "Cosine", "abstract", "unheard")
     assert saved.saved_papers(spark, folder, "paper_key long").select("dataset").distinct().count() == 1
+
+
+def test_blocks_in_many_tasks(spark, tmp_path, monkeypatch):
+    """Documents are shuffled by block, whole, into tasks of a bounded number of entries."""
+    monkeypatch.setattr(index, "ENTRIES", 100)
+    papers = _papers(spark, seed=6, n=200)
+    path = str(tmp_path / "tasks")
+    index.build_index(papers, path, block=16, buckets=4)
+    want = search(papers, "word3 word5", "Cosine", "abstract", 4, 0.1).select(COLUMNS)
+    assert _same(index.search_index(spark, path, "word3 word5", 4, 0.1).select(COLUMNS), want)
