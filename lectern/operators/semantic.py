@@ -12,6 +12,7 @@ from typing import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from lectern.functions import text as tx
 from lectern.functions import vectors as vx
 from lectern.operators.ranking import top_k_per_group
+from lectern.session import scratch_table
 
 
 def vector_of(df: DataFrame, key_col: str, key, vec_col: str) -> Column:
@@ -101,29 +103,75 @@ def pca_2d(df: DataFrame, vec_col: str) -> DataFrame:
     return out.withColumns({"pc1": F.col("_pc")[0], "pc2": F.col("_pc")[1]}).drop("_features", "_pc")
 
 
-def word_vector_scores(papers: DataFrame, vectors: DataFrame, query: str, field: str, keys: Sequence[str],
-                       stopwords=None, salts: int = 16) -> DataFrame:
+def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of the vectors of a paper's terms, and their number, for papers with a known term.  Rows come sorted by part, of each part
+    first its terms' vectors, then its papers; columns: part, paper, term, vector, tokens, keys."""
+    here, terms, rows, index = None, [], [], None
+    for batch in batches:
+        part, paper = batch.column("part").to_numpy(), np.asarray(batch.column("paper").to_pylist(), dtype=bool)
+        starts = np.flatnonzero(np.r_[len(part) > 0, (part[1:] != part[:-1]) | (paper[1:] != paper[:-1])])
+        for a, b in zip(starts, [*starts[1:], len(part)]):
+            if part[a] != here:
+                here, terms, rows, index = part[a], [], [], None
+            if not paper[a]:
+                terms += batch.column("term").slice(a, b - a).to_pylist()
+                rows.append(np.array(batch.column("vector").slice(a, b - a).to_pylist(), dtype=float))
+                continue
+            if not terms:
+                continue
+            if index is None:  # a term with several vectors counts once for each
+                codes, names = pd.factorize(np.array(terms, dtype=object))
+                index, known = pd.Index(names), np.bincount(codes)
+                sums = np.zeros((len(names), rows[0].shape[1]))
+                np.add.at(sums, codes, np.concatenate(rows))
+                rows = []
+            for at in range(a, b, 128):
+                some = batch.slice(at, min(128, b - at))
+                said = some.column("tokens")
+                size = np.diff(said.offsets.to_numpy())
+                found = index.get_indexer(said.flatten().to_numpy(zero_copy_only=False))
+                owner = np.repeat(np.arange(len(size)), size)[found >= 0]
+                found = found[found >= 0]
+                if len(found):
+                    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                    total, weight = np.add.reduceat(sums[found], first, axis=0), np.add.reduceat(known[found], first)
+                    kept = some.take(pa.array(owner[first]))
+                    keys = [c for c in some.schema.names if c not in ("part", "paper", "term", "vector", "tokens")]
+                    means = pa.array(list(total / weight[:, None]), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keys), means, pa.array(weight.astype(float))], [*keys, "_mean", "_weight"])
+
+
+def word_vector_scores(papers: DataFrame, vectors: DataFrame, query: str, field: str, keys: Sequence[str], stopwords=None) -> DataFrame:
     """``keys`` and ``score`` = cosine(mean word vector of the query, of the cleaned field).
 
-    ``vectors``: (term, vector), one row per term.  A paper's terms are counted, joined with their vectors on (term, salt) so that a term found in most papers
-    is met in ``salts`` tasks, and averaged by count (partial sums before the
-    shuffle).  The query is tokenised, not cleaned.  Papers without a known term are
-    left out; a query without one gives NULL scores."""
+    ``vectors``: (term, vector), one row per term.  Papers are dealt into as many parts as there are shuffle partitions; a part gets the vector
+    of each of its terms once, however many of its papers hold the term, and its papers are averaged there.  The query is tokenised, not
+    cleaned.  Papers without a known term are left out; a query without one gives NULL scores."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    keys = list(keys)
-    rows = (papers.select(*keys, F.explode(tx.clean_tokens(F.col(field), stopwords)).alias("term"))
-            .groupBy(*keys, "term").agg(F.count(F.lit(1)).cast("double").alias("n"))
-            .withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")))
-    spread = vectors.select("term", array_to_vector(F.col("vector").cast("array<double>")).alias("v"),
-                            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    mean = vector_to_array(Summarizer.metrics("mean").summary(F.col("v"), F.col("n"))["mean"])
-    docs = rows.join(spread, ["term", "salt"]).groupBy(*keys).agg(mean.alias("_v"))
-    asked = (papers.sparkSession.range(1).select(F.explode(tx.word_tokens(F.lit(query))).alias("term"))
+    keys, spark = list(keys), papers.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_key{i}" for i in range(len(keys))]
+    docs = papers.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.pmod(F.hash(*keys), F.lit(parts)).alias("part"),
+                         tx.clean_tokens(F.col(field), stopwords).alias("tokens"))
+    docs = scratch_table(docs.where(F.size("tokens") > 0).repartition(parts, "part"), "vectors-papers")
+    # The terms are many times the rows that hold them, so their size must not be guessed from the file: both sides are shuffled.
+    needed = docs.select("part", F.explode("tokens").alias("term")).distinct().hint("merge").join(vectors.where("vector IS NOT NULL"), "term")
+    kinds = [docs.schema[n].dataType for n in names]
+    terms = needed.select("part", F.lit(False).alias("paper"), "term", "vector", F.lit(None).cast("array<string>").alias("tokens"),
+                          *(F.lit(None).cast(t).alias(n) for n, t in zip(names, kinds)))
+    said = docs.select("part", F.lit(True).alias("paper"), F.lit(None).cast("string").alias("term"),
+                       F.lit(None).cast(vectors.schema["vector"].dataType).alias("vector"), "tokens", *names)
+    out = T.StructType([T.StructField(n, t) for n, t in zip(names, kinds)]
+                       + [T.StructField("_mean", T.ArrayType(T.DoubleType())), T.StructField("_weight", T.DoubleType())])
+    summed = terms.unionByName(said).repartition(parts, "part").sortWithinPartitions("part", "paper").mapInArrow(_weighted, out)
+    mean = vector_to_array(Summarizer.metrics("mean").summary(array_to_vector("_mean"), F.col("_weight"))["mean"])
+    scored = summed.groupBy(*names).agg(mean.alias("_v")).select(*(F.col(n).alias(k) for k, n in zip(keys, names)), "_v")  # keys may repeat
+    asked = (spark.range(1).select(F.explode(tx.word_tokens(F.lit(query))).alias("term"))
              .join(vectors, "term")
              .groupBy(F.lit(0).alias("_all"))  # no row, and so a NULL, for a query without a known term
              .agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>")))).alias("q")).select("q"))
-    return score_against(docs, "_v", asked.scalar()).drop("_v")
+    return score_against(scored, "_v", asked.scalar()).drop("_v")
 
 
 # Encoder plug-in (SIM5-SIM7 with a pretrained model) -----------------------------------

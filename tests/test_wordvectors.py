@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,19 @@ def test_nothing_to_learn(spark):
     assert wv.learn(df, F.split("text", " "), dim=4).count() == 0
     with pytest.raises(ValueError):
         wv.learn(df, F.split("text", " "), contexts=0)
+
+
+def test_a_part_gets_a_vector_once_for_all_its_papers(spark):
+    """Before, every (paper, term) carried a vector through the shuffle; repeated and null keys are averaged as one group."""
+    seen = []
+    rows = [("d", i % 40, "sea sea sky") for i in range(80)] + [(None, None, "sky"), (None, None, "law sea"), ("d", 99, "unheard")]
+    df = spark.createDataFrame(rows, "dataset string, paper_key int, abstract string")
+    vectors = spark.createDataFrame([("sea", [1.0, 0.0]), ("sky", [0.0, 1.0]), ("law", [1.0, 1.0])], "term string, vector array<float>")
+    got = {(r.dataset, r.paper_key): r.score for r in semantic.word_vector_scores(df, vectors, "sea", "abstract", ["dataset", "paper_key"]).collect()}
+    assert len(got) == 41 and all(abs(got["d", i] - 2 / 5 ** 0.5) < 1e-9 for i in range(40)) and abs(got[None, None] - 0.5 ** 0.5) < 1e-9
+    schema = pa.schema([("part", pa.int32()), ("paper", pa.bool_()), ("term", pa.string()), ("vector", pa.list_(pa.float32())), ("tokens", pa.list_(pa.string())), ("k", pa.int64())])
+    lines = [(0, False, "sea", [1.0, 0.0], None, None)] + [(0, True, None, None, ["sea"] * (i + 1), i) for i in range(200)] + [(1, True, None, None, ["sea"], 900)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in lines[at:at + 70]], schema) for at in range(0, len(lines), 70)]
+    for part in semantic._weighted(iter(batches)):
+        seen += zip(part.column("k").to_pylist(), part.column("_mean").to_pylist(), part.column("_weight").to_pylist())
+    assert seen == [(i, [1.0, 0.0], i + 1.0) for i in range(200)]
