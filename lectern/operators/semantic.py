@@ -154,7 +154,7 @@ def word_vector_scores(papers: DataFrame, vectors: DataFrame, query: str, field:
     names = [f"_key{i}" for i in range(len(keys))]
     docs = papers.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.pmod(F.hash(*keys), F.lit(parts)).alias("part"),
                          tx.clean_tokens(F.col(field), stopwords).alias("tokens"))
-    docs = scratch_table(docs.where(F.size("tokens") > 0).repartition(parts, "part"), "vectors-papers")
+    docs = scratch_table(docs.where(F.size("tokens") > 0).repartitionById(parts, "part"), "vectors-papers")
     # The terms are many times the rows that hold them, so their size must not be guessed from the file: both sides are shuffled.
     needed = docs.select("part", F.explode("tokens").alias("term")).distinct().hint("merge").join(vectors.where("vector IS NOT NULL"), "term")
     kinds = [docs.schema[n].dataType for n in names]
@@ -164,7 +164,7 @@ def word_vector_scores(papers: DataFrame, vectors: DataFrame, query: str, field:
                        F.lit(None).cast(vectors.schema["vector"].dataType).alias("vector"), "tokens", *names)
     out = T.StructType([T.StructField(n, t) for n, t in zip(names, kinds)]
                        + [T.StructField("_mean", T.ArrayType(T.DoubleType())), T.StructField("_weight", T.DoubleType())])
-    summed = terms.unionByName(said).repartition(parts, "part").sortWithinPartitions("part", "paper").mapInArrow(_weighted, out)
+    summed = terms.unionByName(said).repartitionById(parts, "part").sortWithinPartitions("part", "paper").mapInArrow(_weighted, out)
     mean = vector_to_array(Summarizer.metrics("mean").summary(array_to_vector("_mean"), F.col("_weight"))["mean"])
     scored = summed.groupBy(*names).agg(mean.alias("_v")).select(*(F.col(n).alias(k) for k, n in zip(keys, names)), "_v")  # keys may repeat
     asked = (spark.range(1).select(F.explode(tx.word_tokens(F.lit(query))).alias("term"))

@@ -1,112 +1,245 @@
 """Word vectors learned from a corpus (SIM5): co-occurrence counts, positive pointwise mutual information, randomised SVD.
 
-1. **Counts.**  Pairs of terms up to ``window`` tokens apart, by the task in a dictionary of at most HELD pairs, then by Spark.  All terms with
-   ``least`` occurrences are rows; the ``contexts`` most frequent of them (CONTEXTS at most, a documented bound) are columns.
-2. **PPMI.**  max(0, log(n(a, b) * n / (n(a) * n(b)))), native.  A row has at most ``contexts`` entries.
-3. **SVD.**  The column space is found by subspace iteration: every task multiplies its rows with the current basis (contexts by
+1. **Terms.**  Counted by the task and then by Spark, a term with how many tokens lie up to ``window`` places from it.  All terms with
+   ``least`` occurrences are rows; the ``contexts`` most frequent of them (CONTEXTS at most, a documented bound) are columns.  What a kept
+   term has beside terms that are not kept is taken off its count: such a term is rare in each task as well, so it travels with its few
+   neighbours, and no task needs the list of all kept terms.
+2. **Counts.**  A task counts the contexts near each of its terms and passes them on as short lists; a term's lists meet, sorted, in one task,
+   which adds them up in a row of at most ``contexts`` counts.
+3. **PPMI.**  max(0, log(n(a, b) * n / (n(a) * n(b)))).  Rows keep the counts whose value is positive; the value is taken as they are read.
+4. **SVD.**  The column space is found by subspace iteration: every task multiplies its rows with the current basis (contexts by
    dim + EXTRA numbers, broadcast; 13 MB at most for 64 dimensions) and adds up its part of R' R Q; Spark adds the parts block by block, and the
    driver, which only ever holds the basis, orthogonalises it.
-4. **Vectors.**  A term's vector is its row times the leading right singular vectors; signs are fixed by the largest entry.
+5. **Vectors.**  A term's vector is its row times the leading right singular vectors; signs are fixed by the largest entry.
 
 The seed, the order of contexts and the signs are fixed, so the same corpus gives the same vectors up to rounding.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.session import scratch_table
 
-CONTEXTS, EXTRA, ROUNDS, HELD, BLOCK = 20_000, 16, 6, 200_000, 1024
+CONTEXTS, EXTRA, ROUNDS, BLOCK = 20_000, 16, 6, 1024
+#: Tokens that a task counts at once, entries of a list on its way, rows and entries that are multiplied at once; a row is multiplied as a
+#: whole if one in DENSE of its columns has an entry.
+TOKENS, LIST, GROUP, PART, DENSE = 1 << 20, 256, 256, 1 << 14, 64
 
 
-def _pairs(window: int):
-    """(a, b, n) for ordered pairs of tokens 1 to ``window`` apart, both ways round."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Terms, the tokens as their places there (from 1; 0: null) and each token's text, for about TOKENS tokens at a time."""
+    held, sizes, n = [], [], 0
+
+    def encoded() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        words, size = pa.concat_arrays(held).dictionary_encode(), np.concatenate(sizes)
+        return words.dictionary, words.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1, np.repeat(np.arange(len(size)), size)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, GROUP):
+            said = batch.column(0).slice(at, GROUP)
+            held.append(said.flatten())
+            sizes.append(pc.list_value_length(said).fill_null(0).to_numpy(zero_copy_only=False))
+            n += len(held[-1])
+            if n >= TOKENS:
+                yield encoded()
+                held, sizes, n = [], [], 0
+    if n:
+        yield encoded()
+
+
+def _near(tokens: np.ndarray, text: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens and those 1 to ``window`` places from them in the same text, both ways round."""
+    for apart in range(1, window + 1):
+        same = text[apart:] == text[:-apart]
+        a, b = tokens[:-apart][same], tokens[apart:][same]
+        yield a, b
+        yield b, a
+
+
+def _lists(values: pa.Array, starts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+
+
+def _terms(window: int, enough: int):
+    """term, n, known, near: how many tokens are near a term, how many of them are not null, and, for terms with fewer than ``enough``, which."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, tokens, text in _chunks(batches):
+            n, known = np.zeros((2, len(names) + 1), dtype=np.int64)
+            for a, b in _near(tokens, text, window):
+                n += np.bincount(a, minlength=len(n))
+                known += np.bincount(a[b > 0], minlength=len(n))
+            few = n < enough
+            found = [(a[some], b[some]) for a, b in _near(tokens, text, window) for some in [few[a] & (a > 0) & (b > 0)]]
+            a, b = (np.concatenate(x) for x in zip(*found))
+            near = names.take(pa.array(b[np.argsort(a, kind="stable")] - 1))
+            starts = np.r_[0, np.cumsum(np.bincount(a, minlength=len(n)))[:-1]]
+            yield pa.RecordBatch.from_arrays([names, pa.array(n[1:]), pa.array(known[1:]), _lists(near, starts[1:])], ["term", "n", "known", "near"])
+
+    return count
+
+
+def kept_terms(said: DataFrame, window: int, least: int) -> DataFrame:
+    """term, n, own of the terms with ``least`` occurrences in ``said`` (tokens): how many tokens are at most ``window`` places from them,
+    and how many of those are kept terms."""
+    enough = max(2 * window * least, 1)
+    found = said.mapInArrow(_terms(window, enough), "term string, n long, known long, near array<string>")
+    summed = found.groupBy("term").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.flatten(F.collect_list("near")).alias("near"))
+    few = F.col("n") < enough
+    terms = scratch_table(summed.select("term", "n", "known", F.when(few, F.col("near")).alias("near")), "vectors-terms")
+    lost = terms.where(few).select(F.explode("near").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("lost"))
+    kept = terms.where(~few).join(lost, "term", "left")
+    return scratch_table(kept.select("term", "n", (F.col("known") - F.coalesce("lost", F.lit(0))).alias("own")), "vectors-kept")
+
+
+def _contexts(window: int, names):
+    """term, own (null), ids, ns: how often each context is near a term, in lists of at most LIST contexts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def passed() -> pa.RecordBatch:
-            a, b = zip(*held)
-            out = pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(held.values()), pa.int64())], ["a", "b", "n"])
-            held.clear()
-            return out
-
-        for batch in batches:
-            for said in batch.column(0):
-                tokens = said.as_py() or []
-                for apart in range(1, window + 1):
-                    held.update(zip(tokens, tokens[apart:]))
-                if len(held) >= HELD:
-                    yield passed()
-        if held:
-            yield passed()
+        index = pd.Index(names.value)
+        for terms, tokens, text in _chunks(batches):
+            ids = np.r_[-1, index.get_indexer(terms.to_numpy(zero_copy_only=False))]
+            pairs = [a[some] * len(index) + ids[b[some]] for a, b in _near(tokens, text, window) for some in [(ids[b] >= 0) & (a > 0)]]
+            pairs, ns = np.unique(np.concatenate(pairs), return_counts=True)
+            if len(pairs):
+                a, ids = np.divmod(pairs, len(index))
+                first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                place = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
+                starts = np.flatnonzero(place % LIST == 0)
+                yield pa.RecordBatch.from_arrays([terms.take(pa.array(a[starts] - 1)), pa.nulls(len(starts), pa.int64()), _lists(pa.array(ids, pa.int32()), starts),
+                                                  _lists(pa.array(ns, pa.int64()), starts)], ["term", "own", "ids", "ns"])
 
     return count
 
 
-def cooccurrences(texts: DataFrame, tokens: Column, window: int) -> DataFrame:
-    """a, b, n: how often b is at most ``window`` tokens before or after a."""
-    found = texts.select(tokens.alias("tokens")).mapInArrow(_pairs(window), "a string, b string, n long")
-    return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
+def _ratio(own: np.ndarray, ids: np.ndarray, ns: np.ndarray, total: int, others: np.ndarray) -> np.ndarray:
+    """How many times as often as by chance."""
+    return ns.astype(float) * total / (own.astype(float) * others[ids])
+
+
+def _added(total: int, shared):
+    """term, own, ids, ns of the kept terms, with the contexts that are near more often than by chance.  Rows come sorted by
+    term, of a kept term first the one with ``own``, then its lists."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = shared.value
+        last = None  # the last term so far, which may go on: its term, own, ids and ns
+
+        def runs(batch: pa.RecordBatch):
+            """Term and own of each run of a term, and run, context and count of its entries, added up."""
+            terms, own, ids, ns = (batch.column(c) for c in ("term", "own", "ids", "ns"))
+            new = np.r_[True, pc.not_equal(terms.slice(1), terms.slice(0, len(terms) - 1)).to_numpy(zero_copy_only=False)]
+            size = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.repeat(np.cumsum(new) - 1, size) * len(others) + ids.flatten().to_numpy(zero_copy_only=False)
+            ns, order = ns.flatten().to_numpy(zero_copy_only=False), np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.r_[len(at) > 0, np.diff(at[order]) != 0])
+            ns = np.add.reduceat(ns[order], first) if len(first) else ns
+            run, ids = np.divmod(at[order][first], len(others))
+            return terms.filter(pa.array(new)), own.filter(pa.array(new)).fill_null(0).to_numpy(zero_copy_only=False), run, ids, ns
+
+        def rows(terms: pa.Array, own: np.ndarray, run: np.ndarray, ids: np.ndarray, ns: np.ndarray) -> pa.RecordBatch:
+            some = own[run] > 0
+            some[some] = _ratio(own[run[some]], ids[some], ns[some], total, others) > 1
+            run, ids, ns = run[some], ids[some], ns[some]
+            starts = np.flatnonzero(np.r_[len(run) > 0, run[1:] != run[:-1]])
+            return pa.RecordBatch.from_arrays([terms.take(pa.array(run[starts])), pa.array(own[run[starts]]), _lists(pa.array(ids, pa.int32()), starts),
+                                               _lists(pa.array(ns, pa.int64()), starts)], ["term", "own", "ids", "ns"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                if last is not None:
+                    batch = pa.Table.from_batches([last, batch.cast(last.schema)]).combine_chunks().to_batches()[0]
+                terms, own, run, ids, ns = runs(batch)
+                end, tail = len(terms) - 1, run == len(terms) - 1
+                yield rows(terms, own, run[~tail], ids[~tail], ns[~tail])
+                last = pa.RecordBatch.from_arrays([terms.slice(end), pa.array(own[end:]), _lists(pa.array(ids[tail], pa.int32()), np.array([0])),
+                                                   _lists(pa.array(ns[tail], pa.int64()), np.array([0]))], ["term", "own", "ids", "ns"])
+        if last is not None:
+            yield rows(*runs(last))
 
+    return add
 
-def ppmi(pairs: DataFrame) -> DataFrame:
-    """a, b, x of the pairs that occur together more often than by chance; pairs: a, b, n (symmetric)."""
-    own = pairs.groupBy("a").agg(F.sum("n").alias("own"))
-    total = pairs.agg(F.sum("n").alias("t")).scalar()
-    chance = F.log(F.col("n").cast("double") * total / (F.col("own").cast("double") * F.col("other").cast("double")))
-    joined = pairs.join(own, "a").join(own.select(F.col("a").alias("b"), F.col("own").alias("other")), "b")
-    return joined.select("a", "b", chance.alias("x")).where("x > 0")
 
+def context_rows(said: DataFrame, window: int, kept: DataFrame, names: list[str], others: np.ndarray, total: int) -> DataFrame:
+    """term, own, ids, ns of the ``kept`` terms (term, own): which contexts (``names``, of ``others`` tokens near) are near them more often than
+    by chance, of ``total`` in all, and how often."""
+    context = said.sparkSession.sparkContext
+    schema = "term string, own long, ids array<int>, ns array<long>"
+    near = said.mapInArrow(_contexts(window, context.broadcast(np.array(names, dtype=object))), schema)
+    own = kept.select("term", "own", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("array<long>").alias("ns"))
+    met = own.unionByName(near).repartition("term").sortWithinPartitions("term", F.col("own").desc_nulls_last())
+    return met.mapInArrow(_added(total, context.broadcast(others)), schema)
 
-def _columns(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, value) of the entries of some rows."""
-    sizes = [len(x) for x in rows["ids"]]
-    return np.repeat(np.arange(len(rows)), sizes), np.concatenate([*rows["ids"], []]).astype(np.int64), np.concatenate([*rows["xs"], []]).astype(float)
 
+def _groups(batches: Iterator[pa.RecordBatch], total: int, others: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Terms, sizes of their rows, and columns and values of the rows' entries, for rows with many entries and those with few apart."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, GROUP):
+            some = batch.slice(at, GROUP)
+            size = pc.list_value_length(some.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, ns = (some.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "ns"))
+            x = np.log(_ratio(np.repeat(some.column("own").to_numpy(zero_copy_only=False), size), ids, ns, total, others))
+            many = size * DENSE > len(others)
+            for kind in (many, ~many):
+                if kind.any():
+                    entry = np.repeat(kind, size)
+                    yield some.column("term").filter(pa.array(kind)), size[kind], ids[entry].astype(np.int64), x[entry]
 
-def _times(rows: pd.DataFrame, basis: np.ndarray) -> np.ndarray:
-    """The rows times the basis."""
-    i, j, x = _columns(rows)
-    out = np.zeros((len(rows), basis.shape[1]))
-    for at in range(0, len(i), 1 << 16):
-        part = slice(at, at + (1 << 16))
-        np.add.at(out, i[part], x[part, None] * basis[j[part]])
+
+def _times(size: np.ndarray, ids: np.ndarray, x: np.ndarray, basis: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """The rows R times the basis; ``total``, if given, gets R' R times the basis added.  Rows with many entries are multiplied as a matrix."""
+    row = np.repeat(np.arange(len(size)), size)
+    if len(ids) * DENSE > len(size) * len(basis):
+        dense = np.zeros((len(size), len(basis)))
+        dense[row, ids] = x
+        out = dense @ basis
+        if total is not None:
+            total += dense.T @ out
+        return out
+    out = np.zeros((len(size), basis.shape[1]))
+    for at in range(0, len(ids), PART):
+        part = slice(at, at + PART)
+        _add(out, row[part], x[part], basis, ids[part])
+    if total is not None:
+        order = np.argsort(ids, kind="stable")
+        for at in range(0, len(ids), PART):
+            part = order[at:at + PART]
+            _add(total, ids[part], x[part], out, row[part])
     return out
 
 
-def _gram_step(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+def _add(out: np.ndarray, to: np.ndarray, x: np.ndarray, values: np.ndarray, of: np.ndarray) -> None:
+    """Adds x times the rows ``of`` the values to the rows ``to``, which are sorted."""
+    first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    out[to[first]] += np.add.reduceat(x[:, None] * values[of], first, axis=0)
+
+
+def _gram_step(rows: DataFrame, basis: np.ndarray, n: int, shared) -> np.ndarray:
     """R' R times the basis: tasks add up their rows' parts, Spark adds the tasks', by blocks of contexts."""
-    shared = rows.sparkSession.sparkContext.broadcast(basis)
+    sent = rows.sparkSession.sparkContext.broadcast(basis)
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shared.value
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
         total, some = np.zeros_like(q), False
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                group = batch.iloc[at:at + 256]
-                i, j, x = _columns(group)
-                y = _times(group, q)
-                for first in range(0, len(i), 1 << 16):
-                    cut = slice(first, first + (1 << 16))
-                    np.add.at(total, j[cut], x[cut, None] * y[i[cut]])
-                some = True
+        for _, size, ids, x in _groups(batches, n, shared.value):
+            _times(size, ids, x, q, total)
+            some = True
         if some:
             for block in range(0, len(total), BLOCK):
-                yield pd.DataFrame({"block": [block], "values": [total[block:block + BLOCK].ravel()]})
+                values = pa.array(total[block:block + BLOCK].ravel())
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), _lists(values, np.array([0]))], ["block", "values"])
 
     def add(key, parts: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": [key[0]], "values": [np.sum(np.stack(parts["values"]), axis=0)]})
 
     # One row a task and block; a block of all tasks is added up in one group, BLOCK rows of the basis from each.
-    summed = rows.mapInPandas(part, "block int, values array<double>").groupBy("block").applyInPandas(add, "block int, values array<double>")
+    summed = rows.mapInArrow(part, "block int, values array<double>").groupBy("block").applyInPandas(add, "block int, values array<double>")
     out = np.zeros_like(basis)
     for r in summed.toLocalIterator():
         values = np.array(r["values"]).reshape(-1, basis.shape[1])
@@ -119,34 +252,33 @@ def learn(texts: DataFrame, tokens: Column, dim: int = 64, window: int = 4, leas
     contexts more often than by chance."""
     if not 0 < contexts <= CONTEXTS:
         raise ValueError(f"contexts must be in 1 to {CONTEXTS}")
-    pairs = scratch_table(cooccurrences(texts, tokens, window), "vectors-pairs")
-    own = pairs.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * window * least)
-    own = scratch_table(own, "vectors-terms")
-    kept = pairs.join(own.select("a"), "a", "left_semi").join(own.select(F.col("a").alias("b")), "b", "left_semi")
-    columns = own.orderBy(F.col("n").desc(), "a").limit(contexts).select("a").collect()
-    width = len(columns)
     spark = texts.sparkSession
-    numbered = spark.createDataFrame([(r["a"], i) for i, r in enumerate(columns)], "b string, id int")
-    rows = ppmi(kept).join(F.broadcast(numbered), "b").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias("e"))
-    rows = scratch_table(rows.select(F.col("a").alias("term"), F.col("e.id").alias("ids"), F.col("e.x").alias("xs")), "vectors-rows")
+    if window < 1:
+        return spark.createDataFrame([], "term string, vector array<double>")
+    said = scratch_table(texts.select(tokens.alias("tokens")), "vectors-tokens")
+    kept = kept_terms(said, window, least)
+    columns = kept.orderBy(F.col("n").desc(), "term").limit(contexts).select("term", "own").collect()
+    width = len(columns)
     size = min(dim + EXTRA, width)
     if not size:
         return spark.createDataFrame([], "term string, vector array<double>")
+    others, total = np.array([r["own"] for r in columns], dtype=float), kept.agg(F.sum("own")).first()[0]
+    rows = scratch_table(context_rows(said, window, kept, [r["term"] for r in columns], others, total), "vectors-rows")
+    counts = spark.sparkContext.broadcast(others)
     basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, size)))
     for _ in range(ROUNDS):
-        basis, _ = np.linalg.qr(_gram_step(rows, basis))
+        basis, _ = np.linalg.qr(_gram_step(rows, basis, total, counts))
     # The small matrix Q' R' R Q has the squared singular values.
-    values, turn = np.linalg.eigh(basis.T @ _gram_step(rows, basis))
+    values, turn = np.linalg.eigh(basis.T @ _gram_step(rows, basis, total, counts))
     leading = np.argsort(-values, kind="stable")[:dim]
     leading = leading[values[leading] > 1e-9 * max(values.max(), 1e-300)]
     right = basis @ turn[:, leading]
     right *= np.sign(right[np.abs(right).argmax(axis=0), np.arange(right.shape[1])])
     shared = spark.sparkContext.broadcast(right)
 
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                group = batch.iloc[at:at + 256]
-                yield pd.DataFrame({"term": group["term"], "vector": list(_times(group, shared.value))})
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for terms, size, ids, x in _groups(batches, total, counts.value):
+            vectors = _times(size, ids, x, shared.value)
+            yield pa.RecordBatch.from_arrays([terms, _lists(pa.array(vectors.ravel()), np.arange(len(terms)) * vectors.shape[1])], ["term", "vector"])
 
-    return rows.mapInPandas(project, "term string, vector array<double>")
+    return rows.mapInArrow(project, "term string, vector array<double>")

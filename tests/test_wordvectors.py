@@ -86,3 +86,78 @@ def test_a_part_gets_a_vector_once_for_all_its_papers(spark):
     for part in semantic._weighted(iter(batches)):
         seen += zip(part.column("k").to_pylist(), part.column("_mean").to_pylist(), part.column("_weight").to_pylist())
     assert seen == [(i, [1.0, 0.0], i + 1.0) for i in range(200)]
+
+
+def test_rare_and_null_tokens_against_counting(spark):
+    """Rare terms count for the threshold, not for the shares; columns are only the most frequent terms; nulls are near, and no terms."""
+    r = random.Random(5)
+    texts = [[*(r.choice(["rare%d" % r.randrange(400), None]) if r.random() < 0.3 else "t%d" % min(int(r.expovariate(0.12)), 39) for _ in range(r.randrange(0, 30)))] for _ in range(150)]
+    n = Counter()
+    for t in texts:
+        for i, a in enumerate(t):
+            n.update((a, b) for b in t[max(0, i - 2):i] + t[i + 1:i + 3])
+    count = Counter()
+    for (a, _), c in n.items():
+        count[a] += c
+    kept = sorted((a for a in count if a is not None and count[a] >= 2 * 2 * 4), key=lambda a: (-count[a], a))
+    assert 15 < len(kept) < 45 and sum(count[a] for a in count if a not in kept) > 1000
+    m = np.array([[n[a, b] for b in kept] for a in kept], dtype=float)
+    with np.errstate(divide="ignore"):
+        x = np.maximum(np.log(m * m.sum() / np.outer(m.sum(axis=1), m.sum(axis=0))), 0)[:, :12]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,), ([],)], "t array<string>").repartition(4)
+    got = {v.term: np.array(v.vector) for v in wv.learn(df, F.col("t"), dim=12, window=2, least=4, contexts=12).collect()}
+    assert set(got) == {a for a, row in zip(kept, x) if row.any()}
+    ours = np.array([got.get(a, np.zeros(12)) for a in kept])
+    assert np.abs(ours @ ours.T - x @ x.T).max() < 1e-6
+
+
+def test_tasks_pass_lists_not_pairs(spark, monkeypatch):
+    """Before, every pair of terms was a row of its own and all pairs were written; now a term has its contexts in lists, and rows of the
+    same counts come out however tokens, lists and batches are cut."""
+    r = random.Random(6)
+    said = [[f"w{min(int(r.expovariate(0.05)), 99):02}" for _ in range(40)] for _ in range(60)]
+    names = [f"w{i:02}" for i in range(20)]
+    want = Counter((a, b) for t in said for i, a in enumerate(t) for b in t[max(0, i - 3):i] + t[i + 1:i + 4] if b in names)
+    shared, others = type("S", (), {"value": np.array(names, dtype=object)}), type("S", (), {"value": np.ones(20)})
+    schema = pa.schema([("term", pa.string()), ("own", pa.int64()), ("ids", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64()))])
+    monkeypatch.setattr(wv, "GROUP", 7)
+    for tokens, most, rows in ((10 ** 6, 256, 5000), (300, 3, 50)):
+        monkeypatch.setattr(wv, "TOKENS", tokens)
+        monkeypatch.setattr(wv, "LIST", most)
+        batches = [pa.RecordBatch.from_arrays([pa.array(said[i:i + 25] + [None], pa.list_(pa.string()))], ["tokens"]) for i in range(0, 60, 25)]
+        passed = [x for b in wv._contexts(3, shared)(iter(batches)) for x in b.to_pylist()]
+        terms = {t for text in said for t in text}
+        assert max(len(x["ids"]) for x in passed) <= most and (len(passed) <= len(terms) if tokens == 10 ** 6 else len(passed) > len(want) / 3)
+        lines = sorted(passed + [{"term": t, "own": 1, "ids": None, "ns": None} for t in terms if t != "w05"], key=lambda x: (x["term"], x["own"] is None))
+        met = [pa.RecordBatch.from_pylist(lines[i:i + rows], schema) for i in range(0, len(lines), rows)]
+        got = [x for b in wv._added(10 ** 6, others)(iter(met)) for x in b.to_pylist()]
+        assert len(got) == len({x["term"] for x in got})
+        assert {(x["term"], names[i]): n for x in got for i, n in zip(x["ids"], x["ns"])} == {k: n for k, n in want.items() if k[0] != "w05"}
+    written = []
+    monkeypatch.setattr(wv, "scratch_table", lambda df, name, f=wv.scratch_table: written.append((name, (out := f(df, name)).count())) or out)
+    wv.learn(spark.createDataFrame([(t,) for t in said], "t array<string>"), F.col("t"), dim=4, window=3, least=2, contexts=20)
+    assert max(n for _, n in written) <= max(len(said), len(terms))
+
+
+def test_both_ways_to_multiply():
+    r = np.random.default_rng(3)
+    size = np.array([2, 5, 1, 0, 30])
+    row, ids, x, basis = np.repeat(np.arange(5), size), r.integers(0, 3000, size.sum()), r.random(size.sum()), r.random((3000, 4))
+    for columns in (3000, 40):  # few entries of the columns, many of them
+        at, m = ids % columns, np.zeros((5, columns))
+        np.add.at(m, (row, at), x)
+        i, j = np.nonzero(m)
+        total = np.zeros((columns, 4))
+        assert np.allclose(wv._times(np.bincount(i, minlength=5), j, m[i, j], basis[:columns], total), m @ basis[:columns])
+        assert np.allclose(total, m.T @ m @ basis[:columns])
+
+
+def test_each_part_of_papers_is_a_task_of_its_own(spark, monkeypatch):
+    """Before, parts were dealt by hash, so several met in one task while others had none."""
+    written = []
+    monkeypatch.setattr(semantic, "scratch_table", lambda df, name, f=semantic.scratch_table: written.append(df) or f(df, name))
+    df = spark.createDataFrame([("d", i, "sea") for i in range(400)], "dataset string, paper_key int, abstract string")
+    vectors = spark.createDataFrame([("sea", [1.0])], "term string, vector array<double>")
+    assert semantic.word_vector_scores(df, vectors, "sea", "abstract", ["dataset", "paper_key"]).count() == 400
+    parts = [r.n for r in written[0].groupBy(F.spark_partition_id()).agg(F.countDistinct("part").alias("n")).collect()]
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and set(parts) == {1}
