@@ -8,6 +8,7 @@ TakeOrderedAndProject (per-task top-k, then a merge of k rows per task).
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable, Iterator, Sequence
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from lectern.functions import text as tx
 from lectern.functions import vectors as vx
 from lectern.operators.ranking import top_k_per_group
-from lectern.session import scratch_table
+from lectern.session import lean_writes, scratch_table
 
 
 def vector_of(df: DataFrame, key_col: str, key, vec_col: str) -> Column:
@@ -141,30 +142,46 @@ def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in keys), means, pa.array(weight.astype(float))], [*keys, "_mean", "_weight"])
 
 
-def word_vector_scores(papers: DataFrame, vectors: DataFrame, query: str, field: str, keys: Sequence[str], stopwords=None) -> DataFrame:
+def word_vector_scores(papers: DataFrame, vectors: DataFrame, query: str, field: str, keys: Sequence[str], stopwords=None, rounds: int = 1) -> DataFrame:
     """``keys`` and ``score`` = cosine(mean word vector of the query, of the cleaned field).
 
     ``vectors``: (term, vector), one row per term.  Papers are dealt into as many parts as there are shuffle partitions; a part gets the vector
-    of each of its terms once, however many of its papers hold the term, and its papers are averaged there.  The query is tokenised, not
-    cleaned.  Papers without a known term are left out; a query without one gives NULL scores."""
+    of each of its terms once, however many of its papers hold the term, and its papers are averaged there.  With ``rounds``, the parts are
+    worked on in so many rounds at most, at least six parts in each, so that the disk holds the vectors of one round's parts; each round reads
+    ``vectors``, which should be a table then.  The query is tokenised, not cleaned.  Papers without a known term are left out; a query without one gives NULL scores."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     keys, spark = list(keys), papers.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [f"_key{i}" for i in range(len(keys))]
+    # Texts travel as one string each: no token has a space.
     docs = papers.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.pmod(F.hash(*keys), F.lit(parts)).alias("part"),
-                         tx.clean_tokens(F.col(field), stopwords).alias("tokens"))
-    docs = scratch_table(docs.where(F.size("tokens") > 0).repartitionById(parts, "part"), "vectors-papers")
-    # The terms are many times the rows that hold them, so their size must not be guessed from the file: both sides are shuffled.
-    needed = docs.select("part", F.explode("tokens").alias("term")).distinct().hint("merge").join(vectors.where("vector IS NOT NULL"), "term")
+                         tx.clean_text(F.col(field), stopwords).alias("said"))
+    docs = docs.where("said <> ''").repartitionById(parts, "part").select("part", F.split("said", " ").alias("tokens"), *names)
+    with lean_writes(spark):
+        docs = scratch_table(docs, "vectors-papers")
     kinds = [docs.schema[n].dataType for n in names]
-    terms = needed.select("part", F.lit(False).alias("paper"), "term", "vector", F.lit(None).cast("array<string>").alias("tokens"),
-                          *(F.lit(None).cast(t).alias(n) for n, t in zip(names, kinds)))
-    said = docs.select("part", F.lit(True).alias("paper"), F.lit(None).cast("string").alias("term"),
-                       F.lit(None).cast(vectors.schema["vector"].dataType).alias("vector"), "tokens", *names)
     out = T.StructType([T.StructField(n, t) for n, t in zip(names, kinds)]
                        + [T.StructField("_mean", T.ArrayType(T.DoubleType())), T.StructField("_weight", T.DoubleType())])
-    summed = terms.unionByName(said).repartitionById(parts, "part").sortWithinPartitions("part", "paper").mapInArrow(_weighted, out)
+
+    def sums(docs: DataFrame) -> DataFrame:
+        # The terms are many times the rows that hold them, so their size must not be guessed from the file: both sides are shuffled.
+        needed = docs.select("part", F.explode("tokens").alias("term")).distinct().hint("merge").join(vectors.where("vector IS NOT NULL"), "term")
+        terms = needed.select("part", F.lit(False).alias("paper"), "term", "vector", F.lit(None).cast("string").alias("said"),
+                              *(F.lit(None).cast(t).alias(n) for n, t in zip(names, kinds)))
+        said = docs.select("part", F.lit(True).alias("paper"), F.lit(None).cast("string").alias("term"),
+                           F.lit(None).cast(vectors.schema["vector"].dataType).alias("vector"), F.array_join("tokens", " ").alias("said"), *names)
+        dealt = terms.unionByName(said).repartitionById(parts, "part").sortWithinPartitions("part", "paper")
+        return dealt.select("part", "paper", "term", "vector", F.split("said", " ").alias("tokens"), *names).mapInArrow(_weighted, out)
+
+    rounds = max(1, min(rounds, parts // 6))
+    if rounds == 1:
+        summed = sums(docs)
+    else:
+        with lean_writes(spark):
+            ends = [parts * i // rounds for i in range(rounds + 1)]
+            found = [scratch_table(sums(docs.where(F.col("part").between(a, b - 1))), "vectors-means") for a, b in zip(ends, ends[1:])]
+        summed = reduce(DataFrame.unionByName, found)
     mean = vector_to_array(Summarizer.metrics("mean").summary(array_to_vector("_mean"), F.col("_weight"))["mean"])
     scored = summed.groupBy(*names).agg(mean.alias("_v")).select(*(F.col(n).alias(k) for k, n in zip(keys, names)), "_v")  # keys may repeat
     asked = (spark.range(1).select(F.explode(tx.word_tokens(F.lit(query))).alias("term"))

@@ -1,22 +1,26 @@
 """Word vectors learned from a corpus (SIM5): co-occurrence counts, positive pointwise mutual information, randomised SVD.
 
 1. **Terms.**  Counted by the task and then by Spark, a term with how many tokens lie up to ``window`` places from it.  All terms with
-   ``least`` occurrences are rows; the ``contexts`` most frequent of them (CONTEXTS at most, a documented bound) are columns.  What a kept
-   term has beside terms that are not kept is taken off its count: such a term is rare in each task as well, so it travels with its few
-   neighbours, and no task needs the list of all kept terms.
-2. **Counts.**  A task counts the contexts near each of its terms and passes them on as short lists; a term's lists meet, sorted, in one task,
-   which adds them up in a row of at most ``contexts`` counts.
+   ``least`` occurrences are rows; the ``contexts`` most frequent of them (CONTEXTS at most, a documented bound) are columns.  What kept
+   terms have beside kept terms is counted in a second pass: terms are hashed to PLACES places, of which every task knows two bits, whether
+   a kept term and whether another one is there.  Only a term rare in its task whose place has both travels with its few neighbours;
+   no task needs the list of all kept terms.
+2. **Counts.**  A task counts the contexts near each of its terms and passes them on as short lists, three bytes an entry, unless the term is surely
+   not kept; a term's lists meet, sorted, in one task, which adds them up in a row of at most ``contexts`` counts.
 3. **PPMI.**  max(0, log(n(a, b) * n / (n(a) * n(b)))).  Rows keep the counts whose value is positive; the value is taken as they are read.
 4. **SVD.**  The column space is found by subspace iteration: every task multiplies its rows with the current basis (contexts by
    dim + EXTRA numbers, broadcast; 13 MB at most for 64 dimensions) and adds up its part of R' R Q; Spark adds the parts block by block, and the
    driver, which only ever holds the basis, orthogonalises it.
 5. **Vectors.**  A term's vector is its row times the leading right singular vectors; signs are fixed by the largest entry.
 
+Tables that only the learning reads are removed at its end; the vectors are a table.
+
 The seed, the order of contexts and the signs are fixed, so the same corpus gives the same vectors up to rounding.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +30,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import scratch_table
+from lectern.session import lean_writes, release, scratch_owner, scratch_table
 
 CONTEXTS, EXTRA, ROUNDS, BLOCK = 20_000, 16, 6, 1024
 #: Tokens that a task counts at once, entries of a list on its way, rows and entries that are multiplied at once; a row is multiplied as a
 #: whole if one in DENSE of its columns has an entry.
 TOKENS, LIST, GROUP, PART, DENSE = 1 << 20, 256, 256, 1 << 14, 64
+#: Places that terms are hashed to, and how many of them travel in a row.
+PLACES, TOGETHER = 1 << 26, 1 << 16
+#: Parts in which a chunk's pairs of terms and contexts are counted.
+DEALS = 4
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -68,56 +76,161 @@ def _lists(values: pa.Array, starts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
 
 
-def _terms(window: int, enough: int):
-    """term, n, known, near: how many tokens are near a term, how many of them are not null, and, for terms with fewer than ``enough``, which."""
+def _terms(window: int):
+    """term, n: how many tokens are near a term."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, tokens, text in _chunks(batches):
-            n, known = np.zeros((2, len(names) + 1), dtype=np.int64)
-            for a, b in _near(tokens, text, window):
+            n = np.zeros(len(names) + 1, dtype=np.int64)
+            for a, _ in _near(tokens, text, window):
+                n += np.bincount(a, minlength=len(n))
+            yield pa.RecordBatch.from_arrays([names, pa.array(n[1:])], ["term", "n"])
+
+    return count
+
+
+def _places(terms: pa.Array) -> np.ndarray:
+    return (pd.util.hash_array(np.asarray(terms.to_numpy(zero_copy_only=False), dtype=object), categorize=False) % PLACES).astype(np.int64)
+
+
+def _there(enough: int):
+    """block, kept, other: places, within the block, of the task's terms with ``enough`` and of those with fewer."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch.column("term"))
+            order = np.argsort(at, kind="stable")
+            at, kept = at[order], batch.column("n").to_numpy()[order] >= enough
+            first = np.flatnonzero(np.r_[len(at) > 0, np.diff(at // TOGETHER) != 0])
+            some = [(pa.array(at[kind] % TOGETHER, pa.int32()), np.r_[0, np.cumsum(kind)][first]) for kind in (kept, ~kept)]
+            yield pa.RecordBatch.from_arrays([pa.array(at[first] // TOGETHER, pa.int32()), *(_lists(*x) for x in some)], ["block", "kept", "other"])
+
+    return place
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, bits: two a place; rows of a block come to one task."""
+    total = {}
+    for batch in batches:
+        for block, *kinds in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            there = total.setdefault(block, np.zeros(TOGETHER, dtype=np.uint8))
+            for bit, at in enumerate(kinds):
+                there[at.values.to_numpy()] |= 1 << bit
+    if total:
+        packed = [(x[::4] | x[1::4] << 2 | x[2::4] << 4 | x[3::4] << 6).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array(packed, pa.binary())], ["block", "bits"])
+
+
+def kept_places(terms: DataFrame, enough: int) -> np.ndarray:
+    """Two bits a place, four places a byte: whether a term (term, n) with ``enough`` is there, and whether another one is."""
+    found = terms.mapInArrow(_there(enough), "block int, kept array<int>, other array<int>").repartition("block")
+    places = np.zeros(PLACES // 4, dtype=np.uint8)
+    for r in found.mapInArrow(_bits, "block int, bits binary").collect():
+        places[r["block"] * (TOGETHER // 4):(r["block"] + 1) * (TOGETHER // 4)] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return places
+
+
+def _kinds(terms: pa.Array, places: np.ndarray) -> np.ndarray:
+    """1: a kept term, 2: not kept, 3: may be either; 0 for null, which comes first."""
+    at = _places(terms)
+    return np.r_[0, places[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & 3]
+
+
+def _own(window: int, enough: int, shared):
+    """term, own, near, for terms that may be kept: how many surely kept terms are near a term, and, if it may be either kind, what is near it."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, tokens, text in _chunks(batches):
+            kind, (n, own) = _kinds(names, shared.value), np.zeros((2, len(names) + 1), dtype=np.int64)
+            for a, _ in _near(tokens, text, window):
                 n += np.bincount(a, minlength=len(n))
-                known += np.bincount(a[b > 0], minlength=len(n))
-            few = n < enough
-            found = [(a[some], b[some]) for a, b in _near(tokens, text, window) for some in [few[a] & (a > 0) & (b > 0)]]
-            a, b = (np.concatenate(x) for x in zip(*found))
+            kind[(kind == 3) & (n >= enough)] = 1
+            sure, either, maybe = kind == 1, kind == 3, kind & 1 > 0
+            lists = []
+            for a, b in _near(tokens, text, window):
+                own += np.bincount(a[sure[b]], minlength=len(n))
+                some = either[a] & maybe[b]
+                lists.append((a[some], b[some]))
+            a, b = (np.concatenate(x) for x in zip(*lists))
             near = names.take(pa.array(b[np.argsort(a, kind="stable")] - 1))
             starts = np.r_[0, np.cumsum(np.bincount(a, minlength=len(n)))[:-1]]
-            yield pa.RecordBatch.from_arrays([names, pa.array(n[1:]), pa.array(known[1:]), _lists(near, starts[1:])], ["term", "n", "known", "near"])
+            yield pa.RecordBatch.from_arrays([names, pa.array(own[1:]), _lists(near, starts[1:])], ["term", "own", "near"]).filter(pa.array(maybe[1:]))
 
     return count
 
 
-def kept_terms(said: DataFrame, window: int, least: int) -> DataFrame:
+def kept_terms(said: DataFrame, window: int, least: int) -> tuple[DataFrame, np.ndarray]:
     """term, n, own of the terms with ``least`` occurrences in ``said`` (tokens): how many tokens are at most ``window`` places from them,
-    and how many of those are kept terms."""
-    enough = max(2 * window * least, 1)
-    found = said.mapInArrow(_terms(window, enough), "term string, n long, known long, near array<string>")
-    summed = found.groupBy("term").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.flatten(F.collect_list("near")).alias("near"))
-    few = F.col("n") < enough
-    terms = scratch_table(summed.select("term", "n", "known", F.when(few, F.col("near")).alias("near")), "vectors-terms")
-    lost = terms.where(few).select(F.explode("near").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("lost"))
-    kept = terms.where(~few).join(lost, "term", "left")
-    return scratch_table(kept.select("term", "n", (F.col("known") - F.coalesce("lost", F.lit(0))).alias("own")), "vectors-kept")
-
-
-def _contexts(window: int, names):
-    """term, own (null), ids, ns: how often each context is near a term, in lists of at most LIST contexts."""
+    and how many of those are kept terms; and the places of terms."""
+    enough, context = max(2 * window * least, 1), said.sparkSession.sparkContext
+    terms = scratch_table(said.mapInArrow(_terms(window), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "vectors-terms")
+    places = kept_places(terms, enough)
+    found = said.mapInArrow(_own(window, enough, context.broadcast(places)), "term string, own long, near array<string>")
+    found = scratch_table(found.groupBy("term").agg(F.sum("own").alias("own"), F.flatten(F.collect_list("near")).alias("near"))
+                          .join(terms.where(F.col("n") >= enough), "term"), "vectors-near")
+    more = found.select(F.explode("near").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("more"))
+    kept = found.join(more, "term", "left").select("term", "n", (F.col("own") + F.coalesce("more", F.lit(0))).alias("own"))
+    return scratch_table(kept, "vectors-kept"), places
+
+
+def _listed(terms: pa.Array, width: int, pairs: np.ndarray, ns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """term, own (null), ids, ns of sorted pairs of a term's place and a context."""
+    if len(pairs):
+        a, ids = np.divmod(pairs, pairs.dtype.type(width))
+        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        place = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
+        starts = np.flatnonzero(place % LIST == 0)
+        yield pa.RecordBatch.from_arrays([terms.take(pa.array(a[starts].astype(np.int64) - 1)), pa.nulls(len(starts), pa.int64()),
+                                          _lists(pa.array(ids.astype(np.int32)), starts), _lists(pa.array(ns, pa.int64()), starts)], ["term", "own", "ids", "ns"])
+
+
+def _contexts(window: int, names, places=None):
+    """term, own (null), ids, ns: how often each context is near a term that may be kept, in lists of at most LIST contexts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = pd.Index(names.value)
         for terms, tokens, text in _chunks(batches):
             ids = np.r_[-1, index.get_indexer(terms.to_numpy(zero_copy_only=False))]
-            pairs = [a[some] * len(index) + ids[b[some]] for a, b in _near(tokens, text, window) for some in [(ids[b] >= 0) & (a > 0)]]
-            pairs, ns = np.unique(np.concatenate(pairs), return_counts=True)
-            if len(pairs):
-                a, ids = np.divmod(pairs, len(index))
-                first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-                place = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
-                starts = np.flatnonzero(place % LIST == 0)
-                yield pa.RecordBatch.from_arrays([terms.take(pa.array(a[starts] - 1)), pa.nulls(len(starts), pa.int64()), _lists(pa.array(ids, pa.int32()), starts),
-                                                  _lists(pa.array(ns, pa.int64()), starts)], ["term", "own", "ids", "ns"])
+            maybe = np.arange(len(terms) + 1) > 0 if places is None else _kinds(terms, places.value) & 1 > 0
+            kind = np.uint32 if len(maybe) * len(index) < 1 << 32 else np.int64
+            for deal in range(DEALS):  # terms in turn: all pairs of a chunk at once are hundreds of MB
+                here = maybe & (np.arange(len(maybe)) % DEALS == deal)
+                pairs = [(a[some] * len(index) + ids[b[some]]).astype(kind) for a, b in _near(tokens, text, window) for some in [(ids[b] >= 0) & here[a]]]
+                yield from _listed(terms, len(index), *np.unique(np.concatenate(pairs), return_counts=True))
 
     return count
 
 
+def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    offsets = np.append(starts, len(values)) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
+
+
+def _packed(lists):
+    """Lists as bytes: two for a context and one for a count; a larger count is several entries, which are added up anyway."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lists(batches):
+            ids, ns = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "ns"))
+            times = -(-ns // 255)
+            split = np.full(times.sum(), 255, dtype=np.uint8)
+            split[np.cumsum(times) - 1] = ns - 255 * (times - 1)
+            size = pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False)
+            starts = np.r_[0, np.cumsum(times)][np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("own"), _binary(np.repeat(ids, times).astype(np.uint16), starts),
+                                              _binary(split, starts)], ["term", "own", "ids", "ns"])
+
+    return pack
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            lists = []
+            for c, kind, to in (("ids", np.uint16, pa.int32()), ("ns", np.uint8, pa.int64())):
+                some = batch.column(c).fill_null(b"")
+                offsets = np.frombuffer(some.buffers()[1], dtype=np.int32)[some.offset:some.offset + len(some) + 1]
+                held = some.buffers()[2]
+                values = np.frombuffer(held, dtype=np.uint8)[offsets[0]:offsets[-1]] if held is not None and held.size else np.zeros(0, dtype=np.uint8)
+                lists.append(_lists(pa.array(values.view(kind).astype(np.int64), to), (offsets[:-1] - offsets[0]) // np.dtype(kind).itemsize))
+            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("own"), *lists], ["term", "own", "ids", "ns"])
+
+
 def _ratio(own: np.ndarray, ids: np.ndarray, ns: np.ndarray, total: int, others: np.ndarray) -> np.ndarray:
     """How many times as often as by chance."""
     return ns.astype(float) * total / (own.astype(float) * others[ids])
@@ -166,15 +279,16 @@ def _added(total: int, shared):
     return add
 
 
-def context_rows(said: DataFrame, window: int, kept: DataFrame, names: list[str], others: np.ndarray, total: int) -> DataFrame:
+def context_rows(said: DataFrame, window: int, kept: DataFrame, names: list[str], others: np.ndarray, total: int, places: np.ndarray) -> DataFrame:
     """term, own, ids, ns of the ``kept`` terms (term, own): which contexts (``names``, of ``others`` tokens near) are near them more often than
     by chance, of ``total`` in all, and how often."""
     context = said.sparkSession.sparkContext
-    schema = "term string, own long, ids array<int>, ns array<long>"
-    near = said.mapInArrow(_contexts(window, context.broadcast(np.array(names, dtype=object))), schema)
-    own = kept.select("term", "own", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("array<long>").alias("ns"))
+    schema, packed = "term string, own long, ids array<int>, ns array<long>", "term string, own long, ids binary, ns binary"
+    near = said.mapInArrow(_packed(_contexts(window, context.broadcast(np.array(names, dtype=object)), context.broadcast(places))), packed)
+    own = kept.select("term", "own", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("ns"))
     met = own.unionByName(near).repartition("term").sortWithinPartitions("term", F.col("own").desc_nulls_last())
-    return met.mapInArrow(_added(total, context.broadcast(others)), schema)
+    add, others = _added, context.broadcast(others)
+    return met.mapInArrow(lambda batches: add(total, others)(_unpacked(batches)), schema)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], total: int, others: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
@@ -241,7 +355,7 @@ def _gram_step(rows: DataFrame, basis: np.ndarray, n: int, shared) -> np.ndarray
     # One row a task and block; a block of all tasks is added up in one group, BLOCK rows of the basis from each.
     summed = rows.mapInArrow(part, "block int, values array<double>").groupBy("block").applyInPandas(add, "block int, values array<double>")
     out = np.zeros_like(basis)
-    for r in summed.toLocalIterator():
+    for r in summed.collect():  # at most CONTEXTS / BLOCK rows, as large as the basis in all
         values = np.array(r["values"]).reshape(-1, basis.shape[1])
         out[r["block"]:r["block"] + len(values)] = values
     return out
@@ -255,15 +369,26 @@ def learn(texts: DataFrame, tokens: Column, dim: int = 64, window: int = 4, leas
     spark = texts.sparkSession
     if window < 1:
         return spark.createDataFrame([], "term string, vector array<double>")
-    said = scratch_table(texts.select(tokens.alias("tokens")), "vectors-tokens")
-    kept = kept_terms(said, window, least)
+    job = f"vectors-{uuid.uuid4().hex}"
+    try:
+        with lean_writes(spark):
+            with scratch_owner(job):
+                vectors = _learned(texts.select(tokens.alias("tokens")), dim, window, least, contexts, seed)
+            return scratch_table(vectors, "vectors-learned")
+    finally:
+        release(spark, job)
+
+
+def _learned(texts: DataFrame, dim: int, window: int, least: int, contexts: int, seed: int) -> DataFrame:
+    spark, said = texts.sparkSession, scratch_table(texts, "vectors-tokens")
+    kept, places = kept_terms(said, window, least)
     columns = kept.orderBy(F.col("n").desc(), "term").limit(contexts).select("term", "own").collect()
     width = len(columns)
     size = min(dim + EXTRA, width)
     if not size:
         return spark.createDataFrame([], "term string, vector array<double>")
     others, total = np.array([r["own"] for r in columns], dtype=float), kept.agg(F.sum("own")).first()[0]
-    rows = scratch_table(context_rows(said, window, kept, [r["term"] for r in columns], others, total), "vectors-rows")
+    rows = scratch_table(context_rows(said, window, kept, [r["term"] for r in columns], others, total, places), "vectors-rows")
     counts = spark.sparkContext.broadcast(others)
     basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, size)))
     for _ in range(ROUNDS):

@@ -1,6 +1,9 @@
 """Learned word vectors against dense numpy on a small corpus."""
 
+import pathlib
 import random
+import time
+import urllib.parse
 from collections import Counter
 
 import numpy as np
@@ -8,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import session
 from lectern.operators import semantic
 from lectern.operators import wordvectors as wv
 
@@ -161,3 +165,95 @@ def test_each_part_of_papers_is_a_task_of_its_own(spark, monkeypatch):
     assert semantic.word_vector_scores(df, vectors, "sea", "abstract", ["dataset", "paper_key"]).count() == 400
     parts = [r.n for r in written[0].groupBy(F.spark_partition_id()).agg(F.countDistinct("part").alias("n")).collect()]
     assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and set(parts) == {1}
+
+
+def test_learning_leaves_only_the_vectors(spark, monkeypatch):
+    """Before, all tables and shuffle files of the learning stayed while the papers were scored."""
+    written = []
+    monkeypatch.setattr(wv, "scratch_table", lambda df, name, f=wv.scratch_table: written.append((name, (out := f(df, name)).inputFiles()[0].rsplit("/", 1)[0])) or out)
+    df = spark.createDataFrame([(t,) for t in _texts(3)], "t string")
+    vectors = wv.learn(df, F.split("t", " "), dim=4, window=3, least=2)
+    there = {name: pathlib.Path(urllib.parse.urlparse(path).path).exists() for name, path in written}
+    assert len(there) == 6 and [name for name, x in there.items() if x] == ["vectors-learned"]
+    assert vectors.count() == len({r.term for r in vectors.collect()}) > 20
+
+
+def test_shuffle_files_of_a_write_go_with_it(spark):
+    """Before, they stayed until the driver happened to collect its garbage."""
+    store = spark.sparkContext._jsc.sc().env().blockManager()
+    held = lambda: sum(1 for f in list(store.diskBlockManager().getAllFiles().mkString("\n").split("\n")) if "/shuffle_" in f)
+    df = spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    before = held()
+    with session.lean_writes(spark):
+        out = session.scratch_table(df, "lean")
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before and out.count() == 7 and spark.conf.get("spark.sql.parquet.compression.codec") == "snappy"
+
+
+def test_terms_whose_places_meet(spark, monkeypatch):
+    """Kept and other terms at one place: only then does a rare term travel with its neighbours, and all counts are exact."""
+    r = random.Random(9)
+    texts = [[r.choice(["rare%d" % r.randrange(300), None]) if r.random() < 0.3 else "t%d" % min(int(r.expovariate(0.12)), 39) for _ in range(r.randrange(0, 30))] for _ in range(150)]
+    n = Counter()
+    for t in texts:
+        for i, a in enumerate(t):
+            n.update((a, b) for b in t[max(0, i - 2):i] + t[i + 1:i + 3])
+    count = Counter()
+    for (a, _), c in n.items():
+        count[a] += c
+    kept = {a for a in count if a is not None and count[a] >= 16}
+    want = {a: (count[a], sum(n[a, b] for b in kept)) for a in kept}
+    df = spark.createDataFrame([(t,) for t in texts], "tokens array<string>").repartition(5)
+    names, lists = {t for text in texts for t in text if t is not None}, {}
+    for bits, together in ((26, 1 << 16), (7, 16)):
+        places = 1 << bits
+        monkeypatch.setattr(wv, "PLACES", places)
+        monkeypatch.setattr(wv, "TOGETHER", together)
+        batch = pa.RecordBatch.from_arrays([pa.array(sorted(names)), pa.array([count[t] for t in sorted(names)])], ["term", "n"])
+        held = np.zeros(places // 4, dtype=np.uint8)
+        found = [*wv._bits(iter([pa.RecordBatch.from_arrays(x.columns, ["block", "kept", "other"]) for x in wv._there(16)(iter([batch]))]))]
+        for block, some in zip(found[0].column(0).to_pylist(), found[0].column(1).to_pylist()):
+            held[block * (together // 4):(block + 1) * (together // 4)] = np.frombuffer(some, dtype=np.uint8)
+        got = Counter()
+        lists[bits] = 0
+        said = pa.RecordBatch.from_arrays([pa.array(texts, pa.list_(pa.string()))], ["tokens"])
+        for out in wv._own(2, 16, type("S", (), {"value": held}))(iter([said.slice(0, 70), said.slice(70)])):
+            for x in out.to_pylist():
+                got[x["term"]] += x["own"]
+                lists[bits] += len(x["near"])
+                if x["term"] in kept:
+                    got.update(x["near"])
+        assert {a: (count[a], got[a]) for a in kept} == want
+    assert lists[26] <= lists[7] and sum(x for x in count.values()) > 4 * lists[26]
+    monkeypatch.undo()
+    kept_rows = {x.term: (x.n, x.own) for x in wv.kept_terms(df, 2, 4)[0].collect()}
+    assert kept_rows == want
+
+
+def test_large_counts_as_bytes():
+    batch = pa.RecordBatch.from_pylist([{"term": "a", "own": None, "ids": [0, 19999, 3], "ns": [1, 255, 256]}, {"term": "b", "own": None, "ids": [7], "ns": [1000]}],
+                                       pa.schema([("term", pa.string()), ("own", pa.int64()), ("ids", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64()))]))
+    packed = [*wv._packed(lambda batches: batches)(iter([batch]))]
+    assert sum(len(b) for b in packed[0].column("ns").to_pylist()) == 8
+    kept = pa.RecordBatch.from_pylist([{"term": "a", "own": 5, "ids": None, "ns": None}], packed[0].schema)
+    both = pa.Table.from_batches([kept, *packed]).combine_chunks().to_batches()[0]
+    for some in (both, both.slice(1), both.slice(2)):
+        out = [*wv._unpacked(iter([some, some.slice(0, 0)]))]
+        assert len(out) == 1 and out[0].schema == batch.schema
+    sums = {x["term"]: {i: sum(n for j, n in zip(x["ids"], x["ns"]) if j == i) for i in x["ids"]} for x in next(wv._unpacked(iter([both]))).to_pylist()}
+    assert sums == {"a": {0: 1, 19999: 255, 3: 256}, "b": {7: 1000}}
+
+
+def test_rounds_give_the_same_scores(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    df = spark.createDataFrame([("d", i % 50, t) for i, t in enumerate(_texts(4))] + [(None, None, "sea1")], "dataset string, paper_key int, abstract string")
+    vectors = wv.learn(df, F.split("abstract", " "), dim=5, window=3, least=2)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "18")
+        got = [{(r.dataset, r.paper_key): r.score for r in semantic.word_vector_scores(df, vectors, "sea1 law2", "abstract", ["dataset", "paper_key"], rounds=n).collect()} for n in (1, 4)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0].keys() == got[1].keys() and len(got[0]) == 51 and max(abs(got[0][k] - got[1][k]) for k in got[0]) < 1e-12
